@@ -1 +1,13 @@
+"""Registered queries."""
 
+from importlib import import_module
+
+MODULES = ["history_queries"]
+
+
+def load():
+    from duelframe.catalog.base import CATALOG
+
+    for m in MODULES:
+        import_module(f"duelframe.catalog.{m}")
+    return CATALOG
