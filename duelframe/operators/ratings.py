@@ -92,13 +92,17 @@ def grapple_inputs(df: DataFrame, td="tdavg", sub="subavg", defence="tddef", pre
     return df.withColumn("score", _by_margin(total(""), total(prefix)))
 
 
-def finish_inputs(df: DataFrame, score="score") -> DataFrame:
-    """u and v: +1 the side finished the match, -1 it was finished, 0 otherwise."""
+def finish_inputs(df: DataFrame, score="score", both_sides: bool = False) -> DataFrame:
+    """u and v: +1 the side finished the match, -1 it was finished, 0 otherwise.
+
+    The flags belong to side A, and the published rule reads them unswapped for
+    side B, whose factor therefore only drifts; ``both_sides`` swaps them.
+    """
     won = F.col(score) == 1
     finished = (F.col("ko") == 1) | (F.col("subw") == 1)
     beaten = (F.col("kod") == 1) | (F.col("subwd") == 1)
-    side = lambda w: F.when(w & finished, 1.0).when(~w & beaten, -1.0).otherwise(0.0)
-    return df.withColumns({"u": side(won), "v": side(~won)})
+    u = F.when(won & finished, 1.0).when(~won & beaten, -1.0).otherwise(0.0)
+    return df.withColumns({"u": u, "v": -u if both_sides else F.lit(0.0)})
 
 
 def _by_margin(mine, theirs):
