@@ -264,11 +264,12 @@ def _edit_budget(length: Column, similarity: float) -> Column:
 def similar_texts(left: DataFrame, a: str, right: DataFrame, b: str, block: Sequence[str], similarity: float = 0.8) -> DataFrame:
     """Pairs of distinct texts of the same block with edit similarity >= ``similarity``.
 
-    Candidates come from an exact filter, not from pairing the block: two texts
-    within e edits share one of the e + 1 pieces of the longer text as a
-    substring, shifted by at most e. The longer text is cut into its pieces, the
-    shorter one offers its substrings at the allowed places, and both meet in an
-    equi-join on (block, length, piece number, piece). Copies are collapsed first.
+    Candidates come from an exact filter, not from pairing the block: the longer
+    text is cut into e + 1 pieces, e being its edit budget. If two texts are
+    within e edits, some piece i survives unchanged with at most i edits before
+    it and e - i after it, which leaves a narrow range of places in the shorter
+    text. Both sides meet in an equi-join on (block, length, piece number,
+    piece). Copies are collapsed first.
     """
     block = list(block)
     ls = left.select(*block, F.col(a).alias("_a")).distinct()
@@ -280,43 +281,43 @@ def similar_texts(left: DataFrame, a: str, right: DataFrame, b: str, block: Sequ
     return scored.withColumnsRenamed({"_a": a, "_b": b})
 
 
-def _short_in_long(shorts, s, longs, l, block, similarity, strict) -> DataFrame:
-    """Candidate pairs with len(s) <= len(l) (strictly shorter when ``strict``)."""
-    cap = F.length(l)
-    budget = _edit_budget(cap, similarity)
-    # Piece count depends on the long text's length only, so both sides agree on it.
-    cut_longs = longs.withColumn("_len", cap).withColumn("_e", budget)
-
-    def pieces(length_col, errors_col, make):
-        nn = errors_col + 1
-        bs, ex = F.floor(length_col / nn), length_col % nn
-        return F.transform(
-            F.sequence(F.lit(0), errors_col),
-            lambda i: make(i, (i * bs + F.least(i, ex) + 1).cast("int"), (bs + F.when(i < ex, 1).otherwise(0)).cast("int")),
-        )
+def _pieces(length: Column, errors: Column, make) -> Column:
+    """``make(i, start, size)`` for each of the errors + 1 near-equal pieces of a text of this length."""
+    base, extra = F.floor(length / (errors + 1)), length % (errors + 1)
+    return F.transform(
+        F.sequence(F.lit(0), errors),
+        lambda i: make(i, (i * base + F.least(i, extra) + 1).cast("int"), (base + F.when(i < extra, 1).otherwise(0)).cast("int")),
+    )
 
-    long_keys = cut_longs.select(
-        *block, F.col(l), F.col("_len"),
-        F.explode(pieces(F.col("_len"), F.col("_e"), lambda i, at, size: F.struct(
-            i.alias("no"), F.substr(F.col(l), at, size).alias("piece")))).alias("_k"),
-    ).select(*block, l, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece"))
 
-    own = F.length(s)
-    low = own + (1 if strict else 0)
-    # The longest partner: (1 - similarity) * L edits must cover L - len(s).
-    high = F.floor(own / similarity + 1e-9).cast("int")
+def _short_in_long(shorts, s, longs, l, block, similarity, strict) -> DataFrame:
+    """Candidate pairs with len(s) <= len(l) (strictly shorter when ``strict``)."""
+    long_keys = (
+        longs.withColumn("_len", F.length(l)).withColumn("_e", _edit_budget(F.col("_len"), similarity))
+        .select(*block, l, "_len", F.explode(_pieces(F.col("_len"), F.col("_e"), lambda i, at, size: F.struct(
+            i.alias("no"), F.substr(F.col(l), at, size).alias("piece")))).alias("_k"))
+        .select(*block, l, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece"))
+    )
+    none = F.array().cast("array<int>")
+    own = F.col("_own")
+    # The longest partner: (1 - similarity) * length edits must cover the difference in length.
+    low, high = own + (1 if strict else 0), F.floor(own / similarity + 1e-9).cast("int")
     offered = (
-        shorts.withColumn("_own", own)
-        .withColumn("_len", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+        shorts.withColumn("_own", F.length(s))
+        .withColumn("_len", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(none)))
         .withColumn("_e", _edit_budget(F.col("_len"), similarity))
     )
-    spots = F.flatten(pieces(F.col("_len"), F.col("_e"), lambda i, at, size: F.transform(
-        F.sequence(F.greatest(F.lit(1), at - F.col("_e")), F.greatest(F.lit(1), at - F.col("_e"), F.least(at + F.col("_e"), F.col("_own") - size + 1))),
-        lambda p: F.struct(i.alias("no"), F.substr(F.col(s), p, size).alias("piece")),
-    )))
-    short_keys = offered.select(*block, F.col(s), F.col("_len"), F.explode(F.array_distinct(spots)).alias("_k")).select(
-        *block, s, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece")
-    )
+    e, shift = F.col("_e"), own - F.col("_len")
+
+    def places(i, at, size):
+        first = F.greatest(F.lit(1), at - i, at + shift - (e - i)).cast("int")
+        last = F.least(own - size + 1, at + i, at + shift + (e - i)).cast("int")
+        spots = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+        return F.transform(spots, lambda p: F.struct(i.alias("no"), F.substr(F.col(s), p, size).alias("piece")))
+
+    short_keys = offered.select(
+        *block, s, "_len", F.explode(F.array_distinct(F.flatten(_pieces(F.col("_len"), e, places)))).alias("_k")
+    ).select(*block, s, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece"))
     return short_keys.join(long_keys, [*block, "_len", "_no", "_piece"]).select(*block, s, l).distinct()
 
 
@@ -339,29 +340,22 @@ def match_market_events(matches: DataFrame, events: DataFrame, *, match_id: str,
     A mean of at least the threshold needs one name at the threshold, so
     candidates come from ``similar_texts`` on one name; the mean is then
     computed for both orientations. With ``exact_ratio`` the matching-block
-    ratio scores the candidates; it is never above the threshold unless the edit
-    budget used here for candidates, (1 - threshold) * (len a + len b), is met.
+    ratio scores the candidates, which are then drawn with the wider edit budget
+    that ratio implies.
     """
-    near = events.withColumn(
-        "_day", F.explode(F.array(*[F.date_add(F.col(event_day), d) for d in range(-slack, slack + 1)]))
+    near = events.select(event_id, event_day, home, away, F.explode(F.array(home, away)).alias("_theirs")).select(
+        event_id, home, away, "_theirs",
+        F.explode(F.array(*[F.date_add(F.col(event_day), d) for d in range(-slack, slack + 1)])).alias("_day"),
     )
-    left = matches.withColumn("_day", F.col(day))
-    # Block-ratio r bounds edits by (1 - r)(|a|+|b|) <= 2(1 - r) * longer length.
+    mine = matches.select(match_id, a, b, F.col(day).alias("_day"), F.explode(F.array(a, b)).alias("_mine"))
+    # Block ratio r bounds edits by (1 - r)(|a| + |b|) <= 2 (1 - r) * longer length.
     floor = max(0.0, 1 - 2 * (1 - threshold)) if exact_ratio else threshold
     ratio = block_ratio if exact_ratio else edit_ratio
-    found = None
-    for mine in (a, b):
-        for theirs in (home, away):
-            names = similar_texts(
-                left.select("_day", F.col(mine).alias("_mine")), "_mine",
-                near.select("_day", F.col(theirs).alias("_theirs")), "_theirs", ["_day"], floor,
-            ).drop("similarity")
-            hit = left.join(names, (F.col(mine) == names["_mine"]) & (left["_day"] == names["_day"])).drop(names["_day"])
-            hit = hit.alias("m").join(
-                near.alias("e"), (F.col("m._theirs") == F.col(f"e.{theirs}")) & (F.col("m._day") == F.col("e._day"))
-            ).select("m." + match_id, F.col(f"m.{a}").alias(a), F.col(f"m.{b}").alias(b), "e." + event_id, "e." + home, "e." + away)
-            found = hit if found is None else found.unionByName(hit)
-    found = found.distinct()
+    names = similar_texts(mine, "_mine", near, "_theirs", ["_day"], floor).drop("similarity")
+    found = (
+        mine.join(names, ["_day", "_mine"]).join(near, ["_day", "_theirs"])
+        .select(match_id, a, b, event_id, home, away).distinct()
+    )
     score = F.greatest(
         (ratio(F.col(a), F.col(home)) + ratio(F.col(b), F.col(away))) / 2,
         (ratio(F.col(a), F.col(away)) + ratio(F.col(b), F.col(home))) / 2,

@@ -31,7 +31,7 @@ from duelframe.session import max_group_rows
 
 Build = Callable[[DataFrame, WindowSpec], DataFrame]
 
-_CONST = "_all"
+_CONST = "_whole_table"
 
 
 def ordered_scan(
