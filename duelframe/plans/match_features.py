@@ -17,8 +17,9 @@ def clean_events(events: DataFrame) -> DataFrame:
 def clean_results(results: DataFrame, categories: DataFrame) -> DataFrame:
     """Regular results with class index and sex of the longest category name inside the class text."""
     kept = clean.drop_irregular(results)
-    found = pairs.contains_join(kept.select("WEIGHTCLASS").distinct(), "WEIGHTCLASS", categories, "weightclass")
-    best = pairs.longest_phrase(found, ["WEIGHTCLASS"], "weightclass").select("WEIGHTCLASS", "weightindex", "sex")
+    named = categories.withColumnRenamed("weightclass", "category")
+    found = pairs.contains_join(kept.select("WEIGHTCLASS").distinct(), "WEIGHTCLASS", named, "category")
+    best = pairs.longest_phrase(found, ["WEIGHTCLASS"], "category").select("WEIGHTCLASS", "weightindex", "sex")
     joined = kept.join(best, "WEIGHTCLASS", "left")
     return with_join_keys(joined, {"jevent": "EVENT", "jbout": "BOUT"})
 
