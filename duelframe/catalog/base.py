@@ -60,7 +60,8 @@ def r(c: Column | str, digits: int = 4) -> Column:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({c: r(c, digits) for c in columns})
+    scale, todo = f"{10.0**digits}D", set(columns)
+    return df.selectExpr(*[f"floor(`{c}` * {scale} + 0.5D) / {scale} AS `{c}`" if c in todo else f"`{c}`" for c in df.columns])
 
 
 # ---------------------------------------------------------------- matches drawn from orders

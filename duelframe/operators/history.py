@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from duelframe.functions.numbers import guarded_ratio
 from duelframe.plans.ordered import ordered_scan
 
 
@@ -107,75 +106,79 @@ def history_features(
 ) -> DataFrame:
     """Add every feature column of ``metrics`` for every frame.
 
-    One shuffle by entity serves all frames; each windowed sum is computed once
-    and shared by all the ratios that need it. ``order`` must be unique within
-    the entity (time, then match id).
+    One shuffle by entity serves all frames, and each windowed sum is computed
+    once and shared by all the ratios that need it. Sums of whole-number columns
+    are differences of one running sum at a few distances back, so the cost does
+    not grow with the number of frames; other columns are summed frame by frame,
+    which keeps floating-point results free of cancellation. ``order`` must be
+    unique within the entity (time, then match id).
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
-    bases: dict[str, None] = {}
-    for m in metrics:
-        for c in (m.num, m.den):
-            if c:
-                bases[c] = None
-    averaged = [m.num for m in metrics if m.kind == "avg"]
-    present = {f"_has_{c}": F.col(c).isNotNull().cast("bigint") for c in dict.fromkeys(averaged)}
+    bases = list(dict.fromkeys(c for m in metrics for c in (m.num, m.den) if c))
+    averaged = dict.fromkeys(m.num for m in metrics if m.kind == "avg")
+    present = {f"_has_{c}": F.col(c).isNotNull().cast("bigint") for c in averaged}
     source = df.withColumns(present) if present else df
-    summed = [*bases, *present]
+    whole = [c for c in bases if isinstance(df.schema[c].dataType, T.IntegralType)]
+    running = ["_one", *present, *whole]
     needed = _needed_sums(metrics)
 
     def build(d: DataFrame, w) -> DataFrame:
-        inner = d.select(
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        cum = d.select(
             "*",
-            *[F.sum(c).over(f.over(w)).alias(f"_s{i}_{c}") for i, f in enumerate(FRAMES) for c in needed[i]],
+            F.struct(*[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in running]).alias("_at0"),
+            *[
+                F.sum(c).over(f.over(w)).alias(f"_s{i}_{c}")
+                for i, f in enumerate(FRAMES) for c in needed[i] if c not in running
+            ],
         )
-        return inner.select(
-            *d.columns,
-            *[_feature(m, i, f) for m in metrics for i, f in enumerate(FRAMES) if m.wanted(f)],
+        back = sorted({k for f in FRAMES for k in _distances(f) if k})
+        far = cum.select("*", *[F.lag("_at0", k).over(w).alias(f"_at{k}") for k in back])
+
+        def windowed(i: int, c: str) -> str:
+            if c not in running:
+                return f"coalesce(`_s{i}_{c}`, 0)"
+            ends = [f"coalesce(_at{k}.`{c}`, 0)" for k in _distances(FRAMES[i])]
+            return f"({' - '.join(ends)})"
+
+        return far.selectExpr(
+            *[f"`{c}`" for c in d.columns],
+            *[_feature(m, f, lambda c, i=i: windowed(i, c)) for m in metrics for i, f in enumerate(FRAMES) if m.wanted(f)],
         )
 
-    out = ordered_scan(source, keys, order, build, reach=5, sums=summed, limit=limit)
+    out = ordered_scan(source, keys, order, build, reach=5, sums=[*bases, *present], limit=limit)
     return out.drop(*present)
 
 
+def _distances(f: Frame) -> list[int]:
+    """Rows back at which running sums bound the frame: its end, then just before its start."""
+    return [-f.end] if f.start is None else [-f.end, 1 - f.start]
+
+
 def _needed_sums(metrics: Sequence[Metric]) -> list[list[str]]:
-    per_frame: list[list[str]] = []
-    for f in FRAMES:
-        cols: dict[str, None] = {}
-        for m in metrics:
-            if not m.wanted(f):
-                continue
-            if m.kind == "count":
-                cols["_one"] = None
-            else:
-                cols[m.num] = None
-            if m.kind == "avg":
-                cols[f"_has_{m.num}"] = None
-            if m.den:
-                cols[m.den] = None
-        per_frame.append(list(cols))
-    return per_frame
-
-
-def _feature(m: Metric, i: int, f: Frame):
-    total = lambda c: F.col(f"_s{i}_{c}")
+    """Columns summed per frame."""
+    return [list(dict.fromkeys(c for m in metrics if m.wanted(f) for c in (m.num, m.den) if c)) for f in FRAMES]
+
+
+def _feature(m: Metric, f: Frame, total) -> str:
+    """SQL text of one feature; ``total(column)`` is the text of its windowed sum."""
+    def over(num: str, den: str, scale: str, none: str) -> str:
+        return f"CASE WHEN {den} = 0 THEN {none}D ELSE try_divide(CAST({num} AS DOUBLE){scale}, CAST({den} AS DOUBLE)) END"
+
     if m.kind == "sum":
-        value = F.coalesce(total(m.num), F.lit(0))
+        value = total(m.num)
     elif m.kind == "count":
-        value = F.coalesce(total("_one"), F.lit(0))
+        value = total("_one")
     elif m.kind == "avg":
         default = m.post_default if f.prefix == "postcomp_" else 0.0
-        seen = F.coalesce(total(f"_has_{m.num}"), F.lit(0))
-        value = F.when(seen == 0, F.lit(default)).otherwise(
-            F.try_divide(total(m.num).cast("double"), seen.cast("double"))
-        )
+        value = over(total(m.num), total(f"_has_{m.num}"), "", str(float(default)))
     elif m.kind == "rate":
-        value = guarded_ratio(total(m.num), total(m.den), m.scale)
+        value = over(total(m.num), total(m.den), f" * {float(m.scale)}D" if m.scale != 1 else "", "0.0")
     elif m.kind == "one_minus_ratio":
-        den = F.coalesce(total(m.den), F.lit(0))
-        value = F.when(den == 0, F.lit(0.0)).otherwise(1 - guarded_ratio(total(m.num), total(m.den)))
+        value = f"CASE WHEN {total(m.den)} = 0 THEN 0.0D ELSE 1 - ({over(total(m.num), total(m.den), '', '0.0')}) END"
     else:
         raise ValueError(f"unknown metric kind {m.kind}")
-    return value.alias(m.column(f))
+    return f"{value} AS `{m.column(f)}`"
 
 
 def feature_names(metrics: Sequence[Metric] = MATCH_METRICS, prefix: str | None = None) -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duelframe.operators.evaluate import log_loss_term
 from duelframe.operators.history import model_features
 from duelframe.operators.sequence import numbered
-from duelframe.plans.quantiles import exact_quantiles
+from duelframe.plans.quantiles import exact_quantiles_of
 from duelframe.plans.sizing import cut
 
 
@@ -58,7 +58,7 @@ def impute_linear(df: DataFrame, fit: Mapping, target: str, digits: int = 1) ->
 # ---------------------------------------------------------------- imputation by column statistics
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    return {c: exact_quantiles(df, c, [0.5])[0] for c in columns}
+    return {c: q[0] for c, q in exact_quantiles_of(df, {c: [0.5] for c in columns}).items()}
 
 
 def fill_with(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:

@@ -11,6 +11,7 @@ from duelframe.functions.odds import american_from_probability, clamp_odds, flat
 from duelframe.operators.clean import within_all
 from duelframe.operators.sequence import first_difference, running_totals
 from duelframe.plans.quantiles import exact_quantiles
+from duelframe.plans.sizing import cut
 
 # Books averaged by default and the hard limits on plausible odds.
 BOOKS = ["draftkings_odds", "fanduel_odds", "betmgm_odds", "bovada_odds"]
@@ -69,9 +70,12 @@ def favourites(df: DataFrame, match: Sequence[str], odds: str, tie: Sequence[str
 def roi_picks(model: DataFrame, market: DataFrame, *, keys: Sequence[str] = ("DATE", "EVENT", "BOUT", "FIGHTER"),
               match: Sequence[str] = ("DATE", "BOUT"), books: Sequence[str] = BOOKS, odds: str = "odds", win: str = "win",
               side: str = "FIGHTER", stake: float = 100.0, threshold: float = 2.0) -> DataFrame:
-    """Join model and market, drop outliers, back the model's favourite of every match and price the bet."""
+    """Join model and market, drop outliers, back the model's favourite of every match and price the bet.
+
+    The joined table is checkpointed: the bounds and the picks both read it.
+    """
     joined = model.select(*keys, odds).join(market.select(*keys, win, *books), list(keys))
-    priced = joined.withColumn("avg_market_odds", row_mean(list(books)))
+    priced = cut(joined.withColumn("avg_market_odds", row_mean(list(books))))
     kept = filter_market(priced, "avg_market_odds", books, "iqr", threshold)
     picks = favourites(kept, match, odds, [side]).withColumn("avg_market_odds", clamp_odds("avg_market_odds"))
     return picks.withColumns({"stake": F.lit(float(stake)), "profit": flat_profit(win, "avg_market_odds", stake)})

@@ -281,44 +281,45 @@ def similar_texts(left: DataFrame, a: str, right: DataFrame, b: str, block: Sequ
     return scored.withColumnsRenamed({"_a": a, "_b": b})
 
 
-def _pieces(length: Column, errors: Column, make) -> Column:
-    """``make(i, start, size)`` for each of the errors + 1 near-equal pieces of a text of this length."""
-    base, extra = F.floor(length / (errors + 1)), length % (errors + 1)
-    return F.transform(
-        F.sequence(F.lit(0), errors),
-        lambda i: make(i, (i * base + F.least(i, extra) + 1).cast("int"), (base + F.when(i < extra, 1).otherwise(0)).cast("int")),
-    )
+def _piece(df: DataFrame) -> DataFrame:
+    """Number the _e + 1 near-equal pieces of a text of length _len and give each its start and size."""
+    n = F.col("_e") + 1
+    base, extra = F.floor(F.col("_len") / n), F.col("_len") % n
+    i = F.col("_no")
+    return df.withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_e")))).withColumns({
+        "_at": (i * base + F.least(i, extra) + 1).cast("int"), "_size": (base + F.when(i < extra, 1).otherwise(0)).cast("int"),
+    })
 
 
 def _short_in_long(shorts, s, longs, l, block, similarity, strict) -> DataFrame:
-    """Candidate pairs with len(s) <= len(l) (strictly shorter when ``strict``)."""
-    long_keys = (
-        longs.withColumn("_len", F.length(l)).withColumn("_e", _edit_budget(F.col("_len"), similarity))
-        .select(*block, l, "_len", F.explode(_pieces(F.col("_len"), F.col("_e"), lambda i, at, size: F.struct(
-            i.alias("no"), F.substr(F.col(l), at, size).alias("piece")))).alias("_k"))
-        .select(*block, l, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece"))
+    """Candidate pairs with len(s) <= len(l) (strictly shorter when ``strict``).
+
+    Lengths, piece numbers and places are generated with plain explodes, which
+    stay inside generated code. Only lengths that occur among the longer texts
+    are offered; there are at most as many as the longest text has characters.
+    """
+    lengths = sorted(r[0] for r in longs.select(F.length(l)).distinct().collect() if r[0] is not None)
+    keys = [*block, "_len", "_no", "_piece"]
+    budget = _edit_budget(F.col("_len"), similarity)
+    long_keys = _piece(longs.withColumn("_len", F.length(l)).withColumn("_e", budget)).select(
+        *block, l, "_len", "_no", F.substr(F.col(l), F.col("_at"), F.col("_size")).alias("_piece")
     )
-    none = F.array().cast("array<int>")
-    own = F.col("_own")
+    own, e, i, at, size = (F.col(c) for c in ("_own", "_e", "_no", "_at", "_size"))
     # The longest partner: (1 - similarity) * length edits must cover the difference in length.
     low, high = own + (1 if strict else 0), F.floor(own / similarity + 1e-9).cast("int")
+    shift = own - F.col("_len")
     offered = (
-        shorts.withColumn("_own", F.length(s))
-        .withColumn("_len", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(none)))
-        .withColumn("_e", _edit_budget(F.col("_len"), similarity))
+        shorts.withColumn("_own", F.length(s)).withColumns({"_low": low, "_high": high}).where(F.col("_low") <= F.col("_high"))
+        .withColumn("_len", F.explode(F.sequence("_low", "_high"))).where(F.col("_len").isin(lengths)).withColumn("_e", budget)
+    )
+    spots = _piece(offered).withColumns({
+        "_first": F.greatest(F.lit(1), at - i, at + shift - (e - i)).cast("int"),
+        "_last": F.least(own - size + 1, at + i, at + shift + (e - i)).cast("int"),
+    }).where(F.col("_first") <= F.col("_last"))
+    short_keys = spots.withColumn("_p", F.explode(F.sequence("_first", "_last"))).select(
+        *block, s, "_len", "_no", F.substr(F.col(s), F.col("_p"), size).alias("_piece")
     )
-    e, shift = F.col("_e"), own - F.col("_len")
-
-    def places(i, at, size):
-        first = F.greatest(F.lit(1), at - i, at + shift - (e - i)).cast("int")
-        last = F.least(own - size + 1, at + i, at + shift + (e - i)).cast("int")
-        spots = F.when(first <= last, F.sequence(first, last)).otherwise(none)
-        return F.transform(spots, lambda p: F.struct(i.alias("no"), F.substr(F.col(s), p, size).alias("piece")))
-
-    short_keys = offered.select(
-        *block, s, "_len", F.explode(F.array_distinct(F.flatten(_pieces(F.col("_len"), e, places)))).alias("_k")
-    ).select(*block, s, "_len", F.col("_k.no").alias("_no"), F.col("_k.piece").alias("_piece"))
-    return short_keys.join(long_keys, [*block, "_len", "_no", "_piece"]).select(*block, s, l).distinct()
+    return short_keys.join(long_keys, keys).select(*block, s, l).distinct()
 
 
 def market_event_candidates(matches: DataFrame, events: DataFrame, *, day: str, a: str, b: str, event_day: str,

@@ -104,18 +104,17 @@ def pivot_mean(df: DataFrame, keys: Sequence[str], column: str, value: str, valu
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column; quartiles are exact."""
-    from duelframe.plans.quantiles import exact_quantiles
+    from duelframe.plans.quantiles import exact_quantiles_of
 
-    rows = None
-    for c in columns:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        one = df.agg(
+    quartiles = exact_quantiles_of(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    stats = df.agg(F.array(*[
+        F.struct(
             F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"), F.lit(q[0]).alias("q25"), F.lit(q[1]).alias("median"), F.lit(q[2]).alias("q75"),
+            F.min(c).cast("double").alias("min"), *[F.lit(q).cast("double").alias(n) for q, n in zip(quartiles[c], ("q25", "median", "q75"))],
             F.max(c).cast("double").alias("max"),
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        ) for c in columns
+    ]).alias("_rows"))
+    return stats.select(F.explode("_rows").alias("_r")).select("_r.*")
 
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

@@ -120,6 +120,8 @@ def rate(inputs: DataFrame, spec: RatingSpec | str, *, state: DataFrame | None =
     """
     spec = RATINGS[spec] if isinstance(spec, str) else spec
     if mode == "auto":
+        # Sized first and rated after: materialised so that the matches are built once.
+        inputs = cut(inputs)
         # The number of leagues is unknown, so only the largest count travels to the driver.
         largest = inputs.groupBy("league").count().agg(F.max("count")).first()[0] or 0
         mode = "fold" if largest <= max_group_rows(inputs.sparkSession) else "waves"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,20 +11,34 @@ from duelframe.session import max_group_rows
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], limit: int | None = None) -> list[float | None]:
-    """Quantiles of a column, NULL values left out.
+    """Quantiles of one column, NULL values left out."""
+    return exact_quantiles_of(df, {column: probs}, limit)[column]
 
-    A column proven small is one ``percentile`` aggregate. Beyond that the
-    aggregate's value map would have to fit one task, so every needed rank is
-    found by narrowing: approximate quantiles give pivots, one counting pass
-    tells between which pivots the rank lies, and the search goes on there.
+
+def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]], limit: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles of several columns: one counting pass, then one pass for all columns proven small.
+
+    Beyond ``limit`` values the ``percentile`` aggregate's value map would have
+    to fit one task, so every needed rank is found by narrowing: approximate
+    quantiles give pivots, one counting pass tells between which pivots the rank
+    lies, and the search goes on there.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     limit = limit or max_group_rows(df.sparkSession)
-    n = values.count()
-    if n == 0:
-        return [None for _ in probs]
-    if n <= limit:
-        return list(values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first().q)
+    counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
+    out: dict[str, list[float | None]] = {c: [None] * len(p) for c, p in wanted.items() if not counts[c]}
+    small = [c for c in wanted if 0 < counts[c] <= limit]
+    if small:
+        row = df.agg(*[
+            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(c) for c in small
+        ]).first()
+        out.update({c: list(row[c]) for c in small})
+    for c in wanted:
+        if c not in out:
+            out[c] = _by_ranks(df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull()), counts[c], wanted[c], limit)
+    return out
+
+
+def _by_ranks(values: DataFrame, n: int, probs: Sequence[float], limit: int) -> list[float]:
     found: dict[int, float] = {}
 
     def at(rank: int) -> float:
