@@ -187,3 +187,17 @@ def matchup_scores(t):
     one = pairs.expand_matchups(here, latest, "a", "b", "entity")
     two = pairs.expand_matchups(here, latest, "b", "a", "entity")
     return learn.score_matchups(model, one, two, ["a", "b"]).select("a", "b", "p")
+
+
+@query("asof_training_rows", "WITH " + SIDES_SQL + ", f AS (" + _features_sql((Metric("winavg", "avg", "win"), Metric("boutcount", "count", frames=("",))), "sides", "entity, match_id, ts", "entity", "ts, match_id") + """),
+d AS (SELECT entity, ts, postcomp_winavg, postcomp_boutcount FROM f QUALIFY row_number() OVER (PARTITION BY entity, ts ORDER BY match_id DESC) = 1)
+SELECT m.match_id, x.postcomp_winavg AS postcomp_winavg, x.postcomp_boutcount AS postcomp_boutcount, y.postcomp_winavg AS opp_postcomp_winavg, y.postcomp_boutcount AS opp_postcomp_boutcount
+FROM matches m ASOF LEFT JOIN d x ON x.entity = m.a AND m.ts > x.ts ASOF LEFT JOIN d y ON y.entity = m.b AND m.ts > y.ts""")
+def asof_training_rows(t):
+    """What was known of both sides before the day of each match: the training rows of an as-of model."""
+    f = history_features(sides(t), "entity", ["ts", "match_id"], (Metric("winavg", "avg", "win"), Metric("boutcount", "count", frames=("",))))
+    f = rounded(f.select("entity", "ts", "match_id", "postcomp_winavg", "postcomp_boutcount"), "postcomp_winavg")
+    daily = latest_row(f, ["entity", "ts"], ["match_id"])
+    out = pairs.asof_sides(matches(t).select("match_id", "ts", "a", "b"), daily, match_id="match_id", ts="ts", a="a", b="b", entity="entity",
+                           columns=["postcomp_winavg", "postcomp_boutcount"])
+    return out.drop("ts", "a", "b")

@@ -224,6 +224,26 @@ def expand_matchups(requests: DataFrame, latest: DataFrame, a: str, b: str, enti
     )
 
 
+def asof_sides(matches: DataFrame, snapshots: DataFrame, *, match_id: str, ts: str, a: str, b: str, entity: str,
+               columns: Sequence[str], prefix: str = "opp_", **kw) -> DataFrame:
+    """Matches with both sides' latest snapshot strictly before the match, NULL for a side without one.
+
+    Both sides are probed in one scan: a match is one probe per side, and the
+    two answers come back together in one aggregation by match.
+    """
+    probes = matches.select(F.col(match_id), F.col(ts), F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col(a).alias(entity)), F.struct(F.lit(1).alias("_side"), F.col(b).alias(entity)),
+    )).alias("_p")).select(match_id, ts, "_p.*")
+    snaps = snapshots.select(entity, ts, F.struct(*columns).alias("_snap"))
+    seen = asof_latest(probes, snaps, [entity], ts, "_snap", "_found", tie=[match_id, "_side"], **kw)
+    both = seen.groupBy(match_id).agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_found"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_found"))).alias("_b")
+    )
+    return matches.join(both, match_id).select(
+        *matches.columns, *[F.col(f"_a.{c}").alias(c) for c in columns], *[F.col(f"_b.{c}").alias(prefix + c) for c in columns]
+    )
+
+
 def version_at(requests: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The stored version of exactly this entity and date."""
     return requests.join(history, list(keys))
@@ -242,8 +262,9 @@ def full_name_members(people: DataFrame, first: str, last: str, wanted: DataFram
     return named.join(wanted.select(name).distinct(), name, "left_semi").select(*people.columns, name)
 
 
-def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, limit: int | None = 1_000) -> DataFrame:
-    """Best match per requested text: exact (1), ignoring case (2), contained (3).
+def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, limit: int | None = 1_000,
+                 opponents: DataFrame | None = None) -> DataFrame:
+    """Best match per requested text: exact (1), ignoring case (2), contained (3), contained in an opponent's name (4).
 
     The first name in alphabetical order wins inside a tier.
     """
@@ -253,6 +274,9 @@ def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, l
     folded = want.join(known, F.lower(asked) == F.lower(name)).withColumn("tier", F.lit(2))
     part = contains_join(known, name, want, asked, limit).select(asked, name).withColumn("tier", F.lit(3))
     found = exact.unionByName(folded).unionByName(part)
+    if opponents is not None:
+        other = contains_join(opponents.select(name).distinct(), name, want, asked, limit)
+        found = found.unionByName(other.select(asked, name).withColumn("tier", F.lit(4)))
     best = found.groupBy(asked).agg(F.min(F.struct("tier", name)).alias("_b")).select(asked, "_b.*")
     return requests.join(best, asked, "left")
 
