@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, sides
 from duelframe.operators import clean, pairs, profile, sequence
+from duelframe.plans.sizing import oversized_groups
 from duelframe.operators.history import FRAMES, MATCH_METRICS, Metric, feature_names, history_features
 
 
@@ -195,8 +196,10 @@ SELECT o_custkey, o_orderkey, r2(diff) AS diff,
 FROM s""")
 def deltas_and_rolling(t):
     keys, order = "o_custkey", ["ts", "o_orderkey"]
-    d = sequence.first_difference(_orders_seq(t), keys, order, "price", "diff")
-    d = sequence.rolling_sums(d, keys, order, "diff")
+    rows = _orders_seq(t)
+    hot = oversized_groups(rows, [keys])
+    d = sequence.first_difference(rows, keys, order, "price", "diff", hot=hot)
+    d = sequence.rolling_sums(d, keys, order, "diff", hot=hot)
     return rounded(d, "diff", "diff_change_3", "diff_change_5", digits=2).select("o_custkey", "o_orderkey", "diff", "diff_change_3", "diff_change_5")
 
 
@@ -207,10 +210,12 @@ FROM s""")
 def streak_and_count(t):
     """Orders before, and consecutive price rises immediately before, each order."""
     keys, order = "o_custkey", ["ts", "o_orderkey"]
-    d = sequence.previous_row(_orders_seq(t), keys, order, ["price"])
+    rows = _orders_seq(t)
+    hot = oversized_groups(rows, [keys])  # counted once for the three scans
+    d = sequence.previous_row(rows, keys, order, ["price"], hot=hot)
     d = d.withColumn("up", F.coalesce(F.col("price") > F.col("prev.price"), F.lit(False)))
-    d = sequence.matches_before(d, keys, order)
-    d = sequence.win_streak_before(d, keys, order, F.col("up"))
+    d = sequence.matches_before(d, keys, order, hot=hot)
+    d = sequence.win_streak_before(d, keys, order, F.col("up"), hot=hot)
     return d.select("o_custkey", "o_orderkey", "matches_before", "streak_before")
 
 

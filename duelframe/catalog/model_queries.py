@@ -9,6 +9,7 @@ from duelframe.catalog.history_queries import _features_sql
 from duelframe.operators import evaluate, learn, pairs, quality
 from duelframe.operators.history import Metric, history_features
 from duelframe.operators.sequence import latest_row
+from duelframe.plans.sizing import cut
 
 
 @query("linear_fit", """
@@ -29,11 +30,16 @@ def linear_imputation(t):
     return learn.impute_linear(n, fit, "price", digits=6).withColumn("price", F.round("price", 0))
 
 
-@query("linear_fit_two_features", None)
+@query("linear_fit_two_features", """
+WITH c AS (SELECT covar_pop(l_extendedprice, l_quantity) AS cqy, covar_pop(l_extendedprice, l_tax) AS cty, covar_pop(l_quantity, l_tax) AS cqt, var_pop(l_quantity) AS vq, var_pop(l_tax) AS vt,
+  var_pop(l_extendedprice) AS vy, avg(l_extendedprice) AS my, avg(l_quantity) AS mq, avg(l_tax) AS mt FROM lineitem),
+b AS (SELECT *, (cqy * vt - cty * cqt) / (vq * vt - cqt * cqt) AS wq, (cty * vq - cqy * cqt) / (vq * vt - cqt * cqt) AS wt FROM c)
+SELECT r2(my - wq * mq - wt * mt) AS intercept, r4(wq) AS w_quantity, r2(wt) AS w_tax, r6((wq * cqy + wt * cty) / vy) AS r2 FROM b""")
 def linear_fit_two_features(t):
-    """Normal-equation solver; tested against a closed-form solution."""
+    """Normal-equation solver against the closed form of two features."""
     fit = learn.linear_fit(t.lineitem.select("l_quantity", "l_tax", "l_extendedprice"), ["l_quantity", "l_tax"], "l_extendedprice")
-    return t.spark.createDataFrame([(fit["intercept"], *fit["weights"], fit["mse"], fit["r2"])], "intercept double, w_quantity double, w_tax double, mse double, r2 double")
+    row = t.spark.createDataFrame([(fit["intercept"], *fit["weights"], fit["r2"])], "intercept double, w_quantity double, w_tax double, r2 double")
+    return row.select(r("intercept", 2).alias("intercept"), r("w_quantity").alias("w_quantity"), r("w_tax", 2).alias("w_tax"), r("r2", 6).alias("r2"))
 
 
 @query("fill_median_mean_zero", """
@@ -63,9 +69,9 @@ def split_fixed_date(t):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_random", None)
+@query("split_random", """
+SELECT CASE WHEN substr(md5('42:' || o_orderkey), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM orders GROUP BY 1""")
 def split_random(t):
-    """Hash split; the hash is Spark's, so shares are tested, not rows."""
     train, test = learn.split_random(t.orders.select("o_orderkey"), "o_orderkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -151,7 +157,8 @@ def model_rows(t):
     f = f.select("match_id", "ts", "entity", "opp_entity", "win", *pre)
     left = f.where(F.col("entity") < F.col("opp_entity")).drop("opp_entity")
     right = f.where(F.col("entity") > F.col("opp_entity")).select("match_id", "entity", *pre)
-    return pairs.side_join(left, right, ["match_id"]).withColumn("win", F.col("win").cast("double"))
+    # Fits, imputers and scalers each read the table, so it is built once.
+    return cut(pairs.side_join(left, right, ["match_id"]).withColumn("win", F.col("win").cast("double")))
 
 
 @query("model_backtest", None)
@@ -167,7 +174,6 @@ def model_votes(t):
     """Logistic, boosted and Bayes models vote on the last year's matches."""
     rows = model_rows(t)
     train, test = learn.split_recent(rows, "ts", 365)
-    train = train.persist()
     models = {
         "logistic": learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=1000),
         "boosted": learn.train(train, MODEL_FEATURES, "boosted", maxIter=5, maxDepth=3),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duelframe.catalog.base import MATCHES_SQL, matches, query, r, rounded
 from duelframe.operators import evaluate, profile, quality, ratings as R
+from duelframe.plans.sizing import cut
 from duelframe.operators.rating_rules import RATINGS, WEIGHTS_ACCURACY, WEIGHTS_LIVE, WEIGHTS_TUNED
 
 AS_OF = "2002-01-01"
@@ -261,7 +262,7 @@ def rating_increment(t):
     """Earlier matches first, the later ones on top of the stored state: equal to one run."""
     inputs = _inputs(t, "time_finish")
     early, late = (inputs.where(F.col("ts") < "2000-01-01"), inputs.where(F.col("ts") >= "2000-01-01"))
-    first = R.rate(early, "time_finish")
+    first = cut(R.rate(early, "time_finish"))
     second, _ = R.update_with_late_results(late, "time_finish", R.current_state(first))
     out = first.unionByName(second).select("match_id", "pre", "opp_pre", "post", "opp_post")
     return rounded(out, "pre", "opp_pre", "post", "opp_post", digits=2)
@@ -290,14 +291,14 @@ SELECT league, entity, count(*) AS compared, CAST(sum(CASE WHEN abs(pre - prev)
   r4(avg(CASE WHEN abs(pre - prev) <= 1 THEN 1.0::DOUBLE ELSE 0 END)) AS match_rate FROM c WHERE prev IS NOT NULL GROUP BY 1, 2""")
 def rating_continuity(t):
     """Layoff decay breaks continuity: per entity the share of matches whose pre equals the previous post."""
-    rows = quality.continuity_rows(R.by_entity(_rated(t, "time_finish")), ["league", "entity"], ["ts", "match_id"], {"pre": "post"}, tolerance=1.0)
+    rows = quality.continuity_rows(cut(R.by_entity(_rated(t, "time_finish"))), ["league", "entity"], ["ts", "match_id"], {"pre": "post"}, tolerance=1.0)
     return rounded(quality.continuity_report(rows, ["league", "entity"]), "match_rate")
 
 
 @query("continuity_repair", CONT + """
 SELECT league, entity, match_id, r2(CASE WHEN abs(pre - prev) > 1 THEN prev ELSE pre END) AS pre, r2(post) AS post FROM c""")
 def continuity_repair(t):
-    fixed = quality.repair_continuity(R.by_entity(_rated(t, "time_finish")), ["league", "entity"], ["ts", "match_id"], "pre", "post")
+    fixed = quality.repair_continuity(cut(R.by_entity(_rated(t, "time_finish"))), ["league", "entity"], ["ts", "match_id"], "pre", "post")
     return rounded(fixed.select("league", "entity", "match_id", "pre", "post"), "pre", "post", digits=2)
 
 
@@ -305,6 +306,6 @@ def continuity_repair(t):
 SELECT league, entity, match_id, r2(CASE WHEN abs(pre - prev) > 1 THEN prev ELSE pre END) AS pre, r2(post) AS post FROM c
 QUALIFY row_number() OVER (PARTITION BY league, entity ORDER BY ts DESC, match_id DESC) = 1""")
 def corrected_latest(t):
-    rows = R.by_entity(_rated(t, "time_finish"))
+    rows = cut(R.by_entity(_rated(t, "time_finish")))
     last = quality.corrected_latest(rows, ["league", "entity"], ["ts", "match_id"], "pre", "post")
     return rounded(last.select("league", "entity", "match_id", "pre", "post"), "pre", "post", digits=2)

@@ -195,8 +195,9 @@ def empty_like(df: DataFrame) -> DataFrame:
 
 
 def sample_entities(df: DataFrame, entity: str, n: int, seed: int = 42) -> DataFrame:
-    """n distinct entities in a repeatable pseudo-random order."""
-    return df.select(entity).distinct().orderBy(F.xxhash64(F.col(entity), F.lit(seed)), entity).limit(n)
+    """n distinct entities in a repeatable pseudo-random order: the smallest digests of (seed, entity)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(entity).cast("string")))
+    return df.select(entity).distinct().orderBy(digest, entity).limit(n)
 
 
 def rows_removed(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from duelframe.functions.numbers import logistic_gap, wilson_bounds
 from duelframe.operators.profile import auc_by
 from duelframe.plans.ordered import ordered_scan
+from duelframe.plans.sizing import cut
 
 
 def _c(c: Column | str) -> Column:
@@ -105,7 +106,8 @@ def confident_slice(df: DataFrame, p: str, at_least: float = 0.7) -> DataFrame:
 
 
 def recent_rating_score(rated: DataFrame, days: int = 548, scale: float = 170.0) -> DataFrame:
-    """Rating baseline over the last ``days`` before the newest match."""
+    """Rating baseline over the last ``days`` before the newest match; the rated rows are read twice, so materialised."""
+    rated = cut(rated)
     newest = rated.agg(F.max("ts").alias("t")).first().t
     recent = rated.where(F.col("ts") >= F.date_sub(F.lit(newest).cast("date"), days)).where(F.col("score").isNotNull())
     return rating_baseline(recent, "pre", "opp_pre", "score", scale)

@@ -88,9 +88,9 @@ def split_at(df: DataFrame, ts: str, date: str) -> tuple[DataFrame, DataFrame]:
 
 
 def split_random(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Repeatable split by a hash of the key, independent of partitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
-    test = bucket < int(test_share * 10_000)
+    """Repeatable split by a digest of (seed, key), independent of partitioning."""
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    test = digest < F.lit(format(int(test_share * 16**8), "08x"))
     return df.where(~test), df.where(test)
 
 

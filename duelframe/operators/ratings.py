@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from duelframe.functions import ratings as rf
 from duelframe.operators.rating_rules import RATINGS, RULES, ColumnMath, FloatMath, RatingSpec
-from duelframe.operators.sequence import numbered
-from duelframe.plans.sizing import cut, fits_broadcast
+from duelframe.operators.sequence import first_difference, numbered, rolling_sums
+from duelframe.plans.sizing import cut, fits_broadcast, oversized_groups
 from duelframe.session import max_group_rows
 
 INPUTS = ["day", "score", "k0", "u", "v"]
@@ -423,11 +423,13 @@ def rating_history(rated: DataFrame, entities: DataFrame, key: str = "entity") -
 
 
 def rating_features(rated: DataFrame, **kw) -> DataFrame:
-    """Per entity and match: rating change, difference to the previous match and its rolling sums."""
-    from duelframe.operators.sequence import first_difference, rolling_sums
+    """Per entity and match: rating change, difference to the previous match and its rolling sums.
 
-    rows = by_entity(rated).withColumn("change", F.col("post") - F.col("pre"))
+    The rated rows are materialised and the groups counted once for the three scans.
+    """
     keys, order = ["league", "entity"], ["ts", "match_id"]
+    rows = cut(by_entity(rated).withColumn("change", F.col("post") - F.col("pre")))
+    kw.setdefault("hot", oversized_groups(rows, keys, kw.get("limit")))
     rows = first_difference(rows, keys, order, "pre", "pre_prev", **kw)
     rows = rolling_sums(rows, keys, order, "pre_prev", **kw)
     return rolling_sums(rows, keys, order, "change", pattern="post_change_{n}", **kw)
@@ -435,5 +437,5 @@ def rating_features(rated: DataFrame, **kw) -> DataFrame:
 
 def update_with_late_results(late: DataFrame, spec: RatingSpec | str, state: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """Rate late matches on top of stored ratings: (rated matches, new state)."""
-    rated = rate(late, spec, state=state, **kw)
+    rated = cut(rate(late, spec, state=state, **kw))
     return rated, current_state(rated, state)

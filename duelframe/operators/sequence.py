@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelframe.plans.ordered import ordered_scan
+from duelframe.plans.sizing import oversized_groups
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -63,6 +64,7 @@ def numbered(df, keys, order, out: str = "seq", **kw) -> DataFrame:
 
 def win_streak_before(df, keys, order, won: Column, out: str = "streak_before", **kw) -> DataFrame:
     """Consecutive wins immediately before each row: rows so far minus the row number of the last non-win."""
+    kw.setdefault("hot", oversized_groups(df, _names(keys), kw.get("limit")))
     base = numbered(df, keys, order, "_n", **kw).withColumn("_lost_at", F.when(~won, F.col("_n")))
 
     def build(d, w):

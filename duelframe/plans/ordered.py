@@ -45,7 +45,13 @@ def ordered_scan(
     maxes: Sequence[str] = (),
     lasts: Sequence[str] = (),
     limit: int | None = None,
+    hot: tuple[DataFrame | None, int] | None = None,
 ) -> DataFrame:
+    """Run ``build`` over every group of ``keys`` in ``order``.
+
+    ``hot`` is the answer of ``oversized_groups(df, keys)``; pass it when several
+    scans run over the same keys, so that the groups are counted once.
+    """
     keys, order = list(keys), list(order)
     carried = [*sums, *maxes, *lasts]
     if len(carried) != len(set(carried)):
@@ -54,7 +60,7 @@ def ordered_scan(
     if not keys:
         keys, df = [_CONST], df.withColumn(_CONST, F.lit(0))
     limit = limit or max_group_rows(df.sparkSession)
-    hot, hot_rows = oversized_groups(df, keys, limit)
+    hot, hot_rows = hot or oversized_groups(df, keys, limit)
     window = Window.partitionBy(*keys).orderBy(*order)
     helpers = ["_one"] + ([_CONST] if keys == [_CONST] else [])
     if hot is None:

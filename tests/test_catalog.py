@@ -22,3 +22,23 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+SPLIT = [
+    "history_features", "deltas_and_rolling", "streak_and_count", "carry_forward", "history_pages", "asof_latest_view", "nearest_category_two_pass",
+    "roi_running", "roi_volatility", "running_value_total", "roc_points", "monthly_scores", "time_folds", "outlier_iqr", "describe_columns",
+    "rating_time_finish", "rating_offence_defence", "continuity_repair", "feature_continuity", "interval_stats",
+]
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_query_matches_sql_when_every_group_is_oversized(spark, con, name):
+    """The same queries with a group limit so low that keys are split, ranks narrowed and ratings run in waves."""
+    from duelframe.session import MAX_GROUP_ROWS
+
+    spark.conf.set(MAX_GROUP_ROWS, "30")
+    try:
+        _, verdict, _, _, _, note = compare(spark, SF, name, QUERIES[name], SQL[name], con)
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS)
+    assert verdict == "ok", note
