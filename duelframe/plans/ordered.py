@@ -69,37 +69,45 @@ def ordered_scan(
     short = df.join(F.broadcast(hot), on, "left_anti")
     long = df.join(F.broadcast(hot), on, "left_semi")
     sums = list(dict.fromkeys([*sums, "_one"]))
-    chunked = _chunked(long, keys, order, build, reach, sums, list(maxes), list(lasts), hot_rows, limit)
-    return build(short, window).unionByName(chunked).drop(*helpers)
+    plain = build(short, window)
+    chunked = _chunked(_widened(long, sums), keys, order, build, reach, sums, list(maxes), list(lasts), hot_rows, limit)
+    same_types = chunked.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in plain.schema.fields])
+    return plain.unionByName(same_types).drop(*helpers)
+
+
+def _widened(df: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Summed columns in the type of their sum, so that an inherited total always fits."""
+    wide = df.agg(*[F.sum(c).alias(c) for c in sums]).schema
+    return df.withColumns({c: F.col(c).cast(wide[c].dataType) for c in sums if wide[c].dataType != df.schema[c].dataType})
 
 
 def _chunked(long, keys, order, build, reach, sums, maxes, lasts, hot_rows, limit) -> DataFrame:
     parts = max(2, -(-2 * hot_rows // limit))
     columns = long.columns
-    rows = cut(long.repartitionByRange(parts, *keys, *order)).withColumn("_chunk", F.spark_partition_id())
+    rows = cut(long.repartitionByRange(parts, *keys, *order)).withColumn("__chunk", F.spark_partition_id())
     seq = F.struct(*order)
 
     # What each chunk leaves behind.
-    tail_window = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
+    tail_window = Window.partitionBy(*keys, "__chunk").orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        rows.withColumn("_back", F.row_number().over(tail_window))
-        .where(F.col("_back") <= reach)
-        .groupBy(*keys, "_chunk")
+        rows.withColumn("__back", F.row_number().over(tail_window))
+        .where(F.col("__back") <= reach)
+        .groupBy(*keys, "__chunk")
         .agg(F.array_sort(F.collect_list(F.struct(seq.alias("_seq"), F.struct(*columns).alias("_row")))).alias("_tail"))
     )
-    totals = rows.groupBy(*keys, "_chunk").agg(
+    totals = rows.groupBy(*keys, "__chunk").agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in sums],
         *[F.max(c).alias(f"_max_{c}") for c in maxes],
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq)).alias(f"_last_{c}") for c in lasts],
     )
-    chunk_keys = [*keys, "_chunk"]
+    chunk_keys = [*keys, "__chunk"]
     totals_on = same_key(totals, tails, chunk_keys)
     summary = totals.join(tails, totals_on).select(
         *[totals[c] for c in totals.columns], tails["_tail"]
     )
 
     # What each chunk inherits: one summary row per chunk, so this window is short.
-    over = Window.partitionBy(*keys).orderBy("_chunk")
+    over = Window.partitionBy(*keys).orderBy("__chunk")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     inherited = summary.select(
         *chunk_keys,
@@ -115,9 +123,9 @@ def _chunked(long, keys, order, build, reach, sums, maxes, lasts, hot_rows, limi
     schema = {f.name: f.dataType for f in rows.schema.fields}
     ghosts = inherited.select(*chunk_keys, F.explode("_ghosts").alias("_g")).select(
         *[F.col(f"_g._row.{c}").alias(c) for c in columns],
-        "_chunk",
-        F.lit(1).alias("_pos"),
-        F.lit(True).alias("_ghost"),
+        "__chunk",
+        F.lit(1).alias("__pos"),
+        F.lit(True).alias("__ghost"),
     )
 
     def seed(c):
@@ -137,9 +145,9 @@ def _chunked(long, keys, order, build, reach, sums, maxes, lasts, hot_rows, limi
         return F.lit(None).cast(schema[c]).alias(c)
 
     seeds = inherited.where(F.col("_sum__one") > reach).select(
-        *[seed(c) for c in columns], "_chunk", F.lit(0).alias("_pos"), F.lit(True).alias("_ghost")
+        *[seed(c) for c in columns], "__chunk", F.lit(0).alias("__pos"), F.lit(True).alias("__ghost")
     )
-    body = rows.select(*columns, "_chunk", F.lit(1).alias("_pos"), F.lit(False).alias("_ghost"))
-    window = Window.partitionBy(*chunk_keys).orderBy("_pos", *order)
+    body = rows.select(*columns, "__chunk", F.lit(1).alias("__pos"), F.lit(False).alias("__ghost"))
+    window = Window.partitionBy(*chunk_keys).orderBy("__pos", *order)
     built = build(body.unionByName(ghosts).unionByName(seeds), window)
-    return built.where(~F.col("_ghost")).drop("_chunk", "_pos", "_ghost")
+    return built.where(~F.col("__ghost")).drop("__chunk", "__pos", "__ghost")

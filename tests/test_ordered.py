@@ -45,3 +45,15 @@ def test_no_key_means_one_global_sequence(spark):
     out = ordered_scan(df, [], ["ts", "id"], running, sums=["v"], limit=9)
     assert {(r.ts, r.s) for r in out.collect()} == {(t, t + 1) for t in range(100)}
     assert out.columns == ["ts", "id", "v", "s"]
+
+
+def test_inherited_totals_may_exceed_the_column_type(spark):
+    big = 2_000_000_000
+    df = spark.range(40).select(F.lit("k").alias("k"), F.col("id"), F.lit(big).cast("int").alias("v"))
+
+    def running(d, w):
+        return d.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    out = ordered_scan(df, ["k"], ["id"], running, sums=["v"], reach=2, limit=10)
+    assert out.schema["v"].dataType.simpleString() == "int"
+    assert {(r.id, r.s) for r in out.collect()} == {(i, (i + 1) * big) for i in range(40)}
