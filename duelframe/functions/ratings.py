@@ -66,15 +66,17 @@ def first_round_bonus(finish_round: Column | str, per_side: float = 1.15) -> Col
     return F.when(_c(finish_round).try_cast("int") == 1, F.lit(per_side * per_side)).otherwise(F.lit(1.0))
 
 
-def title_text(label: Column | str, strict: bool = False) -> Column:
-    """Does the label read like a title match."""
+def title_text(label: Column | str, strict: bool = False, promotion: str | None = None) -> Column:
+    """Does the label read like a title match: it says championship, title (or belt unless ``strict``).
+
+    With the name of a ``promotion``, its "champion" counts too.
+    """
     text = F.lower(F.coalesce(_c(label), F.lit("")))
-    words = ["championship", "title"] if strict else ["championship", "title", "belt"]
     hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(text, F.lit(w))
-    if not strict:
-        hit = hit | (F.contains(text, F.lit("ufc")) & F.contains(text, F.lit("champion")))
+    for word in ["championship", "title"] + ([] if strict else ["belt"]):
+        hit = hit | F.contains(text, F.lit(word))
+    if promotion:
+        hit = hit | (F.contains(text, F.lit(promotion.lower())) & F.contains(text, F.lit("champion")))
     return hit
 
 

@@ -38,7 +38,7 @@ OUT = ["pre", "opp_pre", "post", "opp_post", "pre_x", "opp_pre_x", "post_x", "op
 # ---------------------------------------------------------------- inputs
 
 def rating_inputs(matches: DataFrame, spec: RatingSpec | str, *, match_id="match_id", league="league", ts="ts", a="a",
-                  b="b", score="score", symmetric_method=False, legacy_rounds=False) -> DataFrame:
+                  b="b", score="score", symmetric_method=False, legacy_rounds=False, promotion: str | None = None) -> DataFrame:
     """The narrow table the engine runs on: ids, day number, score and the static part of K.
 
     Uses whichever of these columns the spec asks for: outcome flags, ``round``,
@@ -55,7 +55,7 @@ def rating_inputs(matches: DataFrame, spec: RatingSpec | str, *, match_id="match
     if spec.class_modifier:
         k0 = k0 * rf.weight_modifier("natural_class", "opp_natural_class", "fought_class")
     if spec.title_factor != 1.0:
-        title = F.col("title_fight") == 1 if "title_fight" in have else rf.title_text("label", strict=spec.rule == "simple")
+        title = F.col("title_fight") == 1 if "title_fight" in have else rf.title_text("label", spec.rule == "simple", promotion)
         k0 = k0 * F.when(title, F.lit(spec.title_factor)).otherwise(F.lit(1.0))
     number = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
     return matches.select(

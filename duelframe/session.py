@@ -15,11 +15,13 @@ MAX_BROADCAST_ROWS = "spark.duelframe.maxBroadcastRows"
 MAX_BROADCAST_ROWS_DEFAULT = 200_000
 
 
-def local_session(app: str = "duelframe", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "duelframe", cores: str = "*", shuffle_partitions: int = 8, parallelism: int | None = None) -> SparkSession:
     """A local session with the settings the tests and the bench share."""
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    if parallelism:
+        builder = builder.config("spark.default.parallelism", str(parallelism))
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -10,10 +10,8 @@ from duelframe.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores="4", shuffle_partitions=4)
+    session = local_session("tests", cores="8", shuffle_partitions=2, parallelism=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
-
-SF = "/root/testdata/sf0.001"

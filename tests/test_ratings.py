@@ -56,18 +56,22 @@ def as_dict(df):
     return {r.match_id: tuple(None if r[c] is None else round(r[c], 6) for c in R.OUT) for r in df.collect()}
 
 
-@pytest.mark.parametrize("name", sorted(RATINGS))
+WAVES = {"time_finish": 3, "offence_defence": 2, "mean_reverting": 1, "log_loss": 1, "finish_factor": 1, "activity": 1, "simple": 1,
+         "striking_recent": 1, "glicko": 2}
+
+
+@pytest.mark.parametrize("name", sorted(WAVES))
 def test_waves_equal_fold(spark, matches, name):
-    if name not in ("time_finish", "offence_defence", "glicko", "simple"):
-        # Cheaper check for the rest: one wave only, remainder folded by component.
-        inputs = prepared(matches, name)
-        split = R.rate(inputs, name, mode="waves", max_waves=1, min_wave_rows=0)
-    else:
-        inputs = prepared(matches, name)
-        split = R.rate(inputs, name, mode="waves", max_waves=3, min_wave_rows=0)
+    """A few distributed waves, the remainder folded by component: the same ratings as one fold."""
+    inputs = prepared(matches, name)
+    split = R.rate(inputs, name, mode="waves", max_waves=WAVES[name], min_wave_rows=0)
     assert as_dict(split) == as_dict(R.rate(inputs, name, mode="fold"))
 
 
+def test_every_rule_is_covered():
+    assert {RATINGS[n].rule for n in WAVES} == {s.rule for s in RATINGS.values()}
+
+
 def test_even_ratings_move_by_half_k(spark):
     one = spark.createDataFrame([(1, "l", dt.date(2020, 1, 1), "a", "b", 1.0)], "match_id int, league string, ts date, a string, b string, score double")
     got = R.rate(R.rating_inputs(one, "linear"), RATINGS["linear"].with_(k=32.0)).first()

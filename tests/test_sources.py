@@ -13,9 +13,9 @@ from duelframe.streaming import ingest, ratings as sr
 
 def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "in.csv")
-    (tmp_path / "in.csv").write_text('EVENT,URL,DATE,LOCATION\n"UFC, 1",u,"March 16, 2024",x\n')
+    (tmp_path / "in.csv").write_text('EVENT,URL,DATE,LOCATION\n"Night, 1",u,"March 16, 2024",x\n')
     df = src.read_csv_dated(spark, path, src.EVENTS, {"DATE": ["MMMM d, yyyy"]})
-    assert tuple(df.first()) == ("UFC, 1", "u", dt.date(2024, 3, 16), "x")
+    assert tuple(df.first()) == ("Night, 1", "u", dt.date(2024, 3, 16), "x")
     src.write_csv(df.withColumn("v", F.lit(1.005)), str(tmp_path / "out"), digits=2)
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.first().v == "1.0" and back.columns == [*df.columns, "v"]
