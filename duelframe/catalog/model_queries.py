@@ -207,3 +207,16 @@ def asof_training_rows(t):
     out = pairs.asof_sides(matches(t).select("match_id", "ts", "a", "b"), daily, match_id="match_id", ts="ts", a="a", b="b", entity="entity",
                            columns=["postcomp_winavg", "postcomp_boutcount"])
     return out.drop("ts", "a", "b")
+
+
+@query("standardised_features", """
+WITH f AS (SELECT o_orderkey, o_totalprice AS x, (o_orderkey % 17)::DOUBLE AS y FROM orders), s AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy FROM f)
+SELECT o_orderkey, r4((x - mx) / sx) AS x, r4((y - my) / sy) AS y FROM f, s""")
+def standardised_features(t):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    f = t.orders.select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 17).cast("double").alias("y"))
+    out = Pipeline(stages=learn.preprocessing(["x", "y"], impute=None)).fit(f).transform(f)
+    v = vector_to_array("features")
+    return out.select("o_orderkey", r(v[0]).alias("x"), r(v[1]).alias("y"))

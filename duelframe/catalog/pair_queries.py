@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import MATCHES_SQL, matches, query, r, rounded
+from duelframe.catalog.base import MATCHES_SQL, matches, query, rounded
 from duelframe.operators import clean, pairs, quality
 from duelframe.sources import tables as src
 

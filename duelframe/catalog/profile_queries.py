@@ -62,7 +62,7 @@ def medians(t):
     from duelframe.operators.learn import medians as med
 
     m = med(t.orders, ["o_totalprice"])
-    return t.orders.limit(1).select(r(F.lit(m["o_totalprice"])).alias("o_totalprice"))
+    return rounded(t.spark.createDataFrame([(m["o_totalprice"],)], "o_totalprice double"), "o_totalprice")
 
 
 @query("correlations", "SELECT feature, r6(corr) AS corr FROM (" + " UNION ALL ".join(

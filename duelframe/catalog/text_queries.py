@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import query, r, rounded
+from duelframe.catalog.base import query, r
 from duelframe.functions import numbers as nf, ratings as rf, text as tx
 from duelframe.operators import clean, pairs
 from duelframe.sources import pages as pg
@@ -161,3 +161,36 @@ def first_document_per_text(t):
 @query("labelled_documents", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def labelled_documents(t):
     return pairs.keep_known(t.documents.select("doc_id", "lang"), t.labels.select("doc_id"), ["doc_id"])
+
+
+@query("column_surgery", """
+SELECT o_orderkey, o_custkey AS entity, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS win, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS result, o_totalprice AS precomp_price, round_even(o_totalprice / 7, 2) AS precomp_share FROM orders""")
+def column_surgery(t):
+    """Quoted names, stray columns, moved blocks, renamed and rounded columns."""
+    o = t.orders.select(
+        "o_orderkey", F.col("o_custkey").alias("'entity'"), F.lit(1).alias("Unnamed: 0"), (F.col("o_totalprice") > 250000).cast("int").alias("win"),
+        F.col("o_totalprice").alias("precomp_price"), (F.col("o_totalprice") / 7).alias("share"),
+    )
+    o = clean.result_column(clean.drop_prefixed(clean.strip_quotes_from_names(o)), "win", {"share": "precomp_share"})
+    o = clean.insert_after_twins(clean.move_columns(o, ["result"], "win", "before"), {"entity": clean.prefixed(o, "precomp_")})
+    return nf.round_doubles(o)
+
+
+@query("number_helpers", """
+SELECT o_orderkey, r6((o_orderkey % 50 + 20) / (o_orderkey % 31 + 20)::DOUBLE - 1) AS age_ratio,
+  r6(((o_orderkey % 97) / 97.0::DOUBLE + 1 - (o_orderkey % 89) / 89.0::DOUBLE) / 2) AS both_ways, CAST(1 + (o_orderstatus <> 'F')::INT AS INT) AS present
+FROM orders WHERE (o_orderstatus <> 'F')::INT + 1 >= 1""")
+def number_helpers(t):
+    k = F.col("o_orderkey")
+    o = t.orders.select("o_orderkey", (k % 50 + 20).cast("double").alias("a"), (k % 31 + 20).cast("double").alias("b"), (k % 97 / F.lit(97.0)).alias("p"), (k % 89 / F.lit(89.0)).alias("q"),
+                        F.when(F.col("o_orderstatus") != "F", 1).alias("x"), F.lit(1).alias("y"))
+    o = clean.keep_with_any(o, ["x", "y"], 1)
+    return o.select("o_orderkey", r(nf.ratio_difference("a", "b"), 6).alias("age_ratio"), r(nf.symmetric_probability("p", "q"), 6).alias("both_ways"),
+                    (F.lit(2) - nf.missing_count(["x", "y"])).alias("present"))
+
+
+@query("clean_texts", """
+SELECT conv_id, turn, role, md5(trim(replace(replace(text, chr(10), ''), '  ', ''))) AS digest, length(trim(replace(replace(text, chr(10), ''), '  ', ''))) AS chars FROM conversations""")
+def clean_texts(t):
+    c = tx.clean_space("text")
+    return t.conversations.select("conv_id", "turn", "role", F.md5(c).alias("digest"), F.length(c).cast("bigint").alias("chars"))
