@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.llm import decontaminate, exact_dedup, minhash_dedup, substring_dedup, suffix_dedup, toxicity, wfst_tokens
+from duelframe.llm import cotrain, decontaminate, exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup, toxicity, wfst_tokens
 from duelframe.llm.catalog import register, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -65,3 +65,37 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents")
     scored = toxicity.score(docs, toxicity_model(spark, folder, docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "own_hits", "quoted_hits")
+
+
+@register("op6_quality_cotraining")
+def op6(spark, folder):
+    scored = cotrain.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@register("op9_line_dedup", """
+WITH lists AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+),
+lines AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS place FROM lists
+),
+runs AS (
+  SELECT doc_id, place, line, lead(line, 1) OVER doc AS line1, lead(line, 2) OVER doc AS line2, lead(place, 2) OVER doc AS ends
+  FROM lines WINDOW doc AS (PARTITION BY doc_id ORDER BY place)
+),
+later AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY line, line1, line2 ORDER BY doc_id, place) AS turn FROM runs WHERE ends IS NOT NULL
+  ) WHERE turn > 1
+),
+gone AS (
+  SELECT DISTINCT doc_id, place + step AS place FROM later, (VALUES (0), (1), (2)) AS steps(step)
+)
+SELECT d.doc_id, len(d.lines)::BIGINT AS n_lines, count(g.place)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '')) AS kept_sha256
+FROM lists d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.place = l.place
+GROUP BY d.doc_id, d.lines
+""")
+def op9(spark, folder):
+    return line_dedup.remove_repeated_runs(table(spark, folder, "documents"), min_lines=3).select("doc_id", "n_lines", "n_removed", "kept_sha256")

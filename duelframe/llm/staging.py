@@ -33,7 +33,16 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     del df
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(folder)
+    table = spark.read.schema(schema).parquet(folder)
+    table._stage_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stage_folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duelframe.llm.arrays import _powers, chunks, list_column, mix64, prefix_sums, super_runs, text_bytes, whole_groups, U
 from duelframe.llm.deep_shallow import deep_shallow_sort
-from duelframe.llm.staging import TEXT_KEY, is_empty, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 PART = 1 << 21
@@ -232,12 +232,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = stage(places.groupBy(*KEYS).agg(F.collect_set("h").alias("wanted")), "wanted-anchors")
     cut = rows.join(wanted, KEYS).select(*KEYS, "text", "wanted")
     pieces = stage(cut.mapInArrow(_pieces(window, gram), f"h long, name binary, packed binary, {key_type}, start long, before int"), "anchored-strings")
+    discard(shared, wanted)
     different = stage(
         pieces.groupBy("h", "name").agg(F.count(F.lit(1)).alias("copies"), F.max("packed").alias("packed"), F.max("before").alias("before")), "different-strings"
     )
-    sizes = different.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"))
-    hot = stage(sizes.where(F.col("n") > bucket_rows).select("h"), "hot-anchors")
-    buckets = different.join(sizes.where((F.col("n") <= bucket_rows) & (F.col("all") > 1)), "h").select("h", "name", "packed", "before", "copies")
+    sizes = stage(different.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all")).where("all > 1").select("h", "n"), "bucket-sizes")
+    hot = sizes.where(F.col("n") > bucket_rows).select("h")
+    buckets = different.join(sizes.where(F.col("n") <= bucket_rows), "h").select("h", "name", "packed", "before", "copies")
     ranges = buckets.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_ranges(window), "h long, name binary, low array<int>, high array<int>")
     if not is_empty(hot):
         single = different.join(hot, "h", "left_semi").select("h", "name", "copies", "packed").mapInArrow(
@@ -249,7 +250,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         *KEYS, F.expr("transform(low, x -> start + x)").alias("firsts"), F.expr("transform(high, x -> start + x)").alias("lasts")
     )
     lists = found.groupBy(*KEYS).agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
-    return stage(lists, "repeated-ranges")
+    lists = stage(lists, "repeated-ranges")
+    discard(pieces, different, sizes)
+    return lists
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, **options) -> DataFrame:
