@@ -165,7 +165,7 @@ def model_rows(t):
 def model_backtest(t):
     """Train before, score within the last year: accuracy, log loss and AUC. The fit is iterative, so rows only."""
     train, test = learn.split_recent(model_rows(t), "ts", 365)
-    model = learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=1000)
+    model = learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=train.count())
     return evaluate.probability_scores(learn.score(model, test), "win", "p")
 
 
@@ -175,7 +175,7 @@ def model_votes(t):
     rows = model_rows(t)
     train, test = learn.split_recent(rows, "ts", 365)
     models = {
-        "logistic": learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=1000),
+        "logistic": learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=train.count()),
         "boosted": learn.train(train, MODEL_FEATURES, "boosted", maxIter=5, maxDepth=3),
         "bayes": learn.train(train, MODEL_FEATURES, "bayes"),
     }
@@ -186,7 +186,7 @@ def model_votes(t):
 def matchup_scores(t):
     """Bulk scoring of one pairing per supplier in both orientations; the two probabilities add up to 1."""
     rows = model_rows(t)
-    model = learn.train(rows, MODEL_FEATURES, "logistic", c=1.0, rows=1000)
+    model = learn.train(rows, MODEL_FEATURES, "logistic", c=1.0, rows=rows.count())
     s = history_features(sides(t), "entity", ["ts", "match_id"], (Metric("winavg", "avg", "win"), Metric("sigstr_pm", "rate", "sigstracc", "fight_time_minutes"), Metric("tdavg", "rate", "tdacc", "fight_time_minutes", scale=15)))
     latest = latest_row(s.select("entity", "ts", "match_id", *[F.col(f"postcomp_{n}").alias(f"precomp_{n}") for n in ("winavg", "sigstr_pm", "tdavg", "winavg3")]), "entity", ["ts", "match_id"]).drop("ts", "match_id")
     here = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))

@@ -116,9 +116,9 @@ def winner_loser_columns(t):
 
 
 @query("lookup_left", """
-SELECT o_orderkey, min(l_shipdate)::DATE AS first_ship, count(l_orderkey) > 0 AS shipped FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey GROUP BY 1""")
+SELECT o_orderkey, min(l_shipdate)::DATE AS first_ship, count(l_orderkey) > 0 AS shipped FROM orders LEFT JOIN lineitem ON l_orderkey * 3 = o_orderkey GROUP BY 1""")
 def lookup_left(t):
-    table = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("ship"))
+    table = t.lineitem.select((F.col("l_orderkey") * 3).alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("ship"))
     out = pairs.lookup_left(t.orders.select("o_orderkey"), table, ["o_orderkey"], {"ship": "first_ship"})
     return out.withColumn("shipped", F.col("first_ship").isNotNull())
 
@@ -155,19 +155,20 @@ def first_and_last_per_key(t):
 
 
 @query("semi_and_anti", """
-SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) THEN 'kept' ELSE 'removed' END AS state FROM customer""")
+SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey * 2 = c_custkey) THEN 'kept' ELSE 'removed' END AS state FROM customer""")
 def semi_and_anti(t):
-    big = t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    big = t.orders.select((F.col("o_custkey") * 2).alias("c_custkey"))
     kept = pairs.keep_known(t.customer.select("c_custkey"), big, ["c_custkey"])
     removed = clean.rows_removed(t.customer.select("c_custkey"), kept, ["c_custkey"])
     return kept.withColumn("state", F.lit("kept")).unionByName(removed.withColumn("state", F.lit("removed")))
 
 
 @query("full_name_members", """
-SELECT c_custkey, 'Customer ' || c_mktsegment AS name FROM customer WHERE 'Customer ' || c_mktsegment IN (SELECT 'Customer ' || c_mktsegment FROM customer WHERE c_acctbal > 9990)""")
+SELECT c_custkey, 'Customer ' || c_mktsegment AS name FROM customer WHERE 'Customer ' || c_mktsegment IN (SELECT 'Customer ' || o_orderpriority FROM orders UNION ALL SELECT 'Customer ' || c_mktsegment FROM customer JOIN supplier ON s_suppkey = c_custkey)""")
 def full_name_members(t):
     people = t.customer.select("c_custkey", F.lit("Customer ").alias("first"), "c_mktsegment")
-    wanted = t.customer.where("c_acctbal > 9990").select(F.concat(F.lit("Customer "), "c_mktsegment").alias("name"))
+    sold = t.customer.join(t.supplier, F.col("s_suppkey") == F.col("c_custkey")).select(F.concat(F.lit("Customer "), "c_mktsegment").alias("name"))
+    wanted = t.orders.select(F.concat(F.lit("Customer "), "o_orderpriority").alias("name")).unionByName(sold)
     return pairs.full_name_members(people, "first", "c_mktsegment", wanted, "name").select("c_custkey", "name")
 
 
@@ -255,10 +256,10 @@ def version_at_date(t):
 
 
 @query("rating_or_default", """
-WITH s AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49 GROUP BY 1)
+WITH s AS (SELECT l_suppkey * 2 AS l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1)
 SELECT s_suppkey, coalesce(q, 1500) AS rating FROM supplier LEFT JOIN s ON l_suppkey = s_suppkey""")
 def rating_or_default(t):
-    known = t.lineitem.where("l_returnflag = 'A' AND l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_quantity").alias("q"))
+    known = t.lineitem.groupBy((F.col("l_suppkey") * 2).alias("s_suppkey")).agg(F.sum("l_quantity").alias("q"))
     return pairs.rating_or_default(t.supplier.select("s_suppkey"), known, "s_suppkey", "q", "rating")
 
 

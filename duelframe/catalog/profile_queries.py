@@ -33,9 +33,9 @@ def distinct_entities(t):
 
 
 @query("category_counts", """
-SELECT c_nationkey, count(*) AS n, coalesce(CASE WHEN n_nationkey < 20 THEN n_name END, CAST(c_nationkey AS VARCHAR)) AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 3""")
+SELECT c_nationkey, count(*) AS n, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS name FROM customer LEFT JOIN nation ON n_nationkey + 5 = c_nationkey GROUP BY 1, 3""")
 def category_counts(t):
-    names = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
+    names = t.nation.select((F.col("n_nationkey") + 5).alias("c_nationkey"), F.col("n_name").alias("name"))
     return profile.category_counts(t.customer, "c_nationkey", names, "name")
 
 

@@ -261,7 +261,7 @@ def recent_rating_score(t):
 def rating_increment(t):
     """Earlier matches first, the later ones on top of the stored state: equal to one run."""
     inputs = _inputs(t, "time_finish")
-    early, late = (inputs.where(F.col("ts") < "2000-01-01"), inputs.where(F.col("ts") >= "2000-01-01"))
+    early, late = (inputs.where(F.col("ts") < "2000-01-01"), inputs.where(F.coalesce(F.col("ts") >= "2000-01-01", F.lit(True))))
     first = cut(R.rate(early, "time_finish"))
     second, _ = R.update_with_late_results(late, "time_finish", R.current_state(first))
     out = first.unionByName(second).select("match_id", "pre", "opp_pre", "post", "opp_post")

@@ -56,14 +56,14 @@ def match_sides(results: DataFrame, *, bout="BOUT", outcome="OUTCOME", method="M
 
 
 def exclude_void(df: DataFrame, outcome: str = "OUTCOME", method: str = "METHOD") -> DataFrame:
-    return df.where(~((F.col(outcome) == "NC/NC") | (F.trim(method) == "Overturned")))
+    return df.where(~F.coalesce((F.col(outcome) == "NC/NC") | (F.trim(method) == "Overturned"), F.lit(False)))
 
 
 def drop_irregular(df: DataFrame, time_format: str = "TIME FORMAT", round_no: str = "ROUND",
                    corrections: DataFrame | None = None) -> DataFrame:
-    """Drop rows of unusual formats that lasted beyond round 1, then add corrected rows if given."""
+    """Drop rows of unusual formats that lasted beyond round 1, then add corrected rows if given; unknown formats and rounds stay."""
     fmt, rnd = F.col(f"`{time_format}`"), F.col(round_no)
-    kept = df.where(~(~fmt.isin(REGULAR_FORMATS) & (rnd.cast("string") != "1")))
+    kept = df.where(~F.coalesce(~fmt.isin(REGULAR_FORMATS) & (rnd.cast("string") != "1"), F.lit(False)))
     return kept if corrections is None else kept.unionByName(corrections)
 
 

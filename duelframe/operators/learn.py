@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -110,13 +110,18 @@ def time_folds(df: DataFrame, order: Sequence[str], splits: int = 5, out: str =
 # ---------------------------------------------------------------- pipelines
 
 def preprocessing(features: Sequence[str], *, impute: str | None = "median", scale: str | None = "standard",
-                  categories: Sequence[str] = (), pca: int | None = None) -> list:
-    """Imputer, assembler, scaler, one-hot and PCA stages; features known only after the match are refused."""
+                  categories: Sequence[str] = (), pca: int | None = None, fills: Mapping[str, float] | None = None) -> list:
+    """Imputer, assembler, scaler, one-hot and PCA stages; features known only after the match are refused.
+
+    ``fills`` are values for missing inputs that the caller has worked out, such as exact medians of the training rows;
+    without them Spark's imputer fits approximate ones.
+    """
     features = model_features(features)
     stages, numeric = [], list(features)
     if impute:
         numeric = [f"{f}__f" for f in features]
-        stages.append(Imputer(strategy=impute, inputCols=list(features), outputCols=numeric, relativeError=0.001))
+        known = fills and [f"coalesce(nanvl(CAST(`{f}` AS DOUBLE), NULL), {float(fills[f] or 0.0)!r}D) AS `{n}`" for f, n in zip(features, numeric)]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(known)} FROM __THIS__") if known else Imputer(strategy=impute, inputCols=list(features), outputCols=numeric, relativeError=0.001))
     stages.append(VectorAssembler(inputCols=numeric, outputCol="_raw", handleInvalid="keep"))
     last = "_raw"
     if scale:
@@ -135,15 +140,16 @@ def preprocessing(features: Sequence[str], *, impute: str | None = "median", sca
     return stages
 
 
-def components_for(df: DataFrame, column: str, share: float = 0.95, most: int = 50) -> int:
-    """Smallest number of principal components explaining the share of variance."""
-    model = PCA(k=most, inputCol=column, outputCol="_p").fit(df)
+def components_for(df: DataFrame, column: str, share: float = 0.95, most: int | None = None) -> int:
+    """Smallest number of principal components explaining the share of variance, at most ``most`` and the number of inputs."""
+    inputs = len(df.select(column).first()[0])
+    k = min(inputs, most or inputs)
     total = 0.0
-    for i, v in enumerate(model.explainedVariance.toArray(), 1):
+    for i, v in enumerate(PCA(k=k, inputCol=column, outputCol="_p").fit(df).explainedVariance.toArray(), 1):
         total += v
         if total >= share:
             return i
-    return most
+    return k
 
 
 def classifier(kind: str, label: str = "win", *, rows: int | None = None, c: float = 1.0, layers: Sequence[int] = (8, 2),
@@ -170,7 +176,10 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
 
 
 def train(df: DataFrame, features: Sequence[str], kind: str = "logistic", label: str = "win", pre: dict | None = None, **params) -> PipelineModel:
-    return Pipeline(stages=[*preprocessing(features, **(pre or {})), classifier(kind, label, **params)]).fit(df)
+    pre = dict(pre or {})
+    if pre.get("impute", "median") == "median":
+        pre.setdefault("fills", medians(df, model_features(features)))
+    return Pipeline(stages=[*preprocessing(features, **pre), classifier(kind, label, **params)]).fit(df)
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
@@ -253,7 +262,7 @@ def log_loss_evaluator(train_df: DataFrame, test_df: DataFrame, label: str = "wi
 
 
 def roi_evaluator(train_df: DataFrame, test_df: DataFrame, match: Sequence[str], keys: Sequence[str], books: Sequence[str],
-                  order: Sequence[str], label: str = "win", volatility_weight: float = 0.5, **params):
+                  order: Sequence[str], label: str = "win", volatility_weight: float = 1.0, **params):
     """Return minus weighted volatility of the model's picks."""
     from duelframe.operators.market import consistent_odds, cumulative_roi, roi_picks, roi_volatility
 
@@ -269,16 +278,20 @@ def roi_evaluator(train_df: DataFrame, test_df: DataFrame, match: Sequence[str],
 
 
 def forward_selection(candidates: Sequence[str], evaluate: Callable[[list[str]], dict], *, rank: str = "log_loss",
-                      batch: int = 1, most: int = 10, min_gain: float = 0.0, start: Sequence[str] = ()) -> list[dict]:
-    """Greedy selection, ``batch`` best candidates per step, until nothing improves by ``min_gain``."""
-    chosen, history, best = list(start), [], float("inf")
+                      batch: int = 1, most: int | None = None, min_gain: float = 0.0, start: Sequence[str] = (), descending: bool = False) -> list[dict]:
+    """Greedy selection, ``batch`` best candidates per step, until nothing improves by ``min_gain``.
+
+    ``rank`` is minimised, or maximised with ``descending``; ``most`` limits the number of features, by default nothing does.
+    """
+    chosen, history, best = list(start), [], float("-inf" if descending else "inf")
+    most = most or len(set(candidates) | set(start))
     while len(chosen) < most:
-        ranked = add_one_search(chosen, [c for c in candidates if c not in chosen], evaluate, rank)
+        ranked = add_one_search(chosen, [c for c in candidates if c not in chosen], evaluate, rank, descending)
         if not ranked:
             break
         step = [r["feature_added"] for r in ranked[: min(batch, most - len(chosen))]]
         value = ranked[0][rank] if len(step) == 1 else evaluate([*chosen, *step])[rank]
-        if best - value <= min_gain:
+        if value is None or (value - best if descending else best - value) <= min_gain:
             break
         chosen, best = [*chosen, *step], value
         history.append({"features": list(chosen), rank: value})
@@ -315,24 +328,26 @@ def differences(df: DataFrame, stats: Sequence[str], prefix: str = "opp_") -> Da
 
 
 def score_matchups(model: PipelineModel, matchups: DataFrame, mirrored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Bulk scoring in both orientations, averaged and normalised."""
+    """Bulk scoring in both orientations, averaged and normalised; a request made twice gets two equal rows."""
     from duelframe.functions.numbers import symmetric_probability
 
     here = score(model, matchups)
-    there = score(model, mirrored).select(*key, F.col("p").alias("_q"))
+    there = score(model, mirrored).groupBy(*key).agg(F.max("p").alias("_q"))
     return here.join(there, list(key)).withColumn("p", symmetric_probability("p", "_q")).drop("_q")
 
 
 # ---------------------------------------------------------------- learned strengths
 
-def strengths(matches: DataFrame, a: str = "a", b: str = "b", score: str = "score", iterations: int = 10,
-              checkpoint_every: int = 5, prior: float = 1.0) -> DataFrame:
+def strengths(matches: DataFrame, a: str = "a", b: str = "b", score: str = "score", iterations: int | None = None,
+              checkpoint_every: int = 5, prior: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """Paired-comparison strengths (Bradley-Terry) by minorise-maximise steps.
 
     Matches are first summed per pair of entities. A step is one join of pairs
     and strengths and one sum per entity, so neither the entities nor their
     strengths ever sit on the driver. ``prior`` virtual wins and losses against a
     strength of 1 keep undefeated entities finite. Result: log strength.
+
+    Without ``iterations`` the steps go on until no log strength moves by more than ``tolerance``, asked at every checkpoint.
     """
     oriented = matches.where(F.col(score).isNotNull()).select(F.explode(F.array(
         F.struct(F.col(a).alias("entity"), F.col(b).alias("other"), F.col(score).cast("double").alias("won")),
@@ -341,17 +356,21 @@ def strengths(matches: DataFrame, a: str = "a", b: str = "b", score: str = "scor
     pairs = cut(oriented.groupBy("entity", "other").agg(F.sum("won").alias("wins"), F.count(F.lit(1)).alias("n")))
     wins = pairs.groupBy("entity").agg((F.sum("wins") + prior).alias("wins"))
     current = wins.select("entity", F.lit(1.0).alias("g"))
-    for i in range(iterations):
+    i, settled = 0, False
+    while not settled and i != iterations:
         other = current.select(F.col("entity").alias("other"), F.col("g").alias("g_other"))
         load = (
             pairs.join(current, "entity").join(other, "other")
             .groupBy("entity").agg(F.sum(F.col("n") / (F.col("g") + F.col("g_other"))).alias("load"), F.max("g").alias("_g"))
         )
         current = wins.join(load, "entity").select(
-            "entity", (F.col("wins") / (F.col("load") + 2 * prior / (F.col("_g") + 1))).alias("g")
+            "entity", (F.col("wins") / (F.col("load") + 2 * prior / (F.col("_g") + 1))).alias("g"), "_g"
         )
-        if (i + 1) % checkpoint_every == 0:
-            current = cut(current)
+        i += 1
+        if i % checkpoint_every == 0:
+            current = cut(current.withColumn("_moved", F.abs(F.ln("g") - F.ln("_g")))) if iterations is None else cut(current)
+            settled = iterations is None and (current.agg(F.max("_moved")).first()[0] or 0.0) <= tolerance
+        current = current.select("entity", "g")
     return current.select("entity", F.ln("g").alias("strength"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelframe.functions.text import block_ratio, edit_ratio, left_side, right_side
 from duelframe.plans.ordered import ordered_scan
-from duelframe.plans.sizing import fits_broadcast, same_key, small_side
+from duelframe.plans.sizing import fits_broadcast, same_key
 
 
 # ---------------------------------------------------------------- opponents
@@ -92,7 +92,7 @@ def winners_and_losers(df: DataFrame, match: Sequence[str], entity: str, won: st
 def lookup_left(df: DataFrame, table: DataFrame, on: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
     """Scalar lookup: at most one table row per key, values renamed, missing keys give NULL."""
     unique = table.groupBy(*on).agg(*[F.min(c).alias(new) for c, new in columns.items()])
-    return df.join(small_side(unique), list(on), "left")
+    return df.join(unique, list(on), "left")
 
 
 def overwrite_from(df: DataFrame, updates: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -155,19 +155,20 @@ def nearest_value(df: DataFrame, group: str, value: str, table: DataFrame, table
                   key: Sequence[str], limit: int | None = 1_000) -> DataFrame:
     """The table row of the same group with the closest value, the larger one on a tie.
 
+    Rows without a value, and groups that the table lacks, have no nearest row and are left out. Of several table rows
+    with the same value the one with the largest carried columns counts, on either way.
+
     A table proven small is broadcast and reduced per row; otherwise the
     neighbours below and above are found by two as-of passes, so a crowded group
     never pairs everything with everything.
     """
     cols = list(dict.fromkeys([table_value, *carry]))
+    df, table = df.where(F.col(value).isNotNull()), table.where(F.col(table_value).isNotNull())
     if fits_broadcast(table, limit):
         grouped = table.groupBy(group).agg(F.collect_list(F.struct(*cols)).alias("_t"))
         joined = df.join(F.broadcast(grouped), group)
-        best = F.array_min(F.transform(
-            "_t",
-            lambda t: F.struct(
-                F.abs(t[table_value] - F.col(value)).alias("_d"), (-t[table_value]).alias("_n"), t.alias("_t")
-            ),
+        best = F.array_max(F.transform(
+            "_t", lambda t: F.struct((-F.abs(t[table_value] - F.col(value))).alias("_d"), t.alias("_t")),
         ))
         return joined.withColumn("_b", best).select(*df.columns, *[F.col(f"_b._t.{c}").alias(c) for c in cols])
     probe = df.withColumn("_v", F.col(value))
@@ -188,6 +189,8 @@ def asof_latest(probes: DataFrame, snapshots: DataFrame, keys: Sequence[str], ts
                 *, strict: bool = True, tie: Sequence[str] = (), **kw) -> DataFrame:
     """Latest snapshot (column ``snap``) of the same key before each probe, NULL if there is none.
 
+    Of several snapshots of one key and instant the largest counts.
+
     Probes and snapshots are interleaved in one ordered scan. With ``strict`` a
     snapshot of the same instant does not count.
     """
@@ -209,7 +212,7 @@ def asof_latest(probes: DataFrame, snapshots: DataFrame, keys: Sequence[str], ts
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         return d.withColumn(out, F.last("_snapshot", ignorenulls=True).over(before))
 
-    seen = ordered_scan(p.unionByName(s), list(keys), [ts, "_kind", *ties], build, reach=1, lasts=["_snapshot"], **kw)
+    seen = ordered_scan(p.unionByName(s), list(keys), [ts, "_kind", *ties, "_snapshot"], build, reach=1, lasts=["_snapshot"], **kw)
     return seen.where(F.col("_kind") == first).drop("_kind", "_snapshot")
 
 
@@ -374,7 +377,9 @@ def match_market_events(matches: DataFrame, events: DataFrame, *, match_id: str,
     )
     mine = matches.select(match_id, a, b, F.col(day).alias("_day"), F.explode(F.array(a, b)).alias("_mine"))
     # Block ratio r bounds edits by (1 - r)(|a| + |b|) <= 2 (1 - r) * longer length.
-    floor = max(0.0, 1 - 2 * (1 - threshold)) if exact_ratio else threshold
+    floor = 1 - 2 * (1 - threshold) if exact_ratio else threshold
+    if floor <= 0:
+        raise ValueError("a threshold this low admits every pair of names; use one above 0.5 with exact_ratio, above 0 without")
     ratio = block_ratio if exact_ratio else edit_ratio
     names = similar_texts(mine, "_mine", near, "_theirs", ["_day"], floor).drop("similarity")
     found = (
@@ -393,10 +398,6 @@ def match_market_events(matches: DataFrame, events: DataFrame, *, match_id: str,
     return best.select(match_id, F.col(f"_b.{event_id}").alias(event_id), F.col("_b.similarity").alias("similarity"))
 
 
-def dedupe_exact_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropDuplicates(list(keys))
-
-
 def keep_known(df: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs in ``known``."""
     return df.join(known.select(*keys), list(keys), "left_semi")

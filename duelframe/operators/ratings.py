@@ -3,15 +3,16 @@
 A rating after match i depends on the ratings before it, so matches of one
 entity must be handled in order. Two exact ways:
 
+``fold``   Matches of one league, or of one connected component of a league, are
+           sorted and streamed through one task that keeps only the entities'
+           current states, never the matches. Used only where every such group is
+           proven to hold at most ``max_group_rows`` matches.
 ``waves``  All matches that are next in line for both of their sides form a wave.
            A wave holds every entity at most once, so it is one distributed
            equi-join of matches and entity states on the unique key
-           (league, entity, match number) - no key can be hot. Used while waves
-           are wide; the remainder continues as a fold.
-``fold``   Matches of one league are sorted and streamed through one task that
-           keeps only the entities' current states, never the matches. Used when
-           every league is proven to hold at most ``max_group_rows`` matches, and
-           for the remainder of ``waves`` split by connected component.
+           (league, entity, match number) - no key can be hot. Rated matches leave
+           the table, and so do entities that have played their last match. Waves
+           go on until what is left is proven to fit one task, which folds it.
 
 A chain of matches through one entity has no parallel form in any exact rating
 of this kind: its length is a lower bound on the sequential work.
@@ -111,25 +112,32 @@ def _by_margin(mine, theirs):
 
 # ---------------------------------------------------------------- engine
 
-def rate(inputs: DataFrame, spec: RatingSpec | str, *, state: DataFrame | None = None, mode: str = "auto",
-         max_waves: int = 64, min_wave_rows: int = 50_000) -> DataFrame:
+def rate(inputs: DataFrame, spec: RatingSpec | str, *, state: DataFrame | None = None, mode: str = "auto", limit: int | None = None) -> DataFrame:
     """Ratings of both sides before and after every match.
 
     ``inputs`` comes from ``rating_inputs``. ``state`` (see ``current_state``)
-    continues from earlier matches.
+    continues from earlier matches. ``limit`` is the number of matches that one
+    task may fold, by default the session's ``max_group_rows``.
     """
+    limit = limit or max_group_rows(inputs.sparkSession)
     spec = RATINGS[spec] if isinstance(spec, str) else spec
     if mode == "auto":
         # Sized first and rated after: materialised so that the matches are built once.
         inputs = cut(inputs)
         # The number of leagues is unknown, so only the largest count travels to the driver.
         largest = inputs.groupBy("league").count().agg(F.max("count")).first()[0] or 0
-        mode = "fold" if largest <= max_group_rows(inputs.sparkSession) else "waves"
-    seeded = _with_state(inputs, state)
+        mode = "fold" if largest <= limit else "components"
     if mode == "fold":
-        return fold(seeded, spec, ["league"])
+        return fold(_with_state(inputs, state), spec, ["league"])
+    if mode == "components":
+        parts = components(inputs).withColumnRenamed("entity", "a")
+        grouped = cut(inputs.join(parts, ["league", "a"]))
+        largest = grouped.groupBy("league", "component").count().agg(F.max("count")).first()[0] or 0
+        if largest <= limit:
+            return fold(_with_state(grouped, state), spec, ["league", "component"])
+        mode = "waves"
     if mode == "waves":
-        return waves(inputs, spec, state, max_waves, min_wave_rows)
+        return waves(inputs, spec, state, limit)
     raise ValueError(mode)
 
 
@@ -217,32 +225,29 @@ def entity_numbers(inputs: DataFrame, limit: int | None = None) -> DataFrame:
     return inputs.join(wide, ["league", "match_id"], "left")
 
 
-def waves(inputs: DataFrame, spec: RatingSpec, state: DataFrame | None, max_waves: int, min_wave_rows: int) -> DataFrame:
-    """Distributed rounds of independent matches, then an exact fold of whatever is left."""
+def waves(inputs: DataFrame, spec: RatingSpec, state: DataFrame | None, limit: int) -> DataFrame:
+    """Distributed rounds of independent matches; once at most ``limit`` are left, one task folds them."""
     ids = ["league", "match_id", "ts", "a", "b"]
-    todo = cut(entity_numbers(inputs))
-    skipped = todo.where(F.col("score").isNull())
-    todo = todo.where(F.col("score").isNotNull())
+    numbered_rows = cut(entity_numbers(inputs))
+    skipped = numbered_rows.where(F.col("score").isNull())
+    todo = numbered_rows.where(F.col("score").isNotNull())
+    left = todo.count()
     states = cut(_initial_states(todo, spec, state))
-    done = None
-    wave = 0
-    while wave < max_waves:
-        wave += 1
+    done, wave = None, 0
+    while left > limit:
         rated = cut(_one_wave(todo, states, spec, ids))
         width = rated.count()
-        if width == 0:
-            break
-        done = rated if done is None else done.unionByName(rated)
-        states = cut(_advance(states, rated))
-        if width < min_wave_rows:
-            break
-    result = done.select(*ids, "score", "day", *OUT)
-    # A match is done exactly when its side a has moved past it.
-    moved = states.select("league", F.col("entity").alias("a"), F.col("next").alias("_next"))
-    left = cut(todo.join(moved, ["league", "a"]).where(F.col("na") >= F.col("_next")).drop("_next"))
-    if left.limit(1).count():
-        resumed = states.select("league", "entity", *STATE)
-        result = result.unionByName(_fold_remainder(left.drop("na", "nb"), spec, resumed))
+        done, left, wave = (rated if done is None else done.unionByName(rated)), left - width, wave + 1
+        if wave % 16 == 0:
+            done = cut(done)  # one table instead of a growing union
+        moved = cut(_advance(states, rated))
+        # a match is rated exactly when its side a has moved past it
+        ahead = moved.select("league", F.col("entity").alias("a"), F.col("next").alias("_next"))
+        todo = cut(todo.join(ahead, ["league", "a"]).where(F.col("na") >= F.col("_next")).drop("_next"))
+        playing = todo.select("league", F.explode(F.array("a", "b")).alias("entity")).distinct()
+        states = cut(moved.join(playing, ["league", "entity"], "left_semi"))
+    rest = fold(_with_state(todo.drop("na", "nb"), states.select("league", "entity", *STATE)), spec, ["league"])
+    result = rest if done is None else done.select(*ids, "score", "day", *OUT).unionByName(rest)
     if skipped.limit(1).count():
         if spec.pre_when_skipped:
             result = result.unionByName(_unrated(skipped, result, spec, state))
@@ -303,19 +308,12 @@ def _advance(states: DataFrame, rated: DataFrame) -> DataFrame:
     )
 
 
-def _fold_remainder(left: DataFrame, spec: RatingSpec, states: DataFrame) -> DataFrame:
-    """Unrelated chains of matches are folded in parallel, each connected component on its own."""
-    parts = components(left)
-    grouped = left.join(parts.withColumnRenamed("entity", "a"), ["league", "a"])
-    return fold(_with_state(grouped, states), spec, ["league", "component"])
-
-
-def components(matches: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(matches: DataFrame) -> DataFrame:
     """Connected component of every entity inside its league: smallest label spreads until nothing changes."""
     edges = matches.select("league", "a", "b").distinct()
     both = cut(edges.unionByName(edges.select("league", F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.select("league", F.col("a").alias("entity")).distinct().withColumn("component", F.col("entity")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select("league", F.col("entity").alias("b"), "component"), ["league", "b"])
         low = near.groupBy("league", F.col("a").alias("entity")).agg(F.min("component").alias("_near"))
         hop = labels.join(low, ["league", "entity"], "left").select(
@@ -329,7 +327,6 @@ def components(matches: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = nxt.drop("_old")
         if not changed:
             return labels
-    raise RuntimeError("labels did not settle; raise max_rounds")
 
 
 def _unrated(skipped: DataFrame, rated: DataFrame, spec: RatingSpec, state: DataFrame | None) -> DataFrame:

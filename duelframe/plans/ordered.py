@@ -26,7 +26,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from duelframe.plans.sizing import cut, oversized_groups, same_key
+from duelframe.plans.sizing import cut, oversized_groups, same_key, small_side
 from duelframe.session import max_group_rows
 
 Build = Callable[[DataFrame, WindowSpec], DataFrame]
@@ -65,9 +65,9 @@ def ordered_scan(
     helpers = ["_one"] + ([_CONST] if keys == [_CONST] else [])
     if hot is None:
         return build(df, window).drop(*helpers)
+    hot = small_side(hot)  # at most rows / limit keys; sent to the tasks only if that is proven small
     on = same_key(df, hot, keys)
-    short = df.join(F.broadcast(hot), on, "left_anti")
-    long = df.join(F.broadcast(hot), on, "left_semi")
+    short, long = df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
     sums = list(dict.fromkeys([*sums, "_one"]))
     plain = build(short, window)
     chunked = _chunked(_widened(long, sums), keys, order, build, reach, sums, list(maxes), list(lasts), hot_rows, limit)

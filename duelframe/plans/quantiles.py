@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.session import max_group_rows
 
@@ -15,68 +16,83 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], limit: i
     return exact_quantiles_of(df, {column: probs}, limit)[column]
 
 
+@dataclass
+class _Search:
+    """Where the value with number ``rank`` of a column lies: ``below`` values come before the open interval (low, high)."""
+
+    column: str
+    rank: int
+    size: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.column).cast("double")
+        ok = v.isNotNull()
+        ok = ok if self.low is None else ok & (v > self.low)
+        ok = ok if self.high is None else ok & (v < self.high)
+        return F.when(ok, v)
+
+
 def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]], limit: int | None = None) -> dict[str, list[float | None]]:
-    """Quantiles of several columns: one counting pass, then one pass for all columns proven small.
+    """Quantiles of several columns; every pass serves all columns and ranks together.
 
-    Beyond ``limit`` values the ``percentile`` aggregate's value map would have
-    to fit one task, so every needed rank is found by narrowing: approximate
-    quantiles give pivots, one counting pass tells between which pivots the rank
-    lies, and the search goes on there.
+    One pass counts. A rank whose interval holds at most ``limit`` values is read off the sorted interval, which then fits
+    one task. Ranks of larger intervals share two passes a round: approximate quantiles give pivots, and
+    counts around the pivots tell which interval, thousands of times smaller, the rank lies in.
     """
     limit = limit or max_group_rows(df.sparkSession)
+    df = df.select(*wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
-    out: dict[str, list[float | None]] = {c: [None] * len(p) for c, p in wanted.items() if not counts[c]}
-    small = [c for c in wanted if 0 < counts[c] <= limit]
-    if small:
-        row = df.agg(*[
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(c) for c in small
-        ]).first()
-        out.update({c: list(row[c]) for c in small})
-    for c in wanted:
-        if c not in out:
-            out[c] = _by_ranks(df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull()), counts[c], wanted[c], limit)
+    ranks = {(c, r) for c, probs in wanted.items() if counts[c] for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}
+    searches = {(c, r): _Search(c, r, counts[c]) for c, r in sorted(ranks)}
+    while wide := [s for s in searches.values() if s.value is None and s.size > limit]:
+        _narrow(df, wide)
+    left = [s for s in searches.values() if s.value is None]
+    if left:
+        row = df.agg(*[_nth(s).alias(f"q{i}") for i, s in enumerate(left)]).first()
+        for i, s in enumerate(left):
+            s.value = float(row[f"q{i}"])
+    out: dict[str, list[float | None]] = {}
+    for c, probs in wanted.items():
+        out[c] = [None] * len(probs)
+        if counts[c]:
+            for i, p in enumerate(probs):
+                at = p * (counts[c] - 1)
+                low, high = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
+                out[c][i] = low + (at - math.floor(at)) * (high - low)
     return out
 
 
-def _by_ranks(values: DataFrame, n: int, probs: Sequence[float], limit: int) -> list[float]:
-    found: dict[int, float] = {}
-
-    def at(rank: int) -> float:
-        if rank not in found:
-            found[rank] = _value_at_rank(values, rank, n, limit)
-        return found[rank]
-
-    out = []
-    for p in probs:
-        where = p * (n - 1)
-        low, high = math.floor(where), math.ceil(where)
-        out.append(at(low) + (where - low) * (at(high) - at(low)))
-    return out
+def _nth(s: _Search) -> Column:
+    """The value with the search's rank in its interval, which holds at most ``limit`` values."""
+    return F.element_at(F.array_sort(F.collect_list(s.inside())), s.rank - s.below + 1)
 
 
-def _value_at_rank(values: DataFrame, rank: int, n: int, limit: int) -> float:
-    inside, below, size = values, 0, n
-    while size > limit:
-        p = (rank - below) / size
-        wanted = sorted({max(0.0, p - 0.002), p, min(1.0, p + 0.002)})
-        approx = inside.agg(F.percentile_approx("v", F.array(*[F.lit(w) for w in wanted]), 10_000).alias("q")).first().q
-        pivots = sorted(set(approx))
-        counts = inside.agg(*[
-            e for i, x in enumerate(pivots)
-            for e in (F.count_if(F.col("v") < x).alias(f"lt{i}"), F.count_if(F.col("v") <= x).alias(f"le{i}"))
-        ]).first()
-        k, low, start, high, end = rank - below, None, 0, None, size
-        for i, x in enumerate(pivots):
-            lt, le = counts[f"lt{i}"], counts[f"le{i}"]
+def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+    asked = []
+    for i, s in enumerate(searches):
+        p = (s.rank - s.below) / s.size
+        spots = sorted({max(0.0, p - 0.002), p, min(1.0, p + 0.002)})
+        asked.append(F.percentile_approx(s.inside(), F.array(*[F.lit(x) for x in spots]), F.lit(10_000)).alias(f"q{i}"))
+    pivots = df.agg(*asked).first()
+    around = []
+    for i, s in enumerate(searches):
+        for j, x in enumerate(sorted(set(pivots[f"q{i}"]))):
+            v = s.inside()
+            around += [F.count_if(v < x).alias(f"lt{i}_{j}"), F.count_if(v <= x).alias(f"le{i}_{j}")]
+    counts = df.agg(*around).first()
+    for i, s in enumerate(searches):
+        k, start, end, low, high = s.rank - s.below, 0, s.size, s.low, s.high
+        for j, x in enumerate(sorted(set(pivots[f"q{i}"]))):
+            lt, le = counts[f"lt{i}_{j}"], counts[f"le{i}_{j}"]
             if lt <= k < le:
-                return float(x)
+                s.value = float(x)
+                break
             if le <= k:
                 low, start = x, le
-            elif high is None:
+            elif end == s.size:
                 high, end = x, lt
-        if low is not None:
-            inside = inside.where(F.col("v") > low)
-        if high is not None:
-            inside = inside.where(F.col("v") < high)
-        below, size = below + start, end - start
-    return inside.orderBy("v").offset(rank - below).limit(1).first().v
+        s.low, s.high, s.below, s.size = low, high, s.below + start, end - start

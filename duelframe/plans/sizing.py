@@ -34,15 +34,12 @@ def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 def oversized_groups(df: DataFrame, keys: list[str], limit: int | None = None) -> tuple[DataFrame | None, int]:
     """Keys owning more than ``limit`` rows, and how many rows they own together.
 
-    The count is a partially aggregated shuffle of the key columns only. At most
-    rows/limit keys can qualify, so the list that reaches the driver is bounded.
+    The count is a partially aggregated shuffle of the key columns only; the keys stay a written table and only their
+    number and total reach the driver.
     """
     spark = df.sparkSession
     limit = limit or max_group_rows(spark)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    found = counts.collect()
-    if not found:
-        return None, 0
-    schema = df.select(*keys).schema
-    rows = [tuple(r[k] for k in keys) for r in found]
-    return spark.createDataFrame(rows, schema), sum(r["_rows"] for r in found)
+    found = cut(counts)
+    total = found.agg(F.sum("_rows")).first()[0]
+    return (found.select(*keys), total) if total else (None, 0)

@@ -70,10 +70,13 @@ def stat_records(cells: DataFrame, key: Sequence[str], width: int | None = None)
 
 
 def pivot_records(records: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per record with its cells in named columns."""
-    return records.where(F.col("place") < len(columns)).groupBy(*key, "side", "name", "record").agg(
-        *[F.max(F.when(F.col("place") == i, F.col("value"))).alias(c) for i, c in enumerate(columns)]
+    """One row per record with its cells in named columns; a record with more cells than names is an error."""
+    wide = records.groupBy(*key, "side", "name", "record").agg(
+        F.max("place").alias("_last"), *[F.max(F.when(F.col("place") == i, F.col("value"))).alias(c) for i, c in enumerate(columns)]
     )
+    extra = F.concat(F.lit("a record has cells beyond the named ones: "), F.col("_last").cast("string"))
+    first = columns[0]
+    return wide.withColumn(first, F.when(F.col("_last") >= len(columns), F.raise_error(extra)).otherwise(F.col(first))).drop("_last")
 
 
 # Cells of one totals record and one strikes record, in page order.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,11 +18,30 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
-def new_rows(stream: DataFrame, ts: str, keys: Sequence[str], after=None, delay: str = "1 day") -> DataFrame:
-    """Rows newer than the column or literal ``after``, every key once within the watermark delay."""
-    fresh = stream if after is None else stream.where(F.col(ts) > after)
-    fresh = fresh.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need an instant
-    return fresh.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def new_rows(stream: DataFrame, ts: str, after=None) -> DataFrame:
+    """Rows newer than the column or literal ``after``, however late they arrive."""
+    return stream if after is None else stream.where(F.col(ts) > after)
+
+
+def append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Append rows whose key is not stored yet; several rows of one key in a batch leave the smallest of them.
+
+    De-duplication asks the stored table, not a watermark that expires, so a row may be any number of batches late.
+    Only keys are read from the table. A batch is a folder of its own and looks at earlier batches only: repeating it
+    gives the same result.
+    """
+    keys = list(keys)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        once = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else batch.distinct()
+        if epoch > 0:
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch") < epoch).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+            once = once.join(stored, same, "left_anti")
+        once.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
@@ -52,9 +72,11 @@ def versioned(stream: DataFrame, path: str, checkpoint: str, step: Callable[[Dat
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).first().v
-    return versions.where(F.col("version") == newest).drop("version")
+    """The newest version, found by listing folders; none of the older ones is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    newest = max(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    return spark.read.parquet(f"{path}/version={newest}")
 
 
 def merge_snapshots(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], snapshot: Sequence[str]) -> StreamingQuery:

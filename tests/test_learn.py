@@ -56,7 +56,8 @@ def test_pca_onehot_and_robust_pipeline(rows):
     out = Pipeline(stages=stages).fit(rows).transform(rows)
     assert out.select("features").first().features.size == 2 + 2
     plain = Pipeline(stages=learn.preprocessing(["x", "y", "z"])).fit(rows).transform(rows)
-    assert learn.components_for(plain, "features", share=0.95, most=3) == 3
+    assert learn.components_for(plain, "features", share=0.95, most=3) == learn.components_for(plain, "features") == 3
+    assert learn.components_for(plain, "features", share=0.99, most=1) == 1
 
 
 def test_searches(rows):
@@ -66,6 +67,9 @@ def test_searches(rows):
     assert first[-1]["feature_added"] == "z"
     steps = learn.forward_selection(["x", "y", "z"], ev, most=2)
     assert set(steps[-1]["features"]) == {"x", "y"}
+    scores = {"x": 3.0, "y": 2.0, "z": -1.0}
+    up = learn.forward_selection(["z", "y", "x"], lambda fs: {"score": sum(scores[f] for f in fs)}, rank="score", descending=True)
+    assert [s["features"] for s in up] == [["x"], ["x", "y"]]
     best = learn.grid_search(train, ["x", "y"], "win", {"regParam": [0.01, 10.0]}, folds=2, parallelism=2)
     assert len(best.avgMetrics) == 2 and min(best.avgMetrics) > 0.8
     folds = learn.expanding_scores(rows, ["x", "y"], ["DATE", "id"], splits=2)

@@ -3,10 +3,11 @@
 import random
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import clean, learn, market, pairs, quality, sequence
-from duelframe.plans.quantiles import exact_quantiles
+from duelframe.plans.quantiles import exact_quantiles, exact_quantiles_of
 
 
 def lev(a, b):
@@ -152,3 +153,40 @@ def test_mirror_symmetry_and_repair(spark):
     rows = quality.continuity_rows(hist, "e", ["ts"], {"pre": "post"}, tolerance=0.01, min_matches=3)
     rep = quality.continuity_report(rows).first()
     assert (rep.compared, rep.mismatches) == (2, 2)
+
+
+def test_nearest_value_ways_agree_on_nulls_and_ties(spark):
+    people = spark.createDataFrame([(1, "m", 5.0), (2, "m", None), (3, "w", 1.0), (4, None, 1.0), (5, "m", 7.5)], "n int, sex string, w double")
+    table = spark.createDataFrame([("m", 4.0, "a"), ("m", 4.0, "b"), ("m", 8.0, "c"), ("m", 7.0, "d"), ("m", None, "z")], "sex string, at double, idx string")
+    ways = [sorted((r.n, r.idx) for r in pairs.nearest_value(people, "sex", "w", table, "at", ["idx"], ["n"], limit).collect()) for limit in (100, 1)]
+    assert ways[0] == ways[1] == [(1, "b"), (5, "c")]
+
+
+def test_asof_takes_the_largest_of_equal_instants(spark):
+    probes = spark.createDataFrame([("a", 5), ("a", 9)], "k string, t int")
+    rows = [("a", 3, 2), ("a", 3, 7), ("a", 3, 1), ("a", 8, 4)]
+    for order in (rows, rows[::-1]):
+        snaps = spark.createDataFrame(order, "k string, t int, v int")
+        got = {r.t: r.found for r in pairs.asof_latest(probes, snaps, ["k"], "t", "v", "found").collect()}
+        assert got == {5: 7, 9: 4}
+
+
+def test_low_thresholds_are_refused(spark):
+    m = spark.createDataFrame([(1, dt.date(2024, 1, 1), "a", "b")], "m int, d date, a string, b string")
+    with pytest.raises(ValueError):
+        pairs.match_market_events(m, m.toDF("e", "d", "h", "w"), match_id="m", day="d", a="a", b="b", event_day="d", home="h", away="w", event_id="e", threshold=0.5, exact_ratio=True)
+
+
+def test_quantiles_share_their_passes(spark):
+    """Many ranks of several columns, far over the limit, in a handful of jobs."""
+    df = spark.range(5000).selectExpr("id % 977 AS a", "CAST(id * id % 1009 AS double) AS b", "CASE WHEN id % 3 = 0 THEN 1.0 END AS c").cache()
+    df.count()
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    got = exact_quantiles_of(df, {c: probs for c in "abc"}, limit=300)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain = df.toPandas()
+    for c in "abc":
+        assert got[c] == pytest.approx(list(plain[c].astype(float).quantile(probs)))
+    assert jobs < 10

@@ -62,12 +62,32 @@ WAVES = {"time_finish": 3, "offence_defence": 2, "mean_reverting": 1, "log_loss"
 
 @pytest.mark.parametrize("name", sorted(WAVES))
 def test_waves_equal_fold(spark, matches, name):
-    """A few distributed waves, the remainder folded by component: the same ratings as one fold."""
-    inputs = prepared(matches, name)
-    split = R.rate(inputs, name, mode="waves", max_waves=WAVES[name], min_wave_rows=0)
+    """A few distributed waves until the rest fits one task: the same ratings as one fold."""
+    inputs = prepared(matches, name).cache()
+    scored = inputs.where("score IS NOT NULL").count()
+    split = R.rate(inputs, name, mode="waves", limit=max(1, scored - 4 * WAVES[name]))
     assert as_dict(split) == as_dict(R.rate(inputs, name, mode="fold"))
 
 
+def test_hot_entity_and_components(spark):
+    """One entity in a third of all matches, and leagues of small components: no group over the limit is folded whole."""
+    r = random.Random(11)
+    hot = [(i, "one", dt.date(2020, 1, 1) + dt.timedelta(days=r.randrange(400)), f"p{r.randrange(12)}" if i % 3 else "hub", f"q{r.randrange(12)}", float(r.random() < 0.5)) for i in range(45)]
+    apart = [(100 + i, "two", dt.date(2020, 1, 1) + dt.timedelta(days=i), f"a{i % 9}", f"b{i % 9}", float(i % 2)) for i in range(36)]
+    df = spark.createDataFrame(hot + apart, "match_id int, league string, ts date, a string, b string, score double")
+    inputs = R.rating_inputs(df, "linear")
+    whole = as_dict(R.rate(inputs, "linear", mode="fold"))
+    assert as_dict(R.rate(inputs, "linear", limit=30)) == whole
+    two = R.rating_inputs(df.where("league = 'two'"), "linear")
+    assert as_dict(R.rate(two, "linear", limit=5)) == {k: v for k, v in whole.items() if k >= 100}
+
+
+def test_nothing_to_rate(spark, matches):
+    inputs = prepared(matches, "linear").where("score IS NULL")
+    for mode in ("fold", "waves"):
+        assert all(r.post is None for r in R.rate(inputs, "linear", mode=mode, limit=1).collect())
+
+
 def test_every_rule_is_covered():
     assert {RATINGS[n].rule for n in WAVES} == {s.rule for s in RATINGS.values()}
 

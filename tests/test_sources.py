@@ -83,11 +83,29 @@ def test_late_matches_do_not_rewrite_history(spark, tmp_path):
     assert [r.match_id for r in spark.read.parquet(f"{base}/late").collect()] == [3]
 
 
-def test_watermarked_ingest_drops_repeats(spark, tmp_path):
+def test_late_rows_and_repeats_over_batches(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n)
+    schema = "id int, ts timestamp, v string"
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in ([(1, day(1), "a")], [(2, day(9), "b"), (2, day(9), "c")], [(5, day(20), "d"), (None, day(3), "n")], [(3, day(2), "late"), (4, day(21), "e"), (2, day(9), "again"), (None, day(4), "m")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = ingest.new_rows(ingest.file_stream(spark, landing, spark.read.parquet(landing).schema), "ts")
+        ingest.append_new(stream, out, str(tmp_path / "ck"), ["id"]).awaitTermination()
+    got = sorted(((r.id, r.v) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == [(1, "a"), (2, "b"), (3, "late"), (4, "e"), (5, "d"), (None, "n")]
+
+
+def test_newest_version_is_listed(spark, tmp_path):
+    for n in (0, 2, 10):
+        spark.range(n + 1).write.parquet(str(tmp_path / f"version={n}"))
+    assert ingest.latest_version(spark, str(tmp_path)).count() == 11
+
+
+def test_ingest_after_an_instant(spark, tmp_path):
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2023, 1, 1))], "id int, ts timestamp")
     rows.write.parquet(str(tmp_path / "in"))
-    stream = ingest.new_rows(ingest.file_stream(spark, str(tmp_path / "in"), rows.schema), "ts", ["id"], F.lit("2023-06-01").cast("timestamp"))
-    ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    stream = ingest.new_rows(ingest.file_stream(spark, str(tmp_path / "in"), rows.schema), "ts", F.lit("2023-06-01").cast("timestamp"))
+    ingest.append_new(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["id"]).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert [r.id for r in out.collect()] == [1] and ingest.high_water_mark(out, "ts") == dt.datetime(2024, 1, 1)
 
