@@ -220,3 +220,44 @@ def standardised_features(t):
     out = Pipeline(stages=learn.preprocessing(["x", "y"], impute=None)).fit(f).transform(f)
     v = vector_to_array("features")
     return out.select("o_orderkey", r(v[0]).alias("x"), r(v[1]).alias("y"))
+
+
+@query("bayes_scores", """
+WITH f AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS win, o_totalprice / 1000 AS x, (o_orderkey % 17)::DOUBLE AS y FROM orders),
+cut AS (SELECT CAST(max(o_orderdate) AS DATE) - 365 AS edge FROM f),
+s AS (SELECT win, ln(count(*)) AS n, avg(x) AS mx, var_pop(x) AS vx, avg(y) AS my, var_pop(y) AS vy FROM f, cut WHERE o_orderdate < edge GROUP BY win),
+l AS (SELECT o_orderkey, s.win, n - 0.5 * (ln(vx) + (x - mx) * (x - mx) / vx + ln(vy) + (y - my) * (y - my) / vy) AS l FROM f, cut, s WHERE o_orderdate >= edge)
+SELECT o_orderkey, r2(1 / (1 + exp(max(l) FILTER (WHERE win = 0) - max(l) FILTER (WHERE win = 1)))) AS p FROM l GROUP BY 1""")
+def bayes_scores(t):
+    """Gaussian Bayes trained before the last year and scored on it: a model whose probabilities have a closed form."""
+    rows = t.orders.select(
+        "o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "F").cast("double").alias("win"), (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_orderkey") % 17).cast("double").alias("y"))
+    train, test = learn.split_recent(rows, "o_orderdate", 365)
+    model = learn.train(train, ["x", "y"], "bayes", pre={"impute": None, "scale": None})
+    return rounded(learn.score(model, test).select("o_orderkey", "p"), "p", digits=2)
+
+
+@query("votes_of_stored_models", """
+WITH p AS (SELECT o_orderkey, (o_orderkey % 11) / 10.0::DOUBLE AS p1, (o_custkey % 7) / 6.0::DOUBLE AS p2, (o_orderkey % 3) / 2.0::DOUBLE AS p3 FROM orders)
+SELECT o_orderkey, r4((p1 + p2 + p3) / 3) AS p, CASE WHEN (CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN p2 > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN p3 > 0.5 THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS hard FROM p""")
+def votes_of_stored_models(t):
+    """Soft and hard votes over probabilities that three models have stored."""
+    p = {"one": (F.col("o_orderkey") % 11) / F.lit(10.0), "two": (F.col("o_custkey") % 7) / F.lit(6.0), "three": (F.col("o_orderkey") % 3) / F.lit(2.0)}
+    stored = {n: t.orders.select("o_orderkey", c.alias("p")) for n, c in p.items()}
+    soft = learn.soft_vote(stored, ["o_orderkey"]).select("o_orderkey", "p")
+    hard = learn.hard_vote(stored, ["o_orderkey"]).select("o_orderkey", F.col("vote").alias("hard"))
+    return rounded(soft.join(hard, "o_orderkey"), "p")
+
+
+@query("matchup_symmetry", """
+WITH r AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier) SELECT a, b, n, true AS one FROM r, (VALUES (1), (2)) AS twice(n)""")
+def matchup_symmetry(t):
+    """Every pairing is asked twice and in both orders: each request has its row, and the two orders add up to 1."""
+    rows = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") % 5).cast("double").alias("opp_x"))
+    games = t.customer.select((F.col("c_acctbal")).alias("x"), (F.col("c_custkey") % 5).cast("double").alias("opp_x"), (F.col("c_nationkey") % 2).cast("double").alias("win"))
+    model = learn.train(games, ["x", "opp_x"], "logistic", c=1.0, rows=games.count())
+    twice = rows.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    swap = lambda d: d.withColumns({"x": F.col("opp_x"), "opp_x": F.col("x")})
+    here = learn.score_matchups(model, twice, swap(twice), ["a", "b", "n"]).select("a", "b", "n", "p")
+    there = learn.score_matchups(model, swap(twice), twice, ["a", "b", "n"]).select("a", "b", "n", F.col("p").alias("q"))
+    return here.join(there, ["a", "b", "n"]).select("a", "b", "n", (F.abs(F.col("p") + F.col("q") - 1) < 1e-9).alias("one"))
