@@ -41,7 +41,7 @@ urls AS (
     regexp_replace(regexp_replace(lower(regexp_extract(path, '^[^/]*')), '^www[.]', ''), ':(80|443)$', '')
       || regexp_replace(regexp_replace(path, '^[^/]*', ''), '/+$', '')
       || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS url
-  FROM (SELECT *, list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=')) AS kept FROM pieces)
+  FROM (SELECT *, list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=')) AS kept FROM pieces)
 ),
 records AS (
   SELECT page_id * 4 AS id, url, page_id AS ts, 1 AS full_one, '"' || md5(html) || '"' AS etag, 'day ' || (page_id % 28)::VARCHAR AS modified,
