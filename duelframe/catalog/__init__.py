@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["history_queries", "rating_queries", "pair_queries", "profile_queries", "text_queries", "model_queries", "stream_queries", "source_queries"]
+MODULES = ["history_queries", "rating_queries", "pair_queries", "profile_queries", "text_queries", "model_queries", "stream_queries", "source_queries", "raw_queries"]
 
 
 def load():
