@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.llm.arrays import U, chunks, list_column, span_hashes, spans, super_runs, text_bytes, whole_groups, words
-from duelframe.llm.staging import TEXT_KEY, is_empty, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 
@@ -56,7 +56,10 @@ def _minimisers(k: int, m: int):
 
 
 def _packed(k: int, m: int):
-    """Super-k-mers whose minimiser is in the row's ``wanted`` list, as strings of words joined by one space."""
+    """Super-k-mers whose minimiser is in the row's ``wanted`` list, as strings of words joined by one space.
+
+    A string that recurs within the chunk carries its words once; its 128-bit digest names it everywhere else.
+    """
     def run(batches):
         for batch in chunks(batches):
             data, starts, ends, row, first, last, h = _runs(batch, k, m)
@@ -71,13 +74,17 @@ def _packed(k: int, m: int):
             at = np.flatnonzero(hit)
             raw = data.tobytes()
             begin = np.searchsorted(row, np.arange(batch.num_rows))
-            packed = [
-                b" ".join(raw[s:e].split()) for s, e in zip(starts[first[at]].tolist(), ends[last[at] + k - 1].tolist())
-            ]
+            seen, packed, names = set(), [], []
+            for s, e in zip(starts[first[at]].tolist(), ends[last[at] + k - 1].tolist()):
+                piece = b" ".join(raw[s:e].split())
+                name = hashlib.md5(piece).digest()
+                packed.append(None if name in seen else piece)
+                seen.add(name)
+                names.append(name)
             keys = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of[at]]) for c in KEYS]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at]), pa.array(packed, pa.binary()), *keys, pa.array((first[at] - begin[of[at]]).astype(np.int32))],
-                ["h", "packed", *KEYS, "start"],
+                [pa.array(h[at]), pa.array(names, pa.binary()), pa.array(packed, pa.binary()), *keys, pa.array((first[at] - begin[of[at]]).astype(np.int32))],
+                ["h", "name", "packed", *KEYS, "start"],
             )
 
     return run
@@ -117,9 +124,9 @@ def _bucket_minima(k: int):
                 kept = np.bincount(of[keep], minlength=batch.num_rows)
                 some = np.flatnonzero(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("h").take(pa.array(some)), batch.column("packed").take(pa.array(some)),
+                    [batch.column("h").take(pa.array(some)), batch.column("name").take(pa.array(some)),
                      list_column(pa.array(place[keep].astype(np.int32)), kept[some]), list_column(pa.array(least[keep]), kept[some])],
-                    ["h", "packed", "places", "least"],
+                    ["h", "name", "places", "least"],
                 )
 
     return run
@@ -180,23 +187,30 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key_type = f"doc_id long, {TEXT_KEY} long"
     ranges = rows.mapInArrow(_minimiser_ranges(window, gram), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     shared = stage(ranges.where("lo < hi").select("h"), "shared-minimisers")
-    places = rows.mapInArrow(_minimisers(window, gram), f"h long, {key_type}").join(shared, "h", "left_semi")
-    wanted = stage(places.groupBy(*KEYS).agg(F.collect_set("h").alias("wanted")), "wanted-minimisers")
+    held = rows.mapInArrow(_minimisers(window, gram), f"h long, {key_type}").join(shared, "h", "left_semi")
+    wanted = stage(held.groupBy(*KEYS).agg(F.collect_set("h").alias("wanted")), "wanted-minimisers")
     cut = rows.join(wanted, KEYS).select(*KEYS, "text", "wanted")
-    pieces = stage(cut.mapInArrow(_packed(window, gram), f"h long, packed binary, {key_type}, start int"), "super-k-mers")
-    different = stage(pieces.groupBy("h", "packed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "different-super-k-mers")
-    sizes = different.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = stage(sizes.where(F.col("n") > bucket_rows).select("h"), "hot-buckets")
-    buckets = different.join(sizes.where(F.col("n") <= bucket_rows), "h").select("h", "packed", "lo", "hi", "n")
-    minima = buckets.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_minima(window), "h long, packed binary, places array<int>, least array<long>")
-    found = pieces.join(minima, ["h", "packed"]).select(
+    pieces = stage(cut.mapInArrow(_packed(window, gram), f"h long, name binary, packed binary, {key_type}, start int"), "super-k-mers")
+    discard(shared, wanted)
+    different = stage(
+        pieces.groupBy("h", "name").agg(F.max("packed").alias("packed"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "different-super-k-mers")
+    places = stage(pieces.select("h", "name", *KEYS, "start"), "super-k-mer-places")
+    discard(pieces)  # from here on the words of equal strings are kept once
+    sizes = stage(different.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("h", "n"), "bucket-sizes")
+    buckets = different.join(sizes.where(F.col("n") <= bucket_rows), "h").select("h", "name", "packed", "lo", "hi", "n")
+    minima = buckets.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_minima(window), "h long, name binary, places array<int>, least array<long>")
+    found = places.join(minima, ["h", "name"]).select(
         *KEYS, F.expr("transform(filter(arrays_zip(places, least), x -> x.least < doc_id), x -> start + x.places)").alias("starts")
     ).where("size(starts) > 0")
+    hot = sizes.where(F.col("n") > bucket_rows).select("h")
     if not is_empty(hot):
-        single = pieces.join(hot, "h", "left_semi").select("packed", *KEYS, "start").mapInArrow(_single_windows(window), f"window binary, {key_type}, start int")
+        crowded = different.join(hot, "h", "left_semi").select("h", "name", "packed")
+        single = places.join(crowded, ["h", "name"]).select("packed", *KEYS, "start").mapInArrow(_single_windows(window), f"window binary, {key_type}, start int")
         first = single.groupBy("window").agg(F.min("doc_id").alias("lo"))
         found = found.unionByName(single.join(first, "window").where("lo < doc_id").select(*KEYS, F.array("start").alias("starts")))
-    return stage(found.groupBy(*KEYS).agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeated-windows")
+    starts = stage(found.groupBy(*KEYS).agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeated-windows")
+    discard(places, different, sizes)
+    return starts
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, **options) -> DataFrame:
