@@ -1,5 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
+The sum of a passage's largest impacts per block of items bounds all scores in the block; blocks below the threshold are
+skipped for many passages at once, and WAND searches the others item by item.
+
 Every passage of every training document is a query. A score is divided by the item's score against itself, so 1 means
 that the passage has all of the item's terms, and one threshold serves items of any length.
 """
@@ -8,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,7 @@ from duelframe.llm.arrays import U, chunks, lower_ascii, shingle_hashes, span_ha
 from duelframe.llm.staging import TEXT_KEY, row_key, stage
 
 K1, B = 1.2, 0.75
+SLACK = 1e-4  # more than the rounding of sums of single-precision bounds
 _ANSWER = re.compile(r"(?i)(?:^|\n)\s*(?:answer|a)\s*[:.)]\s*")
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -48,11 +53,13 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 class ItemIndex:
-    """Postings of the items' terms with impacts, their maxima, and the maxima of blocks of postings."""
+    """Postings of the items' terms with impacts. Items stand in blocks, and every term has its largest impact per block."""
+
+    BLOCKS = 64
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean_length: float, block: int = 16):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean_length: float):
         self.ids = [i for i, _ in items]
-        self.block, postings = block, {}
+        self.block, postings = max(1, -(-len(items) // self.BLOCKS)), {}
         self.longest = 1
         self.question: list[tuple[int, np.ndarray]] = []
         self.answer: list[tuple[int, np.ndarray]] = []
@@ -71,8 +78,9 @@ class ItemIndex:
         self.terms = np.array(sorted(postings), dtype=U)
         self.docs = [[n for n, _ in postings[t]] for t in self.terms.tolist()]
         self.impacts = [[w for _, w in postings[t]] for t in self.terms.tolist()]
-        self.most = np.array([max(w) for w in self.impacts])
-        self.block_most = [[max(w[i : i + block]) for i in range(0, len(w), block)] for w in self.impacts]
+        self.most = np.zeros((len(self.terms), max(1, -(-len(items) // self.block))), dtype=np.float32)
+        for t, (docs, impacts) in enumerate(zip(self.docs, self.impacts)):
+            np.maximum.at(self.most[t], np.array(docs) // self.block, np.array(impacts, dtype=np.float32))
 
     @staticmethod
     def grams(h: np.ndarray, width: int = 4) -> tuple[int, np.ndarray]:
@@ -89,49 +97,47 @@ class ItemIndex:
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for a query of different terms reaches ``threshold``."""
-        bar, found, size = threshold - 1e-9, [], self.block
-        cursors = [[self.docs[t][0], 0, t] for t in terms]  # current item, place in the posting list, term
+        found = []
+        for block in np.flatnonzero(self.most[terms].sum(axis=0) >= threshold - SLACK).tolist():
+            found += self.search_block(terms, block, threshold - 1e-9)
+        return found
+
+    def search_block(self, terms: list[int], block: int, bar: float) -> list[tuple[int, float]]:
+        """WAND within a block, the block's largest impacts being the terms' bounds.
+
+        Cursors stand in the order of their items. The pivot is the first one up to which the bounds reach the bar: no item
+        before its own can. If all cursors up to it stand on its item, the item is scored; otherwise they move up to it.
+        """
+        low, high, found = block * self.block, (block + 1) * self.block, []
+        bound, cursors = self.most[:, block], []
+        for t in terms:
+            if bound[t] > 0:
+                at = bisect_left(self.docs[t], low)
+                cursors.append([self.docs[t][at], at, t, float(bound[t]) + 1e-7])
         while cursors:
             cursors.sort()
-            bound, pivot = 0.0, None
-            for i, (_, _, t) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= bar:
-                    pivot = i
+            total, pivot = 0.0, None
+            for c in cursors:
+                total += c[3]
+                if total >= bar:
+                    pivot = c[0]
                     break
             if pivot is None:
                 break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            bound, after = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
-            for _, place, t in cursors[: pivot + 1]:
-                docs = self.docs[t]
-                b = place // size
-                while (b + 1) * size < len(docs) and docs[(b + 1) * size - 1] < item:
-                    b += 1
-                bound += self.block_most[t][b] if docs[min((b + 1) * size, len(docs)) - 1] >= item else 0.0
-                end = docs[min((b + 1) * size, len(docs)) - 1] + 1
-                after = min(after, end) if end > item else after
-            if bound < bar:
-                target, upto = max(after, item + 1), pivot + 1
+            behind = [c for c in cursors if c[0] < pivot]
+            if behind:
+                target = pivot
             else:
-                target, upto = item + 1, pivot + 1
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    docs = self.docs[c[2]]
-                    while c[1] < len(docs) and docs[c[1]] < item:
-                        c[1] += 1
-                    if c[1] < len(docs) and docs[c[1]] == item:
-                        score += self.impacts[c[2]][c[1]]
+                behind = [c for c in cursors if c[0] == pivot]
+                score = sum(self.impacts[t][at] for _, at, t, _ in behind)
                 if score >= bar:
-                    found.append((item, score))
-            for c in cursors[:upto]:
+                    found.append((pivot, score))
+                target = pivot + 1
+            for c in behind:
                 docs = self.docs[c[2]]
-                while c[1] < len(docs) and docs[c[1]] < target:
-                    c[1] += 1
-                c[0] = docs[c[1]] if c[1] < len(docs) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
+                c[1] = bisect_left(docs, target, c[1])
+                c[0] = docs[c[1]] if c[1] < len(docs) else high
+            cursors = [c for c in cursors if c[0] < high]
         return found
 
     def overlaps(self, item: int, h: np.ndarray) -> tuple[float, float]:
@@ -142,34 +148,48 @@ class ItemIndex:
         return shares[0], shares[1]
 
 
-def _search(index: ItemIndex, threshold: float, question: float, answer: float):
-    stride = index.longest
-    width = 2 * stride
+def _passages(h: np.ndarray, row: np.ndarray, rows: int, stride: int):
+    """First and end term and row of passages of two strides that start every stride."""
+    edges = np.searchsorted(row, np.arange(rows + 1))
+    n = np.diff(edges)
+    count = np.maximum(1, -(-(n - stride) // stride)) * (n > 0)
+    of = np.repeat(np.arange(rows), count)
+    begin = edges[of] + (np.arange(len(of)) - (np.cumsum(count) - count)[of]) * stride
+    return begin, np.minimum(begin + 2 * stride, edges[of + 1]), of
+
+
+def _candidates(index: ItemIndex, number: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float):
+    """(passage, different terms, blocks) of passages for which some block's bound reaches the threshold."""
+    for a in range(0, len(begin), 512):
+        b = min(len(begin), a + 512)
+        size = end[a:b] - begin[a:b]
+        of = np.repeat(np.arange(b - a), size)
+        term = number[np.repeat(begin[a:b], size) + np.arange(len(of)) - (np.cumsum(size) - size)[of]]
+        key = np.unique((of * (len(index.terms) + 1) + term)[term >= 0])
+        of, term = key // (len(index.terms) + 1), key % (len(index.terms) + 1)
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        bounds = np.add.reduceat(index.most[term], first, axis=0)
+        last = np.append(first[1:], len(of))
+        for i in np.flatnonzero((bounds >= threshold - SLACK).any(axis=1)).tolist():
+            yield a + int(of[first[i]]), term[first[i] : last[i]].tolist(), np.flatnonzero(bounds[i] >= threshold - SLACK).tolist()
+
 
+def _search(index: ItemIndex, threshold: float, question: float, answer: float):
     def run(batches):
         for batch in chunks(batches):
             h, row = _terms(batch)
             number = index.numbers(h)
-            weight = np.where(number >= 0, index.most[number], 0.0) if len(index.terms) else np.zeros(len(h))
-            total = np.concatenate([[0.0], np.cumsum(weight)])
-            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            n = np.diff(edges)
-            passages = np.maximum(1, -(-(n - stride) // stride)) * (n > 0)
-            of = np.repeat(np.arange(batch.num_rows), passages)
-            begin = edges[of] + (np.arange(len(of)) - (np.cumsum(passages) - passages)[of]) * stride
-            end = np.minimum(begin + width, edges[of + 1])
+            begin, end, of = _passages(h, row, batch.num_rows, index.longest)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            # the sum of the terms' largest impacts bounds every score of the passage
-            for p in np.flatnonzero(total[end] - total[begin] >= threshold - 1e-6).tolist():
-                part = number[begin[p] : end[p]]
-                different = np.unique(part[part >= 0])
-                if index.most[different].sum() < threshold - 1e-9:
-                    continue
-                for item, score in index.retrieve(different.tolist(), threshold):
-                    q, a = index.overlaps(item, h[begin[p] : end[p]])
-                    if q >= question and a >= answer:
-                        key = (int(of[p]), item)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
+            for p, terms, blocks in _candidates(index, number, begin, end, threshold):
+                for block in blocks:
+                    for item, score in index.search_block(terms, block, threshold - 1e-9):
+                        q, a = index.overlaps(item, h[begin[p] : end[p]])
+                        if q >= question and a >= answer:
+                            key = (int(of[p]), item)
+                            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
             keys = list(best)
             r = pa.array([k[0] for k in keys], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +202,7 @@ def _search(index: ItemIndex, threshold: float, question: float, answer: float):
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    threshold: float = 0.6, question: float = 0.6, answer: float = 0.6, index_bytes: int = 16 << 20,
+    threshold: float = 0.6, question: float = 0.6, answer: float = 0.6, index_bytes: int = 1 << 20,
 ) -> DataFrame:
     """One row per document and test item that one of its passages contains: doc_id, item_id, score and overlaps.
 
