@@ -28,7 +28,7 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     schema = df.schema
     del df
     gc.collect()
