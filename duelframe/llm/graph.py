@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from duelframe.llm.staging import is_empty, stage
+from duelframe.llm.staging import discard, stage
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    """Number and hash sums of the links: equal after a round that changed nothing."""
+    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    return tuple(row)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     written table, so neither lineage nor driver memory grows.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    seen = _checksum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -22,9 +29,12 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        if is_empty(after.exceptAll(edges)) and is_empty(edges.exceptAll(after)):
-            break
+        now = _checksum(after)
+        discard(edges)
         edges = after
+        if now == seen:
+            break
+        seen = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

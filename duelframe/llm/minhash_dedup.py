@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.llm.arrays import U, chunks, list_column, lower_ascii, mix64, shingle_hashes, span_hashes, text_bytes, words
 from duelframe.llm.graph import components
-from duelframe.llm.staging import TEXT_KEY, is_empty, row_key, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, row_key, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 FIRST, SECOND = U(0x51AFD7ED558CCD25), U(0xC4CEB9FE1A85EC53)
@@ -117,34 +117,82 @@ def _verified(percent: int):
     return run
 
 
-def _candidates(members: DataFrame, label: DataFrame | None, leaders: int, small: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify next and the members that still have untested partners.
+def _possible(percent: int, n1, c1, n2, c2) -> Column:
+    """Whether two sets of n items, of which c occur elsewhere as well, can reach the threshold at all."""
+    most = F.least(c1, c2)
+    return most * 100 >= (n1 + n2 - most) * percent
 
-    ``members`` are (bucket, class); classes of one component need no test against each other. In a bucket of at most
-    ``small`` members all pairs of different components are tested. In a larger one the next ``leaders`` members are
-    tested against all others and then leave the bucket: every pair is tested in the end, but never all at once.
+
+def _live(members: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """Members of buckets that are not one component yet and that may have a partner there.
+
+    Adds the member's component, the bucket's size, its largest component and the number of members outside it. A member
+    whose shared items cannot make a link even with the smallest set of the bucket is done.
     """
-    if label is not None:
-        members = members.join(label, members["class"] == label["node"], "left").select(
-            "bucket", "class", F.coalesce("component", "class").alias("component"))
-    else:
+    if label is None:
         members = members.withColumn("component", F.col("class"))
-    sizes = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"),
-        *[F.min(F.struct(F.xxhash64("class", F.lit(turn * 1000 + i)).alias("r"), F.col("class").alias("l"), F.col("component").alias("lc"))).alias(f"l{i}") for i in range(leaders)],
-    ).where("c1 < c2")
-    live = members.join(sizes, "bucket")
-    few, many = live.where(F.col("size") <= small), live.where(F.col("size") > small)
-    x, y = few.select("bucket", F.col("class").alias("a"), F.col("component").alias("ca")), few.select("bucket", F.col("class").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b")
-    led = many.select("class", "component", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").getField("l") for i in range(leaders)]))).alias("leader")).where("class <> leader")
-    pairs = pairs.unionByName(led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")))
-    rest = many.where(~F.array_contains(F.array(*[F.col(f"l{i}").getField("l") for i in range(leaders)]), F.col("class"))).select("bucket", "class")
-    return pairs.distinct(), rest
+    else:
+        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", F.coalesce("component", "class").alias("component"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    members = members.join(least, "bucket").where(_possible(percent, F.col("n"), F.col("c"), F.col("least"), F.col("c"))).drop("least")
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return members.join(sizes.select("bucket", "size", F.col("top.component").alias("top"), (F.col("size") - F.col("top.k")).alias("outside")), "bucket")
+
+
+def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify in this turn, and the members that still have untested partners.
+
+    A leader is tested against all members of other components and then leaves its bucket. All members outside the
+    largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do, chosen by a hash of
+    the turn, and with them a few members of the largest component, which tie many others to it at once.
+    """
+    dice = F.xxhash64("class", F.lit(turn))
+    share = F.lit(float(budget)) / (F.col("size") * F.col("outside"))
+    minor = F.col("component") != F.col("top")
+    drawn = minor & ((F.pmod(dice, F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
+    who = F.struct("class", "component", "n", "c")
+    ranked = F.struct(dice.alias("r"), who.alias("who"))
+    first = [F.min(F.when(minor, ranked)).alias("m")] + [
+        F.min(F.when(~minor, F.struct(F.xxhash64("class", F.lit(turn * 1000 + i)).alias("r"), who.alias("who")))).alias(f"t{i}") for i in range(3)]
+    heads = live.groupBy("bucket").agg(F.collect_list(F.when(drawn, who)).alias("drawn"), *first)
+    heads = heads.select("bucket", F.array_distinct(F.filter(F.concat("drawn", F.array("m.who", *[F.col(f"t{i}.who") for i in range(3)])), lambda h: h.isNotNull())).alias("heads"))
+    both = live.join(heads, "bucket")
+    fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]))
+    pairs = both.select("class", F.explode(fits).alias("h")).select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
+    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "size")
+
+
+def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every member against one leader of its bucket, the same in all buckets that hold it."""
+    ranked = F.struct(F.xxhash64("class").alias("r"), "class", "n", "c")
+    heads = members.groupBy("bucket").agg(F.min(ranked).alias("h"), F.count(F.lit(1)).alias("size"))
+    both = members.join(heads, "bucket").where(F.col("class") != F.col("h.class"))
+    pairs = both.where(_possible(percent, F.col("n"), F.col("c"), F.col("h.n"), F.col("h.c")))
+    pairs = pairs.select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
+    return pairs, both.select("bucket", "class", "n", "c", "size")
+
+
+def _prefix_members(heavy: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """Other buckets for the members of crowded ones: two sets at the threshold share one of their rarest items.
+
+    A set of n items needs n - ceil(percent/100 * n) + 1 of them, counted from the rarest. What makes a bucket crowded is
+    a common passage, and its items are not among the rarest. No pair at the threshold is lost.
+
+    Items that at most ``small`` sets have are the first of every set's list. Whoever shares one meets in its bucket, so a
+    bucket of a more frequent item need only find pairs that share frequent items alone: ``c`` counts those.
+    """
+    items = sets.join(heavy.select("class").distinct(), "class", "left_semi").select("class", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
+    shared = items.join(often, "item").select("class", "n", F.struct("times", "item").alias("i")).groupBy("class", "n").agg(
+        F.array_sort(F.collect_list("i")).alias("i"), F.count_if(F.col("i.times") > 1).alias("c1"), F.count_if(F.col("i.times") > small).alias("c2"))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    first = shared.select("class", "n", "c1", "c2", F.explode(F.slice("i", F.lit(1), length.cast("int"))).alias("i")).where("i.times > 1")
+    return first.select(F.col("i.item").alias("bucket"), "class", "n", F.when(F.col("i.times") > small, F.col("c2")).otherwise(F.col("c1")).alias("c"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, leaders: int = 8, small: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 20, rows: int = 4, budget: int = 50_000, small: int = 64,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -153,12 +201,13 @@ def near_duplicates(
 
     Documents with equal sets are one class from the start and never meet as pairs. Band buckets propose pairs of
     classes (a link at the threshold is missed by all ``bands`` bands with probability (1 - (percent/100)^rows)^bands,
-    3e-5 for the defaults), full sets confirm them. Pairs inside a component that is already connected are left out,
-    and a large bucket is worked off leader by leader, so no bucket emits all its pairs.
+    3e-5 for the defaults), full sets confirm them. The first turn ties every member to one member of its bucket. Later
+    turns test only what is still in different components: buckets of at most ``small`` members as they are, while the
+    members of larger ones are bucketed anew by their rarest shingles, which loses no pair, and worked off with about
+    ``budget`` pairs a bucket and turn. No crowded bucket ever emits all its pairs.
 
     Null or empty texts have no shingles and are linked with nothing. Rows with a null id are kept, with a null
-    component. Rows that repeat an id but not its text are linked by
-    their own sets.
+    component. Rows that repeat an id but not its text share its name.
     """
     base = text_rows(docs, id_col, text_col)
     key_type = f"doc_id long, {TEXT_KEY} long"
@@ -166,26 +215,38 @@ def near_duplicates(
     filled = sketch.where("n > 0")
     first = F.min(F.struct("doc_id", TEXT_KEY)).alias("first")
     classes = stage(filled.groupBy("n", "d1", "d2").agg(first).select("n", "d1", "d2", "first.*"), "set-classes")
-    heads = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), F.posexplode("bands").alias("band", "hash")).distinct()
-    buckets = heads.select(F.xxhash64("band", "hash").alias("bucket"), "class")
+    heads = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), "n", F.posexplode("bands").alias("band", "hash")).distinct()
+    buckets = heads.select(F.xxhash64("band", "hash").alias("bucket"), "class", "n", F.col("n").alias("c"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stage(buckets.join(shared, "bucket", "left_semi"), "band-members")
     involved = classes.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*KEYS)
     sets = stage(base.join(involved, KEYS).select(F.col("doc_id").alias("class"), "text").mapInArrow(_sets(width), "class long, items array<long>"), "shingle-sets")
-    links, label, turn = None, None, 0
+    label, turn, size = None, 0, F.col("size")
     while True:
-        pairs, rest = _candidates(members, label, 1 if turn == 0 else leaders, small, turn)
-        pairs, rest = stage(pairs, "candidates"), stage(rest, "untested-members")
+        if turn == 0:
+            pairs, rest = _first_tests(members, percent)
+            live = None
+        else:
+            live = stage(_live(members, label, percent), "live-members")
+            pairs, rest = _tests(live if turn > 1 else live.where(size <= small), percent, budget, turn)
+            if turn == 1:
+                rest = rest.unionByName(live.where(size > small).select(*rest.columns))
         loaded = pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
         linked = stage(loaded.mapInArrow(_verified(percent), "a long, b long"), "verified-links")
-        links = linked if links is None else links.unionByName(linked)
-        last = is_empty(rest)
-        if label is None or not is_empty(linked):
-            label = stage(components(links), "components")
-        if last:
+        before, ended = members, label
+        if label is None:
+            label = stage(components(linked), "components")
+        elif not is_empty(linked):
+            label = stage(components(linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+        members = stage(_prefix_members(rest, sets, percent, small) if turn == 1 else rest.drop("size"), "untested-members")
+        discard(linked, before, *([live] if live is not None else []))
+        if ended is not None and label is not ended:
+            discard(ended)
+        turn += 1
+        if is_empty(members):
             break
-        members, turn = rest, turn + 1
+    discard(sets)
     named = classes.join(label, classes["doc_id"] == label["node"], "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     result = filled.join(named, ["n", "d1", "d2"]).select("doc_id", TEXT_KEY, F.col("n").alias("n_shingles"), "component_id")
     empty = sketch.where("n = 0").select("doc_id", TEXT_KEY, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

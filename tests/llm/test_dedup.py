@@ -103,7 +103,7 @@ def test_near_duplicates_in_large_buckets(spark):
         for _ in range(r.choice([1, 2, 12])):
             w[r.randrange(len(w))] = f"new{i}"
         rows.append((100 - i, " ".join(w)))
-    got = minhash_dedup.near_duplicates(frame(spark, rows), width=3, percent=85, small=3, leaders=2)
+    got = minhash_dedup.near_duplicates(frame(spark, rows), width=3, percent=85, small=3, budget=40)
     assert found(got, ["n_shingles", "component_id"]) == brute.near_components(rows, 3, 85)
     kept = minhash_dedup.drop_near_duplicates(frame(spark, rows), width=3, percent=85)
     assert {x.doc_id for x in kept.collect()} == {c for _, c in brute.near_components(rows, 3, 85).values()}
