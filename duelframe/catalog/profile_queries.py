@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duelframe.catalog.base import MATCHES_SQL, matches, query, r, rounded
 from duelframe.functions import numbers as nf, odds as of
 from duelframe.operators import clean, evaluate, market, profile, sequence
+from duelframe.plans.sizing import cut
 from duelframe.sources import odds_documents as od
 
 
@@ -98,7 +99,7 @@ def normal_equation(t):
 SELECT count(*) AS matches, r4(avg(CASE WHEN x.e IS NOT NULL AND y.e IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END)) AS "both", r4(avg(CASE WHEN x.e IS NOT NULL OR y.e IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END)) AS "any"
 FROM matches m LEFT JOIN k x ON x.e = m.a LEFT JOIN k y ON y.e = m.b WHERE ts >= DATE '1995-03-01'""")
 def snapshot_coverage(t):
-    m = matches(t)
+    m = cut(matches(t).select("ts", "a", "b"))
     early = m.where("ts < DATE '1995-03-01'")
     known = early.select(F.col("a").alias("e")).unionByName(early.select(F.col("b").alias("e")))
     return rounded(profile.snapshot_coverage(m.where("ts >= DATE '1995-03-01'"), known, "a", "b", "e"), "both", "any")
@@ -339,3 +340,9 @@ def feature_parity(t):
 @query("confident_slice", SCORED + "SELECT doc_id, r4(p) AS p FROM s WHERE greatest(p, 1 - p) >= 0.7")
 def confident_slice(t):
     return rounded(evaluate.confident_slice(_scored(t), "p").select("doc_id", "p"), "p")
+
+
+@query("best_group", "SELECT o_orderpriority, o_totalprice, n FROM (SELECT o_orderpriority, sum(CAST(round(o_totalprice) AS BIGINT))::BIGINT AS o_totalprice, count(*) AS n FROM orders GROUP BY 1) ORDER BY o_totalprice DESC, o_orderpriority DESC LIMIT 1")
+def best_group(t):
+    """The group with the largest sum; the one later in the alphabet among equals."""
+    return profile.best_group(t.orders.select("o_orderpriority", F.round("o_totalprice").cast("bigint").alias("o_totalprice")), "o_orderpriority", "o_totalprice")

@@ -237,7 +237,7 @@ d AS (SELECT ts, league, count(*) AS total, r6(avg(CASE WHEN (pre > opp_pre AND
 UNION ALL (SELECT ts, league, total, accuracy, 'bottom' FROM d WHERE total >= 3 ORDER BY accuracy, ts, league LIMIT 5)""")
 def best_and_worst_days(t):
     d = profile.accuracy_by(_rated(t, "linear"), ["ts", "league"], evaluate.rating_hit("pre", "opp_pre", "score")).drop("correct")
-    return profile.best_and_worst(rounded(d, "accuracy", digits=6), "accuracy", "total", 3, 5, ["ts", "league"])
+    return profile.best_and_worst(cut(rounded(d, "accuracy", digits=6)), "accuracy", "total", 3, 5, ["ts", "league"])
 
 
 @query("rating_baseline", "WITH RECURSIVE " + replay_ctes("linear") + """,

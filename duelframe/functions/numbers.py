@@ -11,14 +11,6 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def guarded_ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
-    """num * scale / den, 0 when the denominator is missing or 0."""
-    den = F.coalesce(den, F.lit(0))
-    num = F.coalesce(num, F.lit(0)).cast("double")
-    scaled = num if scale == 1.0 else num * F.lit(float(scale))
-    return F.when(den == 0, F.lit(0.0)).otherwise(F.try_divide(scaled, den.cast("double")))
-
-
 def truncate_round(c: Column | str) -> Column:
     """Cut after the fourth decimal, then round half-even to two."""
     cut = (_c(c) * 10000).cast("bigint") / F.lit(10000.0)

@@ -9,10 +9,6 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def expected_score(a: Column | str, b: Column | str, scale: float = 400.0) -> Column:
-    return 1 / (1 + F.pow(F.lit(10.0), (_c(b) - _c(a)) / F.lit(scale)))
-
-
 def method_weight(weights: dict[str, float], symmetric_method: bool = False) -> Column:
     """Weight of the way the match ended, first hit in the order KO, SUB, UD, SD, MD.
 

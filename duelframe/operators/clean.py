@@ -67,10 +67,6 @@ def drop_irregular(df: DataFrame, time_format: str = "TIME FORMAT", round_no: st
     return kept if corrections is None else kept.unionByName(corrections)
 
 
-def require_known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
-
-
 def strip_quotes_from_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("'", "") for c in df.columns])
 
@@ -190,10 +186,6 @@ def within_all(df: DataFrame, columns: Sequence[str], low: float, high: float, a
     return df.where(reduce(lambda a, b: a & b, [ok(c) for c in columns]))
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
-
-
 def sample_entities(df: DataFrame, entity: str, n: int, seed: int = 42) -> DataFrame:
     """n distinct entities in a repeatable pseudo-random order: the smallest digests of (seed, entity)."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(entity).cast("string")))

@@ -401,10 +401,3 @@ def match_market_events(matches: DataFrame, events: DataFrame, *, match_id: str,
 def keep_known(df: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs in ``known``."""
     return df.join(known.select(*keys), list(keys), "left_semi")
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    joined = left.join(right, same_key(left, right, list(keys)), how)
-    for k in keys:
-        joined = joined.drop(right[k])
-    return joined

@@ -45,7 +45,7 @@ def continuity_report(rows: DataFrame, by: Sequence[str] = ("metric",)) -> DataF
     return rows.where(F.col("agree").isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("agree")).alias("mismatches"),
         F.avg(F.col("agree").cast("double")).alias("match_rate"),
-    )
+    ).orderBy("match_rate", F.desc("mismatches"), *by)
 
 
 def repair_continuity(df: DataFrame, entity, order: Sequence[str], pre: str, post: str, tolerance: float = 1.0, **kw) -> DataFrame:
@@ -75,8 +75,3 @@ def mirror_report(df: DataFrame, match: Sequence[str], entity: str, columns: Seq
         F.count_if(~F.coalesce(F.abs(F.col(prefix + c) - F.col(f"_own_{c}")) <= tolerance, F.lit(False))).alias(c) for c in columns
     ])
     return wide.unpivot([], list(columns), "column", "mismatches")
-
-
-def feature_availability(df: DataFrame, wanted: Sequence[str]) -> dict[str, list[str]]:
-    have = set(df.columns)
-    return {"available": [c for c in wanted if c in have], "missing": [c for c in wanted if c not in have]}

@@ -44,14 +44,6 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
-    """Append the stream to parquet, everything available now."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    return writer.start(path)
-
-
 def high_water_mark(df: DataFrame, ts: str):
     """Newest instant already stored, None for an empty table."""
     return df.agg(F.max(ts).alias("t")).first().t

@@ -79,7 +79,7 @@ def test_late_matches_do_not_rewrite_history(spark, tmp_path):
         inputs = R.rating_inputs(part, "linear")
         inputs.write.mode("append").parquet(landing)
         sr.rate_stream(ingest.file_stream(spark, landing, inputs.schema), "linear", base).awaitTermination()
-    assert {r.match_id for r in sr.rated_so_far(spark, base).collect()} == {1, 2, 4}
+    assert {r.match_id: r.late for r in sr.rated_so_far(spark, base).collect()} == {1: False, 2: False, 3: True, 4: False}
     assert [r.match_id for r in spark.read.parquet(f"{base}/late").collect()] == [3]
 
 
