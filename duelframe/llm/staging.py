@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from duelframe.session import ensure_checkpoint_dir
+
 TEXT_KEY = "_text_key"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a scratch folder only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="duelframe-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that spark.checkpoint.dir names; a scratch folder only in a single process (tests), never on a cluster."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
