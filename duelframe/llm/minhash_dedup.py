@@ -230,7 +230,9 @@ def near_duplicates(
             live = stage(_live(members, label, percent), "live-members")
             pairs, rest = _tests(live if turn > 1 else live.where(size <= small), percent, budget, turn)
             if turn == 1:
-                rest = rest.unionByName(live.where(size > small).select(*rest.columns))
+                crowded = live.where(size > small).select(*rest.columns)
+                # the budget covers every pair of a small bucket, so nothing of it is left
+                rest = crowded if small * small <= budget else rest.unionByName(crowded)
         loaded = pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
         linked = stage(loaded.mapInArrow(_verified(percent), "a long, b long"), "verified-links")
