@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from duelframe.llm.arrays import chunks
-from duelframe.llm.staging import TEXT_KEY, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, same_at_every_size, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 
@@ -121,7 +121,7 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = now.join(first, "rank").where(F.struct(*KEYS, "place") > F.col("first"))
     starts = stage(later.groupBy(*KEYS).agg(F.collect_set("place").alias("starts")), "repeated-runs")
     schema = "doc_id long, n_lines long, n_removed long, kept_text string, kept_sha256 string, runs array<string>"
-    named = text_rows(docs, id_col, text_col).join(starts, KEYS, "left").select("doc_id", "text", "starts")
+    named = text_rows(docs, id_col, text_col).join(same_at_every_size(starts), KEYS, "left").select("doc_id", "text", "starts")
     unnamed = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts"))
     return named.unionByName(unnamed).mapInArrow(_removed(min_lines), schema)

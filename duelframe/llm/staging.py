@@ -58,5 +58,11 @@ def row_key(text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def same_at_every_size(table: DataFrame) -> DataFrame:
+    """Join with ``table`` by sorting both sides, also where it happens to be small: it grows with the input, and texts
+    that travel for one size should travel for all."""
+    return table.hint("merge")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
