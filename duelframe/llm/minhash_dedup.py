@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.llm.arrays import U, chunks, list_column, lower_ascii, mix64, shingle_hashes, span_hashes, text_bytes, words
 from duelframe.llm.graph import components
-from duelframe.llm.staging import TEXT_KEY, discard, is_empty, row_key, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, row_key, same_at_every_size, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 FIRST, SECOND = U(0x51AFD7ED558CCD25), U(0xC4CEB9FE1A85EC53)
@@ -220,7 +220,7 @@ def near_duplicates(
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stage(buckets.join(shared, "bucket", "left_semi"), "band-members")
     involved = classes.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*KEYS)
-    sets = stage(base.join(involved, KEYS).select(F.col("doc_id").alias("class"), "text").mapInArrow(_sets(width), "class long, items array<long>"), "shingle-sets")
+    sets = stage(base.join(same_at_every_size(involved), KEYS).select(F.col("doc_id").alias("class"), "text").mapInArrow(_sets(width), "class long, items array<long>"), "shingle-sets")
     label, turn, size = None, 0, F.col("size")
     while True:
         if turn == 0:
@@ -261,5 +261,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that link to one with a smaller id; columns as they were, null ids stay."""
     gone = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col(TEXT_KEY).alias("_key")).distinct()
-    gone = stage(gone, "near-duplicates")
+    gone = same_at_every_size(stage(gone, "near-duplicates"))
     return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (row_key(text_col) == gone["_key"]), "left_anti")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.llm.arrays import U, chunks, list_column, span_hashes, spans, super_runs, text_bytes, whole_groups, words
-from duelframe.llm.staging import TEXT_KEY, discard, is_empty, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, same_at_every_size, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 
@@ -189,7 +189,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = stage(ranges.where("lo < hi").select("h"), "shared-minimisers")
     held = rows.mapInArrow(_minimisers(window, gram), f"h long, {key_type}").join(shared, "h", "left_semi")
     wanted = stage(held.groupBy(*KEYS).agg(F.collect_set("h").alias("wanted")), "wanted-minimisers")
-    cut = rows.join(wanted, KEYS).select(*KEYS, "text", "wanted")
+    cut = rows.join(same_at_every_size(wanted), KEYS).select(*KEYS, "text", "wanted")
     pieces = stage(cut.mapInArrow(_packed(window, gram), f"h long, name binary, packed binary, {key_type}, start int"), "super-k-mers")
     discard(shared, wanted)
     different = stage(
@@ -222,7 +222,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     starts = repeated_windows(docs, id_col, text_col, window, **options)
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    named = text_rows(docs, id_col, text_col).join(starts, KEYS, "left").select("doc_id", "text", "starts")
+    named = text_rows(docs, id_col, text_col).join(same_at_every_size(starts), KEYS, "left").select("doc_id", "text", "starts")
     unnamed = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duelframe.llm.arrays import _powers, chunks, list_column, mix64, prefix_sums, super_runs, text_bytes, whole_groups, U
 from duelframe.llm.deep_shallow import deep_shallow_sort
-from duelframe.llm.staging import TEXT_KEY, discard, is_empty, stage, text_rows
+from duelframe.llm.staging import TEXT_KEY, discard, is_empty, same_at_every_size, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
 PART = 1 << 21
@@ -230,7 +230,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stage(counts.where("n > 1").select("h"), "shared-anchors")
     places = rows.mapInArrow(_anchors(window, gram), f"h long, {key_type}").join(shared, "h", "left_semi")
     wanted = stage(places.groupBy(*KEYS).agg(F.collect_set("h").alias("wanted")), "wanted-anchors")
-    cut = rows.join(wanted, KEYS).select(*KEYS, "text", "wanted")
+    cut = rows.join(same_at_every_size(wanted), KEYS).select(*KEYS, "text", "wanted")
     pieces = stage(cut.mapInArrow(_pieces(window, gram), f"h long, name binary, packed binary, {key_type}, start long, before int"), "anchored-strings")
     discard(shared, wanted)
     different = stage(
@@ -265,7 +265,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     lists = repeated_ranges(docs, id_col, text_col, window, **options)
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, span_starts array<long>, span_ends array<long>, kept_sha256 string")
-    named = text_rows(docs, id_col, text_col).join(lists, KEYS, "left").select("doc_id", "text", "firsts", "lasts")
+    named = text_rows(docs, id_col, text_col).join(same_at_every_size(lists), KEYS, "left").select("doc_id", "text", "firsts", "lasts")
     unnamed = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.lit(None).cast("array<long>").alias("firsts"), F.lit(None).cast("array<long>").alias("lasts"))
