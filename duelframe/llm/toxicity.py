@@ -285,7 +285,8 @@ def learn(
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(chosen, "doc_id")
+    # at most ``sample`` short rows, so they can go to every task and no text is shuffled
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = stage(rows, "labelled-texts")
     first = rows.groupBy(F.md5("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
     rows = rows.join(first, ["doc_id", "toxic"], "left_semi")
