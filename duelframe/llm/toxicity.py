@@ -8,7 +8,10 @@ word, against used as the writer's own), and a logistic model turns the counts i
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +24,7 @@ from duelframe.llm.staging import stage
 KINDS = ("exact", "stem", "near", "far")
 FEATURES = [f"{kind}_{use}" for kind in KINDS for use in ("own", "quoted")]
 STEM_LENGTHS = (4, 5, 6, 7, 8)
+DIGEST = ("d0", "d1", "d2", "d3")
 # Bytes that belong to words besides those above 127, quotation marks, and words that report speech.
 QUOTES = ('"', "“", "”", "«", "»", "„")
 REPORTING = ("said", "says", "wrote", "writes", "called", "quoted", "quote", "according")
@@ -199,25 +203,60 @@ def _terms():
     return run
 
 
-def _bearers(terms: list[tuple[str, bool]]):
-    """For each candidate term the toxic documents that hold it."""
-    words, stems = {t for t, s in terms if not s}, {t for t, s in terms if s}
+def _terms_of_rows(batch: pa.RecordBatch, words: set[str], stems: set[str]):
+    """For every row of a chunk its id and those of the given terms that it holds."""
+    data, offsets = text_bytes(batch)
+    data = lower_ascii(data)
+    starts, ends, row = spans(_WORD[data], offsets)
+    raw = data.tobytes()
+    edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    ids = batch.column("doc_id").to_pylist()
+    for r in range(batch.num_rows):
+        seen = {fold(raw[s:e].decode("utf-8", "ignore")) for s, e in zip(starts[edges[r] : edges[r + 1]].tolist(), ends[edges[r] : edges[r + 1]].tolist())}
+        yield ids[r], [(w, False) for w in seen & words] + [(p, True) for p in {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n} & stems]
+
+
+def _split(terms: pa.Table) -> tuple[set[str], set[str]]:
+    listed = list(zip(terms.column("term").to_pylist(), terms.column("stem").to_pylist()))
+    return {t for t, s in listed if not s}, {t for t, s in listed if s}
 
+
+def _set_digests(terms: pa.Table):
+    """For each candidate term four sums over 32-bit parts of the digests of its bearers' ids, combined per chunk.
+
+    Sums of parts cannot overflow or cancel, so terms agree in all four where their bearers do (128 bits).
+    """
     def run(batches):
+        words, stems = _split(terms)
         for batch in chunks(batches):
-            data, offsets = text_bytes(batch)
-            data = lower_ascii(data)
-            starts, ends, row = spans(_WORD[data], offsets)
-            raw, out = data.tobytes(), []
-            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            ids = batch.column("doc_id").to_pylist()
-            for r in range(batch.num_rows):
-                seen = {fold(raw[s:e].decode("utf-8", "ignore")) for s, e in zip(starts[edges[r] : edges[r + 1]].tolist(), ends[edges[r] : edges[r + 1]].tolist())}
-                out += [(w, False, ids[r]) for w in seen & words]
-                out += [(p, True, ids[r]) for p in {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n} & stems]
+            total: dict[tuple[str, bool], np.ndarray] = {}
+            for i, found in _terms_of_rows(batch, words, stems):
+                parts = np.frombuffer(hashlib.blake2b(str(i).encode(), digest_size=16).digest(), dtype="<u4").astype(np.int64)
+                for t in found:
+                    if t in total:
+                        total[t] += parts
+                    else:
+                        total[t] = parts.copy()
+            sums = np.array(list(total.values()), dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in total], pa.string()), pa.array([s for _, s in total], pa.bool_()), *[pa.array(sums[:, i]) for i in range(4)]],
+                ["term", "stem", *DIGEST])
+
+    return run
+
+
+def _bearers(terms: pa.Table):
+    """For each given term the toxic documents that hold it, combined per chunk."""
+    def run(batches):
+        words, stems = _split(terms)
+        for batch in chunks(batches):
+            held: dict[tuple[str, bool], list[int]] = {}
+            for i, found in _terms_of_rows(batch, words, stems):
+                for t in found:
+                    held.setdefault(t, []).append(i)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.int64())],
-                ["term", "stem", "doc_id"])
+                [pa.array([t for t, _ in held], pa.string()), pa.array([s for _, s in held], pa.bool_()), pa.array(list(held.values()), pa.list_(pa.int64()))],
+                ["term", "stem", "ids"])
 
     return run
 
@@ -233,21 +272,36 @@ def _rows_with_counts(model: Model):
     return run
 
 
-def choose_entries(bearers: dict[tuple[str, bool], set[int]], least: int, most: int) -> list[tuple[str, bool]]:
+def choose_entries(bearers: Iterable[tuple[tuple[str, bool], Collection[int]]], least: int, most: int) -> list[tuple[str, bool]]:
     """Greedy cover: the term that explains most toxic documents which no chosen term explains yet.
 
     Words that merely occur in copies of a toxic document explain nothing new and are not chosen. Ties: whole words
-    before stems, longer before shorter, then the alphabet.
+    before stems, longer before shorter, then the alphabet. ``bearers`` come by number of documents, largest first, and
+    in that order among equals. What a term explains anew never grows, so terms are read only while the next could still
+    win, and those that explain fewer than ``least`` are dropped for good.
     """
-    left, covered, chosen = dict(bearers), set(), []
-    while left and len(chosen) < most:
-        gain = {t: len(d - covered) for t, d in left.items()}
-        left = {t: d for t, d in left.items() if gain[t] >= least}
-        if not left:
+    def place(term, n):
+        return (-n, term[1], -len(term[0]), term[0])
+
+    source, covered, chosen = iter(bearers), set(), []
+    heap: list[tuple[tuple, set[int]]] = []
+    following = next(source, None)
+    while len(chosen) < most:
+        while following and (not heap or place(following[0], len(following[1])) < heap[0][0]):
+            left = set(following[1]) - covered
+            if len(left) >= least:
+                heapq.heappush(heap, (place(following[0], len(left)), left))
+            following = next(source, None)
+        if not heap:
             break
-        best = min(left, key=lambda t: (-gain[t], t[1], -len(t[0]), t[0]))
-        covered |= left.pop(best)
-        chosen.append(best)
+        at, left = heapq.heappop(heap)
+        now = left - covered
+        if len(now) < len(left):
+            if len(now) >= least:
+                heapq.heappush(heap, ((-len(now), *at[1:]), now))
+            continue
+        covered |= now
+        chosen.append((at[3], at[1]))
     return chosen
 
 
@@ -299,11 +353,15 @@ def learn(
     counted = rows.mapInArrow(_terms(), "term string, stem boolean, bad long, good long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # the share of toxic documents among the bearers, with the classes weighed alike
     even = (F.col("bad") / bad) / (F.col("bad") / bad + F.col("good") / good)
-    terms = counted.where((F.col("bad") >= least) & (even >= precision)).orderBy(F.desc("bad"), "good", F.desc(F.length("term")), "term", "stem").limit(4 * entries)
-    listed = [(r["term"], r["stem"]) for r in terms.select("term", "stem").collect()]
-    found = rows.where("toxic = 1").mapInArrow(_bearers(listed), "term string, stem boolean, doc_id long").groupBy("term", "stem").agg(F.collect_set("doc_id").alias("ids"))
-    bearers = {(r["term"], r["stem"]): set(r["ids"]) for r in found.toLocalIterator()}
-    lexicon = choose_entries(bearers, least, entries)
+    terms = counted.where((F.col("bad") >= least) & (even >= precision)).select("term", "stem").toArrow()
+    toxic = rows.where("toxic = 1")
+    # of terms with equal bearers the cover can choose only the first of its order, so one stands for all
+    digests = toxic.mapInArrow(_set_digests(terms), "term string, stem boolean, " + ", ".join(f"{d} long" for d in DIGEST)).groupBy("term", "stem").agg(*[F.sum(d).alias(d) for d in DIGEST])
+    foremost = digests.groupBy(*DIGEST).agg(F.min(F.struct("stem", (-F.length("term")).alias("length"), "term")).alias("first"))
+    terms = foremost.select("first.term", "first.stem").toArrow()
+    found = toxic.mapInArrow(_bearers(terms), "term string, stem boolean, ids array<long>").groupBy("term", "stem").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    found = found.orderBy(F.desc(F.size("ids")), "stem", F.desc(F.length("term")), "term")
+    lexicon = choose_entries((((r["term"], r["stem"]), r["ids"]) for r in found.toLocalIterator()), least, entries)
     model = Model([t for t, s in lexicon if not s], [t for t, s in lexicon if s], [0.0] * len(FEATURES), 0.0)
     schema = "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
     table = rows.mapInArrow(_rows_with_counts(model), schema).groupBy("toxic", *FEATURES).agg(F.count(F.lit(1)).alias("n")).toPandas()

@@ -212,6 +212,37 @@ def test_toxicity_learns_and_ignores_copies(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_the_lexicon_outlives_near_copies(spark):
+    """More than 4 * entries terms of one group of near copies, all with more bearers than the real terms."""
+    r = random.Random(9)
+    clean = lambda: " ".join("".join(r.choice(["ka", "lo", "mi", "nu"]) for _ in range(r.randint(1, 5))) for _ in range(20))
+    passage = " ".join("".join(r.choice("bdfgjpqtvwxz") for _ in range(9)) for _ in range(60))
+    docs = [(i, clean() + (f" {passage} end{i}" if i < 60 else " zorbak" if i < 80 else " grimful" if i < 95 else "")) for i in range(300)]
+    labels = [(i, int(i < 95)) for i in range(300)]
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), entries=10)
+    assert {"zorbak", "grimful"} <= set(model.words) and len(model.words) + len(model.stems) == 3
+
+
+def test_lazy_cover_agrees_with_the_plain_one():
+    def plain(left, least, most):
+        covered, chosen = set(), []
+        while len(chosen) < most:
+            gain = {t: len(d - covered) for t, d in left.items()}
+            best = min((t for t in left if gain[t] >= least), key=lambda t: (-gain[t], t[1], -len(t[0]), t[0]), default=None)
+            if best is None:
+                break
+            covered |= left[best]
+            chosen.append(best)
+        return chosen
+
+    r = random.Random(10)
+    for _ in range(200):
+        sets = {("".join(r.choice("ab") for _ in range(r.randint(3, 7))), r.random() < 0.5): {r.randrange(40) for _ in range(r.randint(1, 20))} for _ in range(30)}
+        ordered = sorted(sets.items(), key=lambda x: (-len(x[1]), x[0][1], -len(x[0][0]), x[0][0]))
+        for most in (3, 50):
+            assert toxicity.choose_entries(ordered, 2, most) == plain(sets, 2, most)
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     rows = entry.queries()["op10_toxicity"](spark, MID).join(spark.read.parquet(f"{MID}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
