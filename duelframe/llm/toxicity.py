@@ -38,6 +38,15 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length <= 8 else 2
 
 
+def deletions(word: str, most: int) -> set[str]:
+    """``word`` and all that is left of it when up to ``most`` letters are deleted."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 def fold(word: str) -> str:
     return word.lower()
 
@@ -113,14 +122,11 @@ class Matcher:
     def __init__(self, model: Model):
         self.trie, self.known = model.trie(), {}
         self.reporting = {fold(w) for w in REPORTING}
-        entries = [w for w in model.words if edits_allowed(len(w))]
-        # an entry within d edits shares one of d + 1 pieces with the word, shifted by at most d places
-        self.pieces: dict[int, set[bytes]] = {}
-        for w in entries:
-            d = edits_allowed(len(w))
-            for i in range(d + 1):
-                a, b = len(w) * i // (d + 1), len(w) * (i + 1) // (d + 1)
-                self.pieces.setdefault(b - a, set()).add(w[a:b])
+        # an entry within d edits, swaps included, and the word become equal when at most d letters are deleted from each
+        self.short: dict[int, set[str]] = {}
+        for w in model.words:
+            if d := edits_allowed(len(w)):
+                self.short.setdefault(d, set()).update(deletions(w, d))
         self.lengths = (min((len(w) - edits_allowed(len(w)) for w in model.words), default=99), max((len(w) + edits_allowed(len(w)) for w in model.words), default=0))
         self.whole = set(model.words)
 
@@ -132,9 +138,7 @@ class Matcher:
             return 5
         if self.trie.stem_of(word):
             return 2
-        if self.lengths[0] <= len(word) <= self.lengths[1] and any(
-            word[i : i + n] in pieces for n, pieces in self.pieces.items() for i in range(len(word) - n + 1)
-        ):
+        if self.lengths[0] <= len(word) <= self.lengths[1] and any(not short.isdisjoint(deletions(word, d)) for d, short in self.short.items()):
             hit = self.trie.nearest(word)
             if hit:
                 return 2 + min(hit[1], 2)

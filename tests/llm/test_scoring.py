@@ -186,6 +186,32 @@ def test_automaton_agrees_with_edit_distance():
     assert kinds == {"idiot": 1, "idoit": 3, "idiots": 3, "id1ot": 3, "disgstng": 4, "scam": 0, "loweiung": 2, "said": 5, "plain": 0, "": 0}
 
 
+def test_kinds_agree_with_edit_distance():
+    """Every misspelling within the allowed edits is found, also where neighbouring letters changed places."""
+    def kind(w, lexicon):
+        best = min((edits(e, w) for e in lexicon if edits(e, w) <= toxicity.edits_allowed(len(e)) or e == w), default=None)
+        return 0 if best is None else 1 if best == 0 else 2 + min(best, 2)
+
+    lexicon = ["trash", "clown", "moron", "pathetic", "loser", "disgusting", "scum", "worthless"]
+    matcher = toxicity.Matcher(toxicity.Model(lexicon, [], [], 0.0))
+    assert [matcher.kind(w) for w in ("tarsh", "colwn", "mroon", "patehtic", "lsoer", "disugsting", "disugstnig")] == [3, 3, 3, 3, 3, 3, 4]
+    for e in lexicon:
+        swapped = {e[:i] + e[i + 1] + e[i] + e[i + 2 :] for i in range(len(e) - 1)}
+        for w in swapped | {v[:i] + v[i + 1] + v[i] + v[i + 2 :] for v in swapped for i in range(len(v) - 1)}:
+            assert matcher.kind(w) == kind(w, lexicon), w
+    r = random.Random(11)
+    lexicon = sorted({"".join(r.choice("abcd") for _ in range(r.randint(3, 12))) for _ in range(12)})
+    matcher = toxicity.Matcher(toxicity.Model(lexicon, [], [], 0.0))
+    for _ in range(2000):
+        w = list(r.choice(lexicon))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w))
+            w[i : i + 2] = r.choice([w[i : i + 2][::-1], w[i + 1 : i + 2], [*w[i : i + 2], r.choice("abcd")], [r.choice("abcd"), *w[i + 1 : i + 2]]])
+            w = w or ["a"]
+        w = "".join(w)
+        assert matcher.kind(w) == kind(w, lexicon), w
+
+
 def test_quotation_is_told_from_abuse():
     matcher = toxicity.Matcher(toxicity.Model(["idiot"], [], [], 0.0))
     texts = ["you idiot", 'the word "idiot" is old', "she said idiot", "", None, "said\n" + "fine " * 10 + "idiot", "IDIOT idiott"]
