@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import re
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field
 
@@ -157,8 +158,13 @@ class Matcher:
         return out[back]
 
 
+def _places(raw: bytes, part: bytes) -> np.ndarray:
+    """Where ``part`` starts in ``raw``."""
+    return np.array([m.start() for m in re.finditer(re.escape(part), raw)], dtype=np.int64)
+
+
 def hit_counts(batch: pa.RecordBatch, matcher: Matcher, reach: int = 6) -> np.ndarray:
-    """Counts per document and feature. A hit is quoted inside an odd quotation mark or ``reach`` words after a reporting word."""
+    """Counts per document and feature. A hit is quoted after an odd number of quotation marks in its line or ``reach`` words after a reporting word."""
     data, offsets = text_bytes(batch)
     data = lower_ascii(data)
     starts, ends, row = spans(_WORD[data], offsets)
@@ -168,12 +174,17 @@ def hit_counts(batch: pa.RecordBatch, matcher: Matcher, reach: int = 6) -> np.nd
     raw = data.tobytes()
     kinds = matcher.kinds(raw, starts, ends, span_hashes(data, starts, ends))
     hits = np.flatnonzero((kinds > 0) & (kinds < 5))
-    for i in hits.tolist():
+    if not len(hits):
+        return out
+    # quotation marks from the start of the hit's line to the hit
+    marks = np.sort(np.concatenate([_places(raw, q.encode()) for q in QUOTES]))
+    breaks = np.append(-1, np.flatnonzero(data == 10))
+    line = np.maximum(offsets[row[hits]], breaks[np.searchsorted(breaks, starts[hits]) - 1] + 1)
+    inside = (np.searchsorted(marks, starts[hits]) - np.searchsorted(marks, line)) % 2 == 1
+    for i, open_mark in zip(hits.tolist(), inside.tolist()):
         r = row[i]
-        a = max(int(offsets[r]), int(starts[i]) - 400)
-        before = raw[a : int(starts[i])].rpartition(b"\n")[2].decode("utf-8", "ignore")
         near = kinds[max(0, i - reach) : i][row[max(0, i - reach) : i] == r]
-        quoted = sum(before.count(q) for q in QUOTES) % 2 == 1 or bool((near == 5).any())
+        quoted = open_mark or bool((near == 5).any())
         out[r, 2 * (kinds[i] - 1) + quoted] += 1
     return out
 

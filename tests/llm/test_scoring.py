@@ -220,6 +220,15 @@ def test_quotation_is_told_from_abuse():
     assert [named(i) for i in range(len(texts))] == [{"exact_own": 1}, {"exact_quoted": 1}, {"exact_quoted": 1}, {}, {}, {"exact_own": 1}, {"exact_own": 1, "near_own": 1}]
 
 
+def test_quotations_of_any_length():
+    matcher = toxicity.Matcher(toxicity.Model(["idiot"], [], [], 0.0))
+    long = "fine words " * 60
+    texts = [f'"{long}idiot"', f'"{long}" idiot', f"“{long}idiot {long}” idiot", f'"{long}\nidiot', f'"{long}', "idiot", f"日本 « {long}idiot » „ idiot"]
+    x = toxicity.hit_counts(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), matcher)
+    own, quoted = toxicity.FEATURES.index("exact_own"), toxicity.FEATURES.index("exact_quoted")
+    assert x[:, [own, quoted]].tolist() == [[0, 1], [1, 0], [1, 1], [1, 0], [0, 0], [1, 0], [0, 2]]
+
+
 def test_toxicity_learns_and_ignores_copies(spark):
     r = random.Random(6)
     clean = lambda: " ".join("".join(r.choice(["ka", "lo", "mi", "nu"]) for _ in range(r.randint(1, 5))) for _ in range(40))
