@@ -153,7 +153,7 @@ class Matcher:
         for i, (key, s, e) in enumerate(zip(different.tolist(), starts[first].tolist(), ends[first].tolist())):
             kind = known.get(key)
             if kind is None:
-                kind = known[key] = self.kind(fold(raw[s:e].decode("utf-8", "ignore"))) if e - s <= 256 else 0
+                kind = known[key] = self.kind(fold(raw[s:e].decode("utf-8", "ignore")))
             out[i] = kind
         return out[back]
 

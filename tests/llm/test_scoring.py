@@ -229,6 +229,13 @@ def test_quotations_of_any_length():
     assert x[:, [own, quoted]].tolist() == [[0, 1], [1, 0], [1, 1], [1, 0], [0, 0], [1, 0], [0, 2]]
 
 
+def test_stems_at_the_start_of_very_long_words():
+    matcher = toxicity.Matcher(toxicity.Model(["idiot"], ["lowei", "ばか"], [], 0.0))
+    texts = ["lowei" + "x" * 300, "ばか" + "日本語" * 200, "日本語" * 200 + "ばか", "idiot" + "t" * 300]
+    x = toxicity.hit_counts(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), matcher)
+    assert x[:, toxicity.FEATURES.index("stem_own")].tolist() == [1, 1, 0, 0] and x.sum() == 2
+
+
 def test_toxicity_learns_and_ignores_copies(spark):
     r = random.Random(6)
     clean = lambda: " ".join("".join(r.choice(["ka", "lo", "mi", "nu"]) for _ in range(r.randint(1, 5))) for _ in range(40))
