@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import spelling
+from duelframe.llm import lexical, spelling
 from duelframe.llm.catalog import register, table
 
 
@@ -50,3 +50,38 @@ FROM known k JOIN (SELECT word, arg_max(ends, turn) AS ends FROM chain GROUP BY
 """)
 def op11(spark, folder):
     return spelling.spelling_variants(table(spark, folder, "documents"), slips=97)
+
+
+@register("op12_lexical_search", r"""
+WITH held AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents WHERE doc_id IS NOT NULL
+),
+sizes AS (SELECT place, doc_id, len(terms)::BIGINT AS n FROM held WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+wanted AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)
+  ) GROUP BY ALL
+),
+postings AS (
+  SELECT place, term, count(*)::BIGINT AS tf FROM (SELECT place, unnest(terms) AS term FROM held) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals
+),
+gains AS (
+  SELECT p.place, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // totals.terms)))) AS gain
+  FROM postings p JOIN weights USING (term) JOIN sizes USING (place), totals
+),
+scores AS (
+  SELECT item_id, place, sum(gain * times)::BIGINT AS score FROM wanted JOIN gains USING (term) GROUP BY ALL HAVING sum(gain * times) > 0
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores JOIN sizes USING (place)
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op12(spark, folder):
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
