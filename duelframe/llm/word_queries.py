@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import lexical, spelling
+from duelframe.llm import lexical, outliers, spelling
 from duelframe.llm.catalog import register, table
 
 
@@ -85,3 +85,8 @@ SELECT * FROM ranked WHERE rank <= 10
 """)
 def op12(spark, folder):
     return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op13_quality_rules")
+def op13(spark, folder):
+    return outliers.quality_verdicts(table(spark, folder, "documents")).drop(outliers.TEXT_KEY)
