@@ -57,15 +57,14 @@ class ItemIndex:
 
     BLOCKS = 64
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean_length: float):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean_length: float, longest: int):
         self.ids = [i for i, _ in items]
         self.block, postings = max(1, -(-len(items) // self.BLOCKS)), {}
-        self.longest = 1
+        self.longest = longest  # of all items, also those of other parts
         self.question: list[tuple[int, np.ndarray]] = []
         self.answer: list[tuple[int, np.ndarray]] = []
         for n, (_, text) in enumerate(items):
             h = term_hashes(text)
-            self.longest = max(self.longest, len(h))
             terms, times = np.unique(h, return_counts=True)
             idf = np.array([math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5)) for t in terms.tolist()])
             impact = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(h) / mean_length)) if len(h) else idf
@@ -210,8 +209,9 @@ def contaminated(
     whole in one of them. All items whose normalised BM25 score reaches ``threshold`` are retrieved; those that share
     at least ``question`` and ``answer`` of the 4-grams of the item's two parts are reported.
 
-    The index is sent to the tasks in parts of at most ``index_bytes`` of item text, one pass over the documents for
-    each, so a benchmark of any size is searched whole; term statistics cover all items.
+    The index is sent to the tasks in parts of about ``index_bytes`` of item text, one pass over the documents for each, so
+    a benchmark of any size is searched whole; term statistics and the length of passages come from all items, so the
+    result does not depend on the parts.
 
     Null texts, texts without words and items without words match nothing; null ids of documents are searched like
     others, null item ids too. Repeated rows give one row each; empty tables give none.
@@ -225,6 +225,7 @@ def contaminated(
     words = counted.agg(F.sum("words")).first()[0] or 0
     if not words:
         return spark.createDataFrame([], f"doc_id long, {TEXT_KEY} long, item_id long, score double, question_overlap double, answer_overlap double")
+    longest = chosen.mapInArrow(_item_lengths, "n long").agg(F.max("n")).first()[0]
     key = row_key(text_col).alias(TEXT_KEY)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key)
     numbered = chosen.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
@@ -234,13 +235,19 @@ def contaminated(
         listed = [(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").collect()]
         terms = mine.mapInArrow(_item_terms, "h long, n long, rows long").select("h").distinct()
         frequency = {r["h"] % (1 << 64): r["items"] for r in counted.join(terms, "h", "left_semi").select("h", "items").collect()}
-        index = ItemIndex(listed, frequency, bounds["n"], words / bounds["n"])
+        index = ItemIndex(listed, frequency, bounds["n"], words / bounds["n"], longest)
         found = rows.mapInArrow(
             _search(index, threshold, question, answer), f"doc_id long, {TEXT_KEY} long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _item_lengths(batches):
+    """The most terms of an item, per chunk."""
+    for batch in chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.bincount(_terms(batch)[1], minlength=1).max())])], ["n"])
+
+
 def _item_terms(batches):
     """Words and items per term, combined per chunk."""
     for batch in chunks(batches):

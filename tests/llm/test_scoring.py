@@ -1,6 +1,9 @@
 """Tokens, decontamination, toxicity, quality and revisits."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -114,7 +117,7 @@ def test_block_max_wand_finds_all_above_the_threshold():
         total += len(h)
         for x in set(h.tolist()):
             frequency[x] = frequency.get(x, 0) + 1
-    index = decontaminate.ItemIndex(texts, frequency, len(texts), total / len(texts))
+    index = decontaminate.ItemIndex(texts, frequency, len(texts), total / len(texts), 25)
     for _ in range(200):
         terms = sorted(set(r.randrange(len(index.terms)) for _ in range(r.randint(1, 30))))
         for bar in (0.05, 0.3, 0.7):
@@ -141,6 +144,58 @@ def test_planted_items(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def plain_contamination(docs, items, threshold=0.6, question=0.6, answer=0.6):
+    """{(doc_id, item_id): (score, overlaps)}: BM25 of every passage for every item, then overlaps of 4-grams, from plain dictionaries."""
+    token = re.compile("[0-9A-Za-z\\x80-\U0010ffff]+")
+    terms = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in token.findall(t or "")]
+    held = {i: terms(t) for i, t in items}
+    mean = sum(map(len, held.values())) / len(held)
+    longest = max(map(len, held.values()))
+    frequency = Counter(x for t in held.values() for x in set(t))
+    grams = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    out = {}
+    for d, text in docs:
+        t = terms(text)
+        for a in range(0, max(1, len(t) - longest), longest):
+            passage = t[a : a + 2 * longest]
+            have = set(passage)
+            for i, item in items:
+                mine = Counter(held[i])
+                if not mine:
+                    continue
+                impact = {x: math.log(1 + (len(items) - frequency[x] + 0.5) / (frequency[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(held[i]) / mean)) for x, n in mine.items()}
+                score = sum(w for x, w in impact.items() if x in have) / sum(impact.values())
+                if score < threshold:
+                    continue
+                shares = []
+                for part in decontaminate.question_and_answer(item):
+                    p = terms(part)
+                    n = min(4, len(p))
+                    shares.append(len(grams(p, n) & grams(passage, n)) / len(grams(p, n)) if n else 1.0)
+                if shares[0] >= question and shares[1] >= answer:
+                    out[d, i] = max(out.get((d, i), (0.0, 0.0, 0.0)), (score, *shares))
+    return out
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 2500, 600, 50])
+def test_the_whole_rule_does_not_depend_on_the_parts_of_the_index(spark, index_bytes):
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice(["ka", "lo", "mi", "nu", "re", "so"]) for _ in range(r.randint(2, 4))) for _ in range(n))
+    items = [(i, words(n)) for i, n in enumerate([22, 400, 25, 60, 31, 22, 90, 5, 12])] + [(20, f"Question: {words(20)}\nAnswer: {words(6)}")]
+    docs = []
+    for i in range(40):
+        _, item = r.choice(items)
+        some = item.split()
+        for _ in range(r.randint(0, len(some) // 12)):
+            some[r.randrange(len(some))] = r.choice(["other", "words"])
+        docs.append((i, words(r.randint(0, 900)) + " " + " ".join(some).upper() + " " + words(r.randint(0, 900))))
+    want = plain_contamination(docs, items)
+    assert len(want) > 15
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes)
+    got = {(x.doc_id, x.item_id): (x.score, x.question_overlap, x.answer_overlap) for x in got.collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_decontamination_query(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet").collect()
     items = spark.read.parquet(f"{MID}/benchmark.parquet").collect()
@@ -175,11 +230,11 @@ def test_automaton_agrees_with_edit_distance():
     r = random.Random(4)
     letters = "abcd"
     lexicon = sorted({"".join(r.choice(letters) for _ in range(r.randint(3, 11))) for _ in range(40)})
-    trie = toxicity.Model(lexicon, [], [], 0.0).trie()
+    automaton = toxicity.Automaton(toxicity.Model(lexicon, [], [], 0.0))
     for _ in range(400):
         w = "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
         want = min(((edits(e, w), e) for e in lexicon if edits(e, w) <= min(2, toxicity.edits_allowed(len(e)))), default=None)
-        got = trie.nearest(w)
+        got = automaton.nearest(w)
         assert (got and (got[1], got[0])) == want
     matcher = toxicity.Matcher(toxicity.Model(["idiot", "disgusting", "scum"], ["lowei"], [], 0.0))
     kinds = {w: matcher.kind(w) for w in ("idiot", "idoit", "idiots", "id1ot", "disgstng", "scam", "loweiung", "said", "plain", "")}
