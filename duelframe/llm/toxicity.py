@@ -1,8 +1,8 @@
 """Toxicity scores from a learned lexicon, found with Levenshtein automata and weighed in context.
 
-The lexicon (whole words and word stems) is learned from labelled documents. A trie of it is walked together with a
-Levenshtein automaton of every different word of a batch, which finds all entries within the allowed number of edits
-at once. Hits are counted by kind (exact, misspelled, stem) and by context (inside quotation marks or after a reporting
+The lexicon (whole words and word stems) is learned from labelled documents. Its trie intersected with the Levenshtein
+automaton is one table of states and letters, through which the different words of a batch move letter by letter; the
+state a word ends in tells whether an entry lies within the allowed number of edits. Hits are counted by kind (exact, misspelled, stem) and by context (inside quotation marks or after a reporting
 word, against used as the writer's own), and a logistic model turns the counts into a score.
 """
 
@@ -13,7 +13,7 @@ import heapq
 import math
 import re
 from collections.abc import Collection, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,66 +39,10 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length <= 8 else 2
 
 
-def deletions(word: str, most: int) -> set[str]:
-    """``word`` and all that is left of it when up to ``most`` letters are deleted."""
-    out = last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
-    return out
-
-
 def fold(word: str) -> str:
     return word.lower()
 
 
-@dataclass
-class Trie:
-    """Lexicon entries as a trie; a node is (children, whole-word entry or None, stem entry or None)."""
-
-    root: list = field(default_factory=lambda: [{}, None, None])
-
-    def add(self, entry: str, stem: bool) -> None:
-        node = self.root
-        for c in entry:
-            node = node[0].setdefault(c, [{}, None, None])
-        node[2 if stem else 1] = entry
-
-    def stem_of(self, word: str) -> str | None:
-        """The longest stem that ``word`` starts with."""
-        node, found = self.root, None
-        for c in word:
-            node = node[0].get(c)
-            if node is None:
-                break
-            found = node[2] or found
-        return found
-
-    def nearest(self, word: str, most: int = 2) -> tuple[str, int] | None:
-        """The whole-word entry with the fewest edits from ``word``, within what its length allows.
-
-        A state of the Levenshtein automaton of ``word`` is a row of edit distances; the walk leaves a branch of the
-        trie as soon as the state has no entry of at most ``most``. Equal distances: the entry first in the alphabet.
-        """
-        n, best = len(word), None
-        todo = [(self.root, list(range(n + 1)), None, None)]
-        while todo:
-            node, state, before, last = todo.pop()
-            entry = node[1]
-            if entry is not None and state[n] <= min(most, edits_allowed(len(entry))) and (best is None or (state[n], entry) < (best[1], best[0])):
-                best = (entry, state[n])
-            for c, child in node[0].items():
-                row = [state[0] + 1]
-                for j in range(1, n + 1):
-                    cost = min(row[j - 1] + 1, state[j] + 1, state[j - 1] + (word[j - 1] != c))
-                    if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
-                        cost = min(cost, before[j - 2] + 1)  # two letters changed places
-                    row.append(cost)
-                if min(row) <= most:
-                    todo.append((child, row, state, c))
-        return best
-
-
 @dataclass
 class Model:
     words: list[str]
@@ -106,56 +50,163 @@ class Model:
     weights: list[float]
     bias: float
 
-    def trie(self) -> Trie:
-        t = Trie()
-        for w in self.words:
-            t.add(w, False)
-        for s in self.stems:
-            t.add(s, True)
-        return t
 
+class Node:
+    """A trie node: children by letter, what ends here, and the most edits that any entry at or below it allows."""
 
-class Matcher:
-    """Kinds of the words of a batch; different words only, with a bounded memory of earlier ones."""
+    __slots__ = ("children", "word", "stem", "report", "edits")
+
+    def __init__(self):
+        self.children: dict[str, Node] = {}
+        self.word: str | None = None
+        self.stem = self.report = False
+        self.edits = 0
+
+
+class Automaton:
+    """The lexicon's trie intersected with the Levenshtein automaton, compiled to a table of states and letters.
+
+    A state is a set of (trie node, edits so far) that the letters read so far can lead to, and whether a stem began the
+    word. A node may also wait for the letter with which two neighbours changed places. States and table cells come into
+    being when a word first needs them; then every word of a batch moves through the table with one array step a letter.
+    """
 
-    MEMORY = 400_000
+    MOST_STATES = 100_000
 
     def __init__(self, model: Model):
-        self.trie, self.known = model.trie(), {}
-        self.reporting = {fold(w) for w in REPORTING}
-        # an entry within d edits, swaps included, and the word become equal when at most d letters are deleted from each
-        self.short: dict[int, set[str]] = {}
-        for w in model.words:
-            if d := edits_allowed(len(w)):
-                self.short.setdefault(d, set()).update(deletions(w, d))
-        self.lengths = (min((len(w) - edits_allowed(len(w)) for w in model.words), default=99), max((len(w) + edits_allowed(len(w)) for w in model.words), default=0))
-        self.whole = set(model.words)
+        self.root = Node()
+        for words, kind in ((model.words, "word"), (model.stems, "stem"), ([fold(w) for w in REPORTING], "report")):
+            for entry in words:
+                allowed = min(2, edits_allowed(len(entry))) if kind == "word" else 0
+                node = self.root
+                for c in entry:
+                    node.edits = max(node.edits, allowed)
+                    node = node.children.setdefault(c, Node())
+                node.edits = max(node.edits, allowed)
+                setattr(node, kind, entry if kind == "word" else True)
+        self.letters = np.array(sorted({ord(c) for e in (*model.words, *model.stems, *map(fold, REPORTING)) for c in e}), dtype=np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.states: list = []
+        self.ends: list[tuple[int, str | None, int]] = []
+        self.table = np.full((64, len(self.letters) + 1), -1, dtype=np.int32)
+        self.dead = {self._state({}, False), self._state({}, True)}
+        self.start = self._state({(self.root, None): 0}, self.root.stem)
+
+    def _state(self, held: dict, stem: bool) -> int:
+        """The number of the state of these (node, awaited letter) with their edits; letters that a word may lack are skipped."""
+        todo = list(held.items())
+        while todo:
+            (node, wanted), e = todo.pop()
+            if wanted is None and held[node, None] == e:
+                for child in node.children.values():
+                    if e + 1 <= child.edits and held.get((child, None), 9) > e + 1:
+                        held[child, None] = e + 1
+                        todo.append(((child, None), e + 1))
+        key = frozenset((id(n), w, e) for (n, w), e in held.items()), stem
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append((held, stem))
+            ended = [(e, n.word) for (n, w), e in held.items() if w is None and n.word is not None and e <= min(2, edits_allowed(len(n.word)))]
+            best = min(ended, default=(0, None))
+            exact = any(e == 0 and w is None and n.word is not None for (n, w), e in held.items())
+            report = any(e == 0 and w is None and n.report for (n, w), e in held.items())
+            kind = 1 if exact else 5 if report else 2 if stem else 2 + min(best[0], 2) if best[1] is not None else 0
+            self.ends.append((kind, best[1], best[0]))
+            if len(self.states) > len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        return self.number[key]
+
+    def _move(self, state: int, letter: int) -> int:
+        held, stem = self.states[state]
+        c = chr(self.letters[letter - 1]) if letter else ""
+        out: dict = {}
+
+        def put(node: Node, wanted: str | None, e: int) -> None:
+            if e <= node.edits and out.get((node, wanted), 9) > e:
+                out[node, wanted] = e
+
+        for (node, wanted), e in held.items():
+            if wanted is not None:
+                if wanted == c:
+                    put(node, None, e)
+                continue
+            put(node, None, e + 1)  # a letter too many
+            for first, child in node.children.items():
+                put(child, None, e + (first != c))
+                if first != c and c in child.children:
+                    put(child.children[c], first, e + 1)  # two letters changed places
+        return self._state(out, stem or any(e == 0 and w is None and n.stem for (n, w), e in out.items()))
+
+    def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state in which each word ends; a word is a span of ``codes`` (Unicode numbers)."""
+        if len(self.states) > self.MOST_STATES:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.letters, codes), max(0, len(self.letters) - 1))
+        letter = np.where(self.letters[at] == codes, at + 1, 0) if len(self.letters) else np.zeros(len(codes), dtype=np.int64)
+        state = np.full(len(starts), self.start, dtype=np.int32)
+        dead = np.array(sorted(self.dead))
+        live, place = np.flatnonzero(ends > starts), 0
+        while len(live):
+            here, read = state[live], letter[starts[live] + place]
+            after = self.table[here, read]
+            if (after < 0).any():
+                for cell in np.unique(here[after < 0].astype(np.int64) * self.table.shape[1] + read[after < 0]).tolist():
+                    s, x = divmod(cell, self.table.shape[1])
+                    to = self._move(s, x)
+                    self.table[s, x] = to
+                after = self.table[here, read]
+            state[live] = after
+            place += 1
+            live = live[(ends[live] - starts[live] > place) & ~np.isin(after, dead)]
+        return state
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        """The whole-word entry with the fewest edits from ``word``, within what its length allows; ties: first in the alphabet."""
+        _, entry, edits = self.ends[int(self.run(*_spelled([word]))[0])]
+        return (entry, edits) if entry is not None else None
+
+
+def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    return np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32), ends - sizes, ends
+
+
+class Matcher:
+    """Kinds of the words of a batch; each different word of it moves through the automaton once."""
+
+    def __init__(self, model: Model):
+        self.automaton = Automaton(model)
 
     def kind(self, word: str) -> int:
         """0 none, 1 exact, 2 stem, 3 one edit, 4 more edits, 5 a reporting word."""
-        if word in self.whole:
-            return 1
-        if word in self.reporting:
-            return 5
-        if self.trie.stem_of(word):
-            return 2
-        if self.lengths[0] <= len(word) <= self.lengths[1] and any(not short.isdisjoint(deletions(word, d)) for d, short in self.short.items()):
-            hit = self.trie.nearest(word)
-            if hit:
-                return 2 + min(hit[1], 2)
-        return 0
-
-    def kinds(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return self.automaton.ends[int(self.automaton.run(*_spelled([word]))[0])][0]
+
+    def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         different, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.MEMORY:
-            self.known.clear()
-        known, out = self.known, np.zeros(len(different), dtype=np.int8)
-        for i, (key, s, e) in enumerate(zip(different.tolist(), starts[first].tolist(), ends[first].tolist())):
-            kind = known.get(key)
-            if kind is None:
-                kind = known[key] = self.kind(fold(raw[s:e].decode("utf-8", "ignore")))
-            out[i] = kind
-        return out[back]
+        s, size = starts[first], (ends - starts)[first] + 1
+        stop = np.cumsum(size)
+        joined = data[np.minimum(np.repeat(s - (stop - size), size) + np.arange(stop[-1]), len(data) - 1)]
+        joined[stop - 1] = 10  # no word holds a line break
+        codes = np.frombuffer(fold(joined.tobytes().decode("utf-8", "ignore")).encode("utf-32-le"), dtype=np.uint32)
+        breaks = np.flatnonzero(codes == 10)
+        state = self.automaton.run(codes, np.append(0, breaks[:-1] + 1), breaks)
+        return np.array([e[0] for e in self.automaton.ends], dtype=np.int8)[state][back]
+
+
+_compiled: dict[tuple, Matcher] = {}
+
+
+def matcher_of(model: Model) -> Matcher:
+    """One compiled automaton per worker process."""
+    key = tuple(model.words), tuple(model.stems)
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = Matcher(model)
+    return _compiled[key]
 
 
 def _places(raw: bytes, part: bytes) -> np.ndarray:
@@ -171,11 +222,11 @@ def hit_counts(batch: pa.RecordBatch, matcher: Matcher, reach: int = 6) -> np.nd
     out = np.zeros((batch.num_rows, len(FEATURES)))
     if not len(starts):
         return out
-    raw = data.tobytes()
-    kinds = matcher.kinds(raw, starts, ends, span_hashes(data, starts, ends))
+    kinds = matcher.kinds(data, starts, ends, span_hashes(data, starts, ends))
     hits = np.flatnonzero((kinds > 0) & (kinds < 5))
     if not len(hits):
         return out
+    raw = data.tobytes()
     # quotation marks from the start of the hit's line to the hit
     marks = np.sort(np.concatenate([_places(raw, q.encode()) for q in QUOTES]))
     breaks = np.append(-1, np.flatnonzero(data == 10))
@@ -278,7 +329,7 @@ def _bearers(terms: pa.Table):
 
 def _rows_with_counts(model: Model):
     def run(batches):
-        matcher = Matcher(model)
+        matcher = matcher_of(model)
         for batch in chunks(batches):
             x = hit_counts(batch, matcher)
             yield pa.RecordBatch.from_arrays(
@@ -388,7 +439,7 @@ def learn(
 
 def _scores(model: Model, id_cols: list[str]):
     def run(batches):
-        matcher, w = Matcher(model), np.array(model.weights)
+        matcher, w = matcher_of(model), np.array(model.weights)
         for batch in chunks(batches):
             counts = hit_counts(batch, matcher)
             p = 1 / (1 + np.exp(-np.clip(features(counts) @ w + model.bias, -30, 30)))
@@ -413,7 +464,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     schema = docs.schema
 
     def run(batches):
-        matcher, w = Matcher(model), np.array(model.weights)
+        matcher, w = matcher_of(model), np.array(model.weights)
         for batch in chunks(batches, text_col):
             counts = hit_counts(batch.select([text_col]).rename_columns(["text"]), matcher)
             p = 1 / (1 + np.exp(-np.clip(features(counts) @ w + model.bias, -30, 30)))
