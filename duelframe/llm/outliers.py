@@ -30,35 +30,44 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_words(words: Column, width: int = 5) -> Column:
-    """Number of words in windows of ``width`` words that occur twice or more in the list. Windows are 64-bit hashes."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+WINDOW = 5
 
-    def covered(h: Column) -> Column:
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-        again = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-        starts = F.sort_array(F.transform(let(order, again), lambda x: x["at"]))
-        begin = F.struct(F.lit(-width).alias("before"), F.lit(0).alias("n"))
-        step = lambda acc, at: F.struct(at.alias("before"), (acc["n"] + F.least(F.lit(width), at - acc["before"])).alias("n"))
-        return F.aggregate(starts, begin, step, lambda acc: acc["n"])
 
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(F.size(words) > width, found).otherwise(F.lit(0))
+def _hashes(words: str) -> Column:
+    """64-bit hashes of the windows of WINDOW words."""
+    last = F.size(words) - WINDOW
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(WINDOW)]))
+    return F.when(last > 0, each).otherwise(F.array().cast("array<long>"))
+
+
+def _covered(hashes: str) -> Column:
+    """Number of words in windows whose hash occurs twice or more."""
+    order = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    again = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
+    starts = F.sort_array(F.transform(let(order, again), lambda x: x["at"]))
+    begin = F.struct(F.lit(-WINDOW).alias("before"), F.lit(0).alias("n"))
+    step = lambda acc, at: F.struct(at.alias("before"), (acc["n"] + F.least(F.lit(WINDOW), at - acc["before"])).alias("n"))
+    return F.aggregate(starts, begin, step, lambda acc: acc["n"])
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per document: id, text key, lang, source and the counts of its whole text. A null text counts as empty."""
+    """One row per document: id, text key, lang, source and the counts of its whole text. A null text counts as empty.
+
+    Words and window hashes are columns of their own that several expressions read, so each is computed once and the
+    array functions on them run as generated code; only texts with a repeated window are looked at more closely.
+    """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), row_key(text_col).alias(TEXT_KEY), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = let(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
-    lines = let(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.struct(
-        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    counts = rows.select(
-        "doc_id", TEXT_KEY, "lang", "source", words.alias("w"), lines.alias("l"),
+    keep = ["doc_id", TEXT_KEY, "lang", "source"]
+    split = rows.select(
+        *keep, F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"))
-    return counts.select("doc_id", TEXT_KEY, "lang", "source", "w.*", "l.*", "n_symbols", "n_capitals")
+    counted = split.select(
+        *keep, F.size("words").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), _hashes("words").alias("hashes"),
+        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_symbols", "n_capitals")
+    repeats = F.when(F.size(F.array_distinct("hashes")) == F.size("hashes"), F.lit(0)).otherwise(_covered("hashes"))
+    return counted.select(*keep, "n_words", "word_chars", repeats.cast("long").alias("n_repeat_words"), "n_lines", "n_dup_lines", "n_symbols", "n_capitals")
 
 
 def vector() -> list[Column]:
