@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, sides
 from duelframe.catalog.history_queries import _features_sql
-from duelframe.operators import evaluate, learn, pairs, quality
+from duelframe.functions.odds import flat_profit
+from duelframe.operators import evaluate, learn, newton, pairs, quality
 from duelframe.operators.history import Metric, history_features
 from duelframe.operators.sequence import latest_row
 from duelframe.plans.sizing import cut
@@ -150,23 +151,132 @@ def matchup_vectors(t):
 MODEL_FEATURES = ["precomp_winavg", "precomp_sigstr_pm", "precomp_tdavg", "precomp_winavg3", "opp_precomp_winavg", "opp_precomp_sigstr_pm", "opp_precomp_tdavg", "opp_precomp_winavg3"]
 
 
+MODEL_METRICS = (Metric("winavg", "avg", "win"), Metric("sigstr_pm", "rate", "sigstracc", "fight_time_minutes"), Metric("tdavg", "rate", "tdacc", "fight_time_minutes", scale=15), Metric("boutcount", "count", frames=("",)))
+
+
 def model_rows(t):
-    metrics = (Metric("winavg", "avg", "win"), Metric("sigstr_pm", "rate", "sigstracc", "fight_time_minutes"), Metric("tdavg", "rate", "tdacc", "fight_time_minutes", scale=15), Metric("boutcount", "count", frames=("",)))
-    f = history_features(sides(t), "entity", ["ts", "match_id"], metrics)
+    f = history_features(sides(t), "entity", ["ts", "match_id"], MODEL_METRICS)
     pre = [c for c in f.columns if c.startswith("precomp_")]
-    f = f.select("match_id", "ts", "entity", "opp_entity", "win", *pre)
+    f = rounded(f.select("match_id", "ts", "entity", "opp_entity", "win", *pre), *[c for c in pre if "boutcount" not in c])
     left = f.where(F.col("entity") < F.col("opp_entity")).drop("opp_entity")
     right = f.where(F.col("entity") > F.col("opp_entity")).select("match_id", "entity", *pre)
     # Fits, imputers and scalers each read the table, so it is built once.
     return cut(pairs.side_join(left, right, ["match_id"]).withColumn("win", F.col("win").cast("double")))
 
 
-@query("model_backtest", None)
+BARE = [f.removeprefix("precomp_") for f in MODEL_FEATURES[:4]]
+MODEL_ROWS_SQL = SIDES_SQL + ", f AS (" + _features_sql(MODEL_METRICS, "sides", "entity, match_id, ts", "entity", "ts, match_id") + """),
+model_rows AS (
+  SELECT l.match_id, l.ts, s.win::DOUBLE AS y, """ + ", ".join([f"l.precomp_{c}::DOUBLE AS x{i + 1}" for i, c in enumerate(BARE)] + [f"o.precomp_{c}::DOUBLE AS x{i + 5}" for i, c in enumerate(BARE)]) + """
+  FROM f l JOIN sides s ON s.match_id = l.match_id AND s.entity = l.entity JOIN f o ON o.match_id = l.match_id AND l.entity < o.entity
+)"""
+
+
+def newton_sql(train: str, balanced: bool, p: int = len(MODEL_FEATURES), steps: int = 7, l2: float = 1.0) -> str:
+    """CTEs that fit by unrolled Newton steps: ``ws`` has weight w of input i (1 is the bias), ``norm`` the means and deviations."""
+    norm = ", ".join(f"avg(x{i}) AS m{i}, coalesce(nullif(stddev_pop(x{i}), 0), 1) AS d{i}, quantile_cont(x{i}, 0.5) AS q{i}" for i in range(1, p + 1))
+    inputs = ", ".join(f"(x{i} - m{i}) / d{i}" for i in range(1, p + 1))
+    weight = "CASE WHEN y = 1 THEN n / (2.0::DOUBLE * pos) ELSE n / (2.0::DOUBLE * (n - pos)) END" if balanced else "1.0::DOUBLE"
+    ctes = [f"norm AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, sum(y) AS pos, {norm} FROM {train})",
+            f"z AS MATERIALIZED (SELECT y, {weight} AS s, [1.0::DOUBLE, {inputs}] AS x FROM {train}, norm)",
+            f"w0 AS (SELECT i, 0.0::DOUBLE AS w FROM range(1, {p + 2}) t(i))"]
+    for k in range(steps):
+        ctes.append(f"q{k} AS MATERIALIZED (SELECT y, s, x, 1 / (1 + exp(-list_dot_product(x, (SELECT list(w ORDER BY i) FROM w{k})))) AS q FROM z)")
+        ctes.append(f"""e{k}_0 AS MATERIALIZED (SELECT i, j, v + CASE WHEN i = 1 THEN 0 WHEN j = {p + 2} THEN {l2} * w WHEN i = j THEN {l2} ELSE 0 END AS v FROM (
+          SELECT i, j, sum(CASE WHEN j = {p + 2} THEN s * (q - y) * x[i] ELSE s * q * (1 - q) * x[i] * x[j] END) AS v FROM q{k}, range(1, {p + 2}) a(i), range(1, {p + 3}) b(j) GROUP BY i, j) JOIN w{k} USING (i))""")
+        for c in range(1, p + 2):
+            ctes.append(f"""e{k}_{c} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {c} THEN a.v / d.v ELSE a.v - f.v * r.v / d.v END AS v FROM e{k}_{c - 1} a
+              JOIN e{k}_{c - 1} f ON f.i = a.i AND f.j = {c} JOIN e{k}_{c - 1} r ON r.i = {c} AND r.j = a.j JOIN e{k}_{c - 1} d ON d.i = {c} AND d.j = {c})""")
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT i, w - v AS w FROM w{k} JOIN e{k}_{p + 1} e USING (i) WHERE e.j = {p + 2})")
+    return ",\n".join([*ctes, f"ws AS (SELECT * FROM w{steps})"])
+
+
+def _margin_sql(columns) -> str:
+    """The margin of a row in terms of ``ws`` and ``norm``; missing inputs take the median."""
+    inputs = ", ".join(f"(coalesce({c}, q{i}) - m{i}) / d{i}" for i, c in enumerate(columns, 1))
+    return f"list_dot_product([1.0::DOUBLE, {inputs}], (SELECT list(w ORDER BY i) FROM ws))"
+
+
+XS = [f"x{i}" for i in range(1, 9)]
+LAST_YEAR_SQL = "WITH " + MODEL_ROWS_SQL + """, past AS (SELECT * FROM model_rows WHERE ts < (SELECT max(ts) FROM model_rows) - 365),
+""" + newton_sql("past", True)
+
+
+@query("logistic_weights", LAST_YEAR_SQL + " SELECT CASE i WHEN 1 THEN 'bias' " + " ".join(f"WHEN {i + 2} THEN '{f}'" for i, f in enumerate(MODEL_FEATURES)) + " END AS feature, r4(w) AS weight FROM ws")
+def logistic_weights(t):
+    """Weights of a fit with balanced classes and a ridge, against Newton steps unrolled in SQL."""
+    past, _ = learn.split_recent(model_rows(t), "ts", 365)
+    fit = newton.fit_logistic(past, MODEL_FEATURES, "win", balanced=True)
+    rows = t.spark.createDataFrame([("bias", fit.bias), *zip(fit.features, fit.weights)], "feature string, weight double")
+    return rounded(rows, "weight")
+
+
+@query("model_backtest", LAST_YEAR_SQL + """, s AS (SELECT y AS quality, 1 / (1 + exp(-""" + _margin_sql(XS) + """)) AS p FROM model_rows, norm WHERE ts >= (SELECT max(ts) FROM model_rows) - 365)
+SELECT count(*) AS n, r4(avg(CASE WHEN (p > 0.5) = (quality = 1) THEN 1.0::DOUBLE ELSE 0 END)) AS accuracy, r4(avg(-(quality * ln(p) + (1 - quality) * ln(1 - p)))) AS log_loss, r4(avg(greatest(p, 1 - p))) AS avg_confidence,
+  r4((SELECT sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) / (count(*)) FROM s a JOIN s b ON a.quality = 1 AND b.quality = 0)) AS auc FROM s""")
 def model_backtest(t):
-    """Train before, score within the last year: accuracy, log loss and AUC. The fit is iterative, so rows only."""
-    train, test = learn.split_recent(model_rows(t), "ts", 365)
-    model = learn.train(train, MODEL_FEATURES, "logistic", c=1.0, rows=train.count())
-    return evaluate.probability_scores(learn.score(model, test), "win", "p")
+    """Train before the last year with balanced classes, score within it: accuracy, log loss, confidence and AUC."""
+    past, last = learn.split_recent(model_rows(t), "ts", 365)
+    scored = learn.score(newton.fit_logistic(past, MODEL_FEATURES, "win", balanced=True), last)
+    return rounded(evaluate.probability_scores(scored, "win", "p"), "accuracy", "log_loss", "avg_confidence", "auc")
+
+
+def _eliminate(name: str, first: str, p: int) -> list[str]:
+    """CTEs that turn the first p columns of a matrix (i, j, v) into the identity; the last one is called ``name``."""
+    steps = [first, *[f"{name}_{c}" for c in range(1, p)], name]
+    return [f"""{after} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {c} THEN a.v / d.v ELSE a.v - f.v * r.v / d.v END AS v FROM {before} a
+      JOIN {before} f ON f.i = a.i AND f.j = {c} JOIN {before} r ON r.i = {c} AND r.j = a.j JOIN {before} d ON d.i = {c} AND d.j = {c})""" for c, (before, after) in enumerate(zip(steps, steps[1:]), 1)]
+
+
+SEARCHED = [MODEL_FEATURES[i] for i in (1, 2, 3, 5, 6, 7)]
+RANKING_SQL = "WITH " + MODEL_ROWS_SQL + ", base AS (SELECT y, x1, x5 AS x2, x2 AS c1, x3 AS c2, x4 AS c3, x6 AS c4, x7 AS c5, x8 AS c6 FROM model_rows),\n" + newton_sql("base", True, p=2) + """,
+cn AS (SELECT """ + ", ".join(f"avg(c{k}) AS mc{k}, stddev_pop(c{k}) AS dc{k}" for k in range(1, 7)) + """ FROM base),
+r AS MATERIALIZED (SELECT s * (y - q) AS g, s * q * (1 - q) AS v, x, c FROM (
+  SELECT y, CASE WHEN y = 1 THEN n / (2.0::DOUBLE * pos) ELSE n / (2.0::DOUBLE * (n - pos)) END AS s, [1.0::DOUBLE, (x1 - m1) / d1, (x2 - m2) / d2] AS x, [""" + ", ".join(f"(c{k} - mc{k}) / dc{k}" for k in range(1, 7)) + """] AS c,
+    1 / (1 + exp(-list_dot_product([1.0::DOUBLE, (x1 - m1) / d1, (x2 - m2) / d2], (SELECT list(w ORDER BY i) FROM ws)))) AS q FROM base, norm, cn)),
+inf0 AS MATERIALIZED (SELECT i, j, sum(CASE WHEN j > 3 THEN v * x[i] * c[j - 3] ELSE v * x[i] * x[j] END) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS v FROM r, range(1, 4) a(i), range(1, 10) b(j) GROUP BY i, j),
+""" + ",\n".join(_eliminate("inf", "inf0", 3)) + """,
+own AS (SELECT k, sum(g * c[k]) AS u, sum(v * c[k] * c[k]) AS w FROM r, range(1, 7) t(k) GROUP BY k),
+across AS (SELECT o.j - 3 AS k, sum(o.v * e.v) AS known FROM inf0 o JOIN inf e ON e.i = o.i AND e.j = o.j WHERE o.j > 3 GROUP BY 1)
+SELECT CASE k """ + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(SEARCHED, 1)) + """ END AS feature, CAST(row_number() OVER (ORDER BY u * u / (w - known) DESC) AS INT) AS place, r2(u * u / (w - known)) AS statistic FROM own JOIN across USING (k)"""
+
+
+@query("feature_ranking", RANKING_SQL)
+def feature_ranking(t):
+    """Which feature would improve a fit of two most: score tests of all others in one pass."""
+    rows = model_rows(t)
+    fit = newton.fit_logistic(rows, [MODEL_FEATURES[0], MODEL_FEATURES[4]], "win", balanced=True)
+    ranked = newton.score_tests(rows, fit, MODEL_FEATURES, "win", balanced=True)
+    out = t.spark.createDataFrame([(name, n + 1, value) for n, (name, value) in enumerate(ranked)], "feature string, place int, statistic double")
+    return rounded(out, "statistic", digits=2)
+
+
+WALK_FOLD = "(year(ts) * 4 + quarter(ts))"
+WALK_SQL = "WITH " + MODEL_ROWS_SQL + f""",
+g AS (SELECT *, {WALK_FOLD} AS fold FROM model_rows), folds AS (SELECT DISTINCT fold FROM g),
+st AS (SELECT f.fold, y, count(*) AS n, """ + ", ".join(f"avg({x}) AS m_{x}, avg({x} * {x}) - avg({x}) * avg({x}) AS v_{x}" for x in ("x1", "x2", "x5", "x6")) + """ FROM folds f JOIN g ON g.fold < f.fold GROUP BY ALL),
+p AS (SELECT g.match_id, g.fold, g.y, CASE WHEN a.n >= 30 AND b.n >= 30 THEN 1 / (1 + exp(-(ln(b.n) - ln(a.n)""" + "".join(
+    f" + coalesce(CASE WHEN b.v_{x} > 1e-9 THEN -0.5 * (ln(b.v_{x}) + (g.{x} - b.m_{x}) * (g.{x} - b.m_{x}) / b.v_{x}) END - CASE WHEN a.v_{x} > 1e-9 THEN -0.5 * (ln(a.v_{x}) + (g.{x} - a.m_{x}) * (g.{x} - a.m_{x}) / a.v_{x}) END, 0)"
+    for x in ("x1", "x2", "x5", "x6")) + """))) END AS p FROM g LEFT JOIN st a ON a.fold = g.fold AND a.y = 0 LEFT JOIN st b ON b.fold = g.fold AND b.y = 1),
+odds AS (SELECT p.*, (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) = y AS hit, CASE WHEN (match_id * 7) % 400 >= 200 THEN (match_id * 7) % 400 - 100 ELSE -100 - (match_id * 7) % 400 END AS price FROM p WHERE p IS NOT NULL),
+priced AS (SELECT *, CASE WHEN hit THEN CASE WHEN price > 0 THEN price::DOUBLE ELSE 100 * 100 / abs(price)::DOUBLE END ELSE -100.0::DOUBLE END AS profit FROM odds)
+"""
+
+
+@query("walk_forward_backtest", WALK_SQL + """SELECT fold, count(*) AS n, r4(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END)) AS accuracy, count(*) FILTER (WHERE greatest(p, 1 - p) >= 0.7) AS n_sure,
+  r4(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE greatest(p, 1 - p) >= 0.7)) AS sure_accuracy, r2(sum(profit)) AS profit, r4(sum(profit) / (100.0::DOUBLE * count(*))) AS roi FROM priced GROUP BY fold""")
+def walk_forward_backtest(t):
+    """Every quarter scored by a model of the quarters before it: accuracy, the slice of sure picks, and the return at the odds."""
+    rows = model_rows(t).withColumn("fold", F.year("ts") * 4 + F.quarter("ts"))
+    scored = newton.walk_forward_bayes(rows, [MODEL_FEATURES[i] for i in (0, 1, 4, 5)], "win", "fold").where("p IS NOT NULL")
+    m = F.col("match_id") * 7 % 400
+    priced = scored.withColumn("hit", (F.col("p") > 0.5).cast("int") == F.col("win").cast("int")).withColumn("price", F.when(m >= 200, m - 100).otherwise(-100 - m))
+    priced = priced.withColumn("profit", flat_profit(F.col("hit").cast("int"), F.col("price"), 100.0))
+    sure = F.greatest(F.col("p"), 1 - F.col("p")) >= 0.7
+    out = priced.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count_if(sure).alias("n_sure"), F.avg(F.when(sure, F.col("hit").cast("double"))).alias("sure_accuracy"),
+        F.sum("profit").alias("profit"), (F.sum("profit") / (100.0 * F.count(F.lit(1)))).alias("roi"))
+    return rounded(rounded(out, "accuracy", "sure_accuracy", "roi"), "profit", digits=2)
 
 
 @query("model_votes", None)
@@ -182,17 +292,25 @@ def model_votes(t):
     return learn.soft_vote({n: learn.score(m, test) for n, m in models.items()}, ["match_id"])
 
 
-@query("matchup_scores", None)
+MATCHUP_METRICS = MODEL_METRICS[:3]
+
+
+@query("matchup_scores", "WITH " + MODEL_ROWS_SQL + ", " + newton_sql("model_rows", False) + """,
+l AS (SELECT entity, """ + ", ".join(f"postcomp_{c} AS {c}" for c in BARE) + """ FROM f QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ts DESC, match_id DESC) = 1),
+asked AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier),
+two_way AS (SELECT a, b, 1 / (1 + exp(-""" + _margin_sql([f"x.{c}" for c in BARE] + [f"y.{c}" for c in BARE]) + """)) AS p, 1 / (1 + exp(-""" + _margin_sql([f"y.{c}" for c in BARE] + [f"x.{c}" for c in BARE]) + """)) AS q
+  FROM asked LEFT JOIN l x ON x.entity = a LEFT JOIN l y ON y.entity = b, norm)
+SELECT a, b, r4((p + 1 - q) / 2) AS p FROM two_way""")
 def matchup_scores(t):
     """Bulk scoring of one pairing per supplier in both orientations; the two probabilities add up to 1."""
-    rows = model_rows(t)
-    model = learn.train(rows, MODEL_FEATURES, "logistic", c=1.0, rows=rows.count())
-    s = history_features(sides(t), "entity", ["ts", "match_id"], (Metric("winavg", "avg", "win"), Metric("sigstr_pm", "rate", "sigstracc", "fight_time_minutes"), Metric("tdavg", "rate", "tdacc", "fight_time_minutes", scale=15)))
-    latest = latest_row(s.select("entity", "ts", "match_id", *[F.col(f"postcomp_{n}").alias(f"precomp_{n}") for n in ("winavg", "sigstr_pm", "tdavg", "winavg3")]), "entity", ["ts", "match_id"]).drop("ts", "match_id")
+    model = newton.fit_logistic(model_rows(t), MODEL_FEATURES, "win")
+    f = history_features(sides(t), "entity", ["ts", "match_id"], MATCHUP_METRICS)
+    named = rounded(f.select("entity", "ts", "match_id", *[F.col(f"postcomp_{n}").alias(f"precomp_{n}") for n in BARE]), *[f"precomp_{n}" for n in BARE])
+    latest = latest_row(named, "entity", ["ts", "match_id"]).drop("ts", "match_id")
     here = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
     one = pairs.expand_matchups(here, latest, "a", "b", "entity")
     two = pairs.expand_matchups(here, latest, "b", "a", "entity")
-    return learn.score_matchups(model, one, two, ["a", "b"]).select("a", "b", "p")
+    return rounded(learn.score_matchups(model, one, two, ["a", "b"]).select("a", "b", "p"), "p")
 
 
 @query("asof_training_rows", "WITH " + SIDES_SQL + ", f AS (" + _features_sql((Metric("winavg", "avg", "win"), Metric("boutcount", "count", frames=("",))), "sides", "entity, match_id, ts", "entity", "ts, match_id") + """),

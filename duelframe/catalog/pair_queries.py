@@ -25,9 +25,18 @@ def category_contains(t):
 WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part)
 SELECT p_partkey, word FROM part JOIN w ON contains(lower(p_name), lower(word))""")
 def category_contains_by_substring(t):
-    """The path for phrase tables too large to broadcast."""
+    """Phrases beyond one automaton: several parts, one pass over the texts for each."""
     words = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    return pairs.contains_join(t.part.select("p_partkey", "p_name"), "p_name", words, "word", limit=1).select("p_partkey", "word")
+    return pairs.contains_join(t.part.select("p_partkey", "p_name"), "p_name", words, "word", part_bytes=64).select("p_partkey", "word")
+
+
+@query("category_in_documents", """
+WITH w AS (SELECT DISTINCT substr(split_part(p_name, ' ', 2), 1, 3) AS word FROM part)
+SELECT doc_id, word FROM documents JOIN w ON contains(lower(text), lower(word))""")
+def category_in_documents(t):
+    """Whole texts of any length, each read once for all phrases."""
+    words = _phrases(t).select(F.substring("word", 1, 3).alias("word")).distinct()
+    return pairs.contains_join(t.documents.select("doc_id", "text"), "text", words, "word").select("doc_id", "word")
 
 
 @query("category_longest", """
@@ -184,6 +193,29 @@ def tiered_names(t):
     return pairs.tiered_names(requests, "asked", t.customer.select(F.col("c_name").alias("name")), "name")
 
 
+@query("tiered_names_of_opponents", """
+WITH q AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') WHEN 1 THEN 'SUPPLIER#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') ELSE 'nobody' || s_suppkey END AS asked FROM supplier),
+m AS (SELECT asked, c_name AS name, CASE WHEN asked = c_name THEN 1 WHEN lower(asked) = lower(c_name) THEN 2 ELSE 3 END AS tier FROM q JOIN customer ON contains(lower(c_name), lower(asked))
+  UNION ALL SELECT asked, s_name, 4 FROM q JOIN supplier ON contains(lower(s_name), lower(asked)))
+SELECT asked, tier, name FROM q LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY asked ORDER BY tier, name) = 1) USING (asked)""")
+def tiered_names_of_opponents(t):
+    """Names that only the opponents have come last."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 9, "0")
+    asked = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Customer#"), key)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("SUPPLIER#"), key)).otherwise(F.concat(F.lit("nobody"), F.col("s_suppkey").cast("string")))
+    requests = t.supplier.select(asked.alias("asked")).distinct()
+    return pairs.tiered_names(requests, "asked", t.customer.select(F.col("c_name").alias("name")), "name", opponents=t.supplier.select(F.col("s_name").alias("name")))
+
+
+@query("composite_key_lookup", """
+WITH x AS (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS returned_price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, returned_price FROM lineitem LEFT JOIN x USING (l_partkey, l_suppkey)""")
+def composite_key_lookup(t):
+    """A left join on two keys: the least price at which the same part of the same supplier came back."""
+    returned = t.lineitem.where("l_returnflag = 'R'")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return pairs.lookup_left(rows, returned, ["l_partkey", "l_suppkey"], {"l_extendedprice": "returned_price"})
+
+
 @query("similar_names", """
 WITH n AS (SELECT DISTINCT p_brand, p_name FROM part)
 SELECT l.p_brand, l.p_name AS name_a, r.p_name AS name_b, r4(1 - levenshtein(l.p_name, r.p_name) / greatest(length(l.p_name), length(r.p_name))::DOUBLE) AS similarity

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import query, r
+from duelframe.catalog.base import CATALOG, query, r
 from duelframe.functions import numbers as nf, ratings as rf, text as tx
 from duelframe.operators import clean, pairs
-from duelframe.sources import pages as pg
+from duelframe.sources import page_nodes, pages as pg
 
 
 @query("parse_cells", """
@@ -109,6 +109,22 @@ def page_links(t):
     return pg.links(t.pages, ["page_id"])
 
 
+@query("page_node_links", CATALOG["page_links"].sql)
+def page_node_links(t):
+    """The same links from the table of nodes, which also stands scripts, comments and tags that are never closed."""
+    return page_nodes.node_links(page_nodes.page_nodes(t.pages, ["page_id"]), ["page_id"])
+
+
+@query("page_elements", """
+WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>|<style[^>]*>).*?(</script>|</style>)', '\\1\\2', 'g') AS html FROM pages),
+e AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>', 1)) AS tag FROM c)
+SELECT page_id, tag, count(*) AS elements FROM e GROUP BY ALL""")
+def page_elements(t):
+    """Elements of every page by tag."""
+    nodes = page_nodes.page_nodes(t.pages, ["page_id"]).where("node > 0")
+    return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("elements"))
+
+
 @query("page_paragraph_cells", """
 WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1) AS c FROM pages),
 y AS (SELECT page_id, unnest(range(1, len(c) + 1)) AS i, c FROM x)

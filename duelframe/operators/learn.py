@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.operators.evaluate import log_loss_term
 from duelframe.operators.history import model_features
+from duelframe.operators.newton import LogisticFit, fit_logistic
 from duelframe.operators.sequence import numbered
 from duelframe.plans.quantiles import exact_quantiles_of
 from duelframe.plans.sizing import cut
@@ -182,8 +183,10 @@ def train(df: DataFrame, features: Sequence[str], kind: str = "logistic", label:
     return Pipeline(stages=[*preprocessing(features, **pre), classifier(kind, label, **params)]).fit(df)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def score(model: PipelineModel | LogisticFit, df: DataFrame, out: str = "p") -> DataFrame:
     """Add the win probability; helper columns of the pipeline are dropped."""
+    if isinstance(model, LogisticFit):
+        return df.withColumn(out, model.probability())
     scored = model.transform(df)
     return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
@@ -213,6 +216,24 @@ def expanding_scores(df: DataFrame, features: Sequence[str], order: Sequence[str
     return results
 
 
+def grid_over_time(df: DataFrame, features: Sequence[str], order: Sequence[str], label: str = "win", splits: int = 3,
+                   l2: Sequence[float] = (0.1, 1.0, 10.0), balanced: Sequence[bool] = (False, True)) -> list[dict]:
+    """Ridge and class weights of the logistic fit by mean accuracy over expanding time folds, best first.
+
+    A fold is scored by fits of the folds before it only. Ties: the stronger ridge, then equal weights.
+    """
+    folded = cut(time_folds(df, order, splits))
+    results = []
+    for strength in l2:
+        for even in balanced:
+            got = []
+            for i in range(1, splits + 1):
+                fit = fit_logistic(folded.where(F.col("fold") < i), features, label, l2=strength, balanced=even)
+                got.append(_quick(score(fit, folded.where(F.col("fold") == i)), label)["accuracy"])
+            results.append({"l2": strength, "balanced": even, "accuracy": sum(got) / len(got)})
+    return sorted(results, key=lambda r: (-r["accuracy"], -r["l2"], r["balanced"]))
+
+
 def _quick(df: DataFrame, label: str) -> dict:
     hit = ((F.col("p") > 0.5).cast("int") == F.col(label).cast("int")).cast("double")
     s = df.agg(F.avg(hit).alias("accuracy"), F.avg(log_loss_term(label, "p")).alias("log_loss"), F.count(F.lit(1)).alias("n")).first()

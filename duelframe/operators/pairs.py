@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelframe.functions.text import block_ratio, edit_ratio, left_side, right_side
+from duelframe.operators.phrases import PART_BYTES, phrases_in
 from duelframe.plans.ordered import ordered_scan
 from duelframe.plans.sizing import fits_broadcast, same_key
 
@@ -104,31 +105,15 @@ def overwrite_from(df: DataFrame, updates: DataFrame, on: Sequence[str], columns
     }).select(*df.columns)
 
 
-def contains_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, limit: int | None = 10_000) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """All (text row, phrase row) with the phrase inside the text, ignoring case.
 
-    Distinct texts are matched once. A phrase table proven small is broadcast;
-    a larger one is joined on substrings: every text is expanded into its
-    substrings of the lengths that occur among the phrases, which turns the
-    containment into an equi-join.
+    Distinct texts run once through an automaton of all phrases (``phrases_in``); what is found is joined by equality.
     """
-    distinct_texts = texts.select(text).distinct().withColumn("_low", F.lower(text))
-    keyed = phrases.withColumn("_phrase", F.lower(phrase)).where(F.length("_phrase") > 0)
-    if fits_broadcast(phrases, limit):
-        hits = distinct_texts.join(F.broadcast(keyed), F.contains(F.col("_low"), F.col("_phrase")))
-    else:
-        lengths = keyed.agg(F.collect_set(F.length("_phrase")).alias("n")).first().n
-        pieces = F.flatten(F.transform(
-            F.array(*[F.lit(n) for n in sorted(lengths)]),
-            lambda n: F.when(
-                F.length("_low") >= n,
-                F.transform(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda at: F.substr("_low", at, n)),
-            ).otherwise(F.array().cast("array<string>")),
-        ))
-        grams = distinct_texts.select(text, "_low", F.explode(F.array_distinct(pieces)).alias("_gram"))
-        hits = grams.join(keyed, F.col("_gram") == F.col("_phrase")).drop("_gram")
-    hits = hits.drop("_low", "_phrase")
-    return texts.join(hits, text)
+    low = texts.select(F.lower(text).alias("_low"))
+    keyed = phrases.withColumn("_phrase", F.lower(phrase))
+    hits = phrases_in(low, "_low", keyed, "_phrase", part_bytes).join(keyed, "_phrase").drop("_phrase")
+    return texts.withColumn("_low", F.lower(text)).join(hits, "_low").drop("_low")
 
 
 def longest_phrase(matched: DataFrame, keys: Sequence[str], phrase: str) -> DataFrame:
@@ -265,7 +250,7 @@ def full_name_members(people: DataFrame, first: str, last: str, wanted: DataFram
     return named.join(wanted.select(name).distinct(), name, "left_semi").select(*people.columns, name)
 
 
-def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, limit: int | None = 1_000,
+def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, part_bytes: int = PART_BYTES,
                  opponents: DataFrame | None = None) -> DataFrame:
     """Best match per requested text: exact (1), ignoring case (2), contained (3), contained in an opponent's name (4).
 
@@ -275,10 +260,10 @@ def tiered_names(requests: DataFrame, asked: str, names: DataFrame, name: str, l
     want = requests.select(asked).distinct()
     exact = want.join(known, F.col(asked) == F.col(name)).withColumn("tier", F.lit(1))
     folded = want.join(known, F.lower(asked) == F.lower(name)).withColumn("tier", F.lit(2))
-    part = contains_join(known, name, want, asked, limit).select(asked, name).withColumn("tier", F.lit(3))
+    part = contains_join(known, name, want, asked, part_bytes).select(asked, name).withColumn("tier", F.lit(3))
     found = exact.unionByName(folded).unionByName(part)
     if opponents is not None:
-        other = contains_join(opponents.select(name).distinct(), name, want, asked, limit)
+        other = contains_join(opponents.select(name).distinct(), name, want, asked, part_bytes)
         found = found.unionByName(other.select(asked, name).withColumn("tier", F.lit(4)))
     best = found.groupBy(asked).agg(F.min(F.struct("tier", name)).alias("_b")).select(asked, "_b.*")
     return requests.join(best, asked, "left")

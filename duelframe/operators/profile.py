@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.functions.text import attempted, clock_seconds, landed, lenient_int
 from duelframe.plans.ordered import ordered_scan
+from duelframe.plans.sizing import cut
 
 
 def roll_up(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], count: str | None = None) -> DataFrame:
@@ -69,8 +70,8 @@ def accuracy_by(df: DataFrame, keys: Sequence[str], correct: Column, gap: Column
 
 
 def best_and_worst(df: DataFrame, score: str, size: str, min_size: int, n: int, tie: Sequence[str]) -> DataFrame:
-    """The n best and n worst groups of at least ``min_size`` rows."""
-    big = df.where(F.col(size) >= min_size)
+    """The n best and n worst groups of at least ``min_size`` rows; both ends read one materialised table."""
+    big = cut(df.where(F.col(size) >= min_size))
     top = big.orderBy(F.col(score).desc(), *tie).limit(n).withColumn("end", F.lit("top"))
     low = big.orderBy(F.col(score).asc(), *tie).limit(n).withColumn("end", F.lit("bottom"))
     return top.unionByName(low)

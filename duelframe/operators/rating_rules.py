@@ -1,8 +1,8 @@
 """Update rules of the pairwise rating systems.
 
 A rule is written once against a tiny arithmetic vocabulary and runs in two
-settings: on Columns, when a whole wave of matches is updated by one join, and on
-Python floats, when a short remainder is folded in order.
+settings: on arrays, when many matches are updated together, and on Python floats,
+when each match waits for the one before.
 
 State of an entity: ``r`` rating, ``x`` second value (deviation, defence, finish
 factor), ``n`` matches so far, ``streak`` wins in a row, ``day`` day number of the
@@ -19,45 +19,24 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import functions as F
+import numpy as np
 
 
-class ColumnMath:
-    """The vocabulary on Columns."""
+class ArrayMath:
+    """The vocabulary on arrays; a missing number is NaN."""
 
-    @staticmethod
-    def where(c, a, b):
-        return F.when(c, a).otherwise(b)
-
-    @staticmethod
-    def missing(a):
-        return a.isNull()
-
-    @staticmethod
-    def either(a, b):
-        return a | b
-
-    @staticmethod
-    def both(a, b):
-        return a & b
-
-    @staticmethod
-    def least(a, b):
-        return F.least(ColumnMath.lit(a), ColumnMath.lit(b))
-
-    @staticmethod
-    def most(a, b):
-        return F.greatest(ColumnMath.lit(a), ColumnMath.lit(b))
-
-    @staticmethod
-    def power(a, b):
-        return F.pow(ColumnMath.lit(a), ColumnMath.lit(b))
-
-    sqrt = staticmethod(F.sqrt)
+    where = staticmethod(np.where)
+    missing = staticmethod(np.isnan)
+    either = staticmethod(np.logical_or)
+    both = staticmethod(np.logical_and)
+    least = staticmethod(np.minimum)
+    most = staticmethod(np.maximum)
+    power = staticmethod(np.power)
+    sqrt = staticmethod(np.sqrt)
 
     @staticmethod
     def lit(a):
-        return F.lit(float(a)) if isinstance(a, (int, float)) else a
+        return a
 
 
 class FloatMath:
@@ -175,7 +154,7 @@ def _rested(m, spec, s, day):
     lay = spec.layoff
     if lay.mode == "none":
         return s["r"]
-    gap = m.where(m.missing(s["day"]), m.lit(0.0), (day - s["day"]) if m is ColumnMath else day - (s["day"] or 0))
+    gap = m.where(m.missing(s["day"]), m.lit(0.0), (day - s["day"]) if m is ArrayMath else day - (s["day"] or 0))
     if lay.mode == "flat":
         return m.where(gap > lay.threshold, s["r"] * lay.factor, s["r"])
     if lay.mode == "to_base":
@@ -223,7 +202,7 @@ def finish(m, spec, a, b, g):
 def activity(m, spec, a, b, g):
     """Inactive sides move less (down to 95 %), a winner rated over 50 points lower moves both by 10 % more."""
     def active(s):
-        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ColumnMath else g["day"] - (s["day"] or 0))
+        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ArrayMath else g["day"] - (s["day"] or 0))
         return m.most(1.0 - m.least(gap / 30 * spec.decay_rate, m.lit(50.0)) / 1000, m.lit(0.95))
 
     ra, rb = a["r"], b["r"]
@@ -242,7 +221,7 @@ def simple(m, spec, a, b, g):
     With ``mirrored`` a side stopped by the floor still moves by 16.
     """
     def rested(s):
-        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ColumnMath else g["day"] - (s["day"] or 0))
+        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ArrayMath else g["day"] - (s["day"] or 0))
         drop = m.least(spec.decay_rate * gap / 30, m.lit(50.0))
         return m.where(gap > 0, m.most(s["r"] - drop, m.lit(spec.floor)), s["r"])
 
@@ -288,7 +267,7 @@ def two_sided(m, spec, a, b, g):
 def glicko(m, spec, a, b, g):
     """Rating and deviation. With ``sequential_sides`` side B is updated against A's new rating."""
     def widened(s):
-        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ColumnMath else g["day"] - (s["day"] or 0))
+        gap = m.where(m.missing(s["day"]), m.lit(0.0), (g["day"] - s["day"]) if m is ArrayMath else g["day"] - (s["day"] or 0))
         return m.least(m.sqrt(s["x"] * s["x"] + spec.tau * spec.tau * gap), m.lit(350.0))
 
     def move(r, opp, rd_opp, rd_stored, res):

@@ -7,12 +7,14 @@ entity must be handled in order. Two exact ways:
            sorted and streamed through one task that keeps only the entities'
            current states, never the matches. Used only where every such group is
            proven to hold at most ``max_group_rows`` matches.
-``waves``  All matches that are next in line for both of their sides form a wave.
-           A wave holds every entity at most once, so it is one distributed
-           equi-join of matches and entity states on the unique key
-           (league, entity, match number) - no key can be hot. Rated matches leave
-           the table, and so do entities that have played their last match. Waves
-           go on until what is left is proven to fit one task, which folds it.
+``blocks`` Leagues too large for that are cut by time into blocks of as many
+           matches. Within a block, entities fall into clusters that do not meet;
+           every cluster is folded in a task of its own, all leagues at once, and
+           states pass from an entity's block to the next block it plays in. The
+           number of jobs grows with the blocks and not with the longest chain.
+
+Inside a task, matches of one batch that do not wait for each other are updated
+together as arrays; where nearly every match waits for the one before, one by one.
 
 A chain of matches through one entity has no parallel form in any exact rating
 of this kind: its length is a lower bound on the sequential work.
@@ -22,13 +24,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from duelframe.functions import ratings as rf
-from duelframe.operators.rating_rules import RATINGS, RULES, ColumnMath, FloatMath, RatingSpec
+from duelframe.operators.rating_rules import RATINGS, RULES, ArrayMath, FloatMath, RatingSpec
 from duelframe.operators.sequence import first_difference, numbered, rolling_sums
-from duelframe.plans.sizing import cut, fits_broadcast, oversized_groups
+from duelframe.plans.sizing import Folder, cut, fits_broadcast, oversized_groups
 from duelframe.session import max_group_rows
 
 INPUTS = ["day", "score", "k0", "u", "v"]
@@ -135,9 +138,9 @@ def rate(inputs: DataFrame, spec: RatingSpec | str, *, state: DataFrame | None =
         largest = grouped.groupBy("league", "component").count().agg(F.max("count")).first()[0] or 0
         if largest <= limit:
             return fold(_with_state(grouped, state), spec, ["league", "component"])
-        mode = "waves"
-    if mode == "waves":
-        return waves(inputs, spec, state, limit)
+        mode = "blocks"
+    if mode == "blocks":
+        return blocks(inputs, spec, state, limit)
     raise ValueError(mode)
 
 
@@ -165,163 +168,145 @@ def fold(seeded: DataFrame, spec: RatingSpec, groups: Sequence[str]) -> DataFram
     extra = [g for g in groups if g not in ids]
     columns = [*extra, *ids, *INPUTS, *[f"{s}_{c}" for s in "ab" for c in STATE]]
     out_schema = _result_schema(seeded)
-    step, keep_pre = RULES[spec.rule], spec.pre_when_skipped
     blank = (spec.base, spec.base_x, 0.0, 0.0, None)
     n_extra, keyed = len(extra), [columns.index(g) for g in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
-        current: object = object()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            results = []
-            for row in zip(*table):
-                group = tuple(row[i] for i in keyed)
-                if group != current:
-                    states, current = {}, group
-                league, _, _, a, b, day, score, k0, u, v = row[n_extra:n_extra + 10]
-                stored = row[n_extra + 10:]
-                sa = states.get((league, a)) or _start(stored[:5], blank)
-                sb = states.get((league, b)) or _start(stored[5:], blank)
-                if score is None:
-                    held = (sa["r"], sb["r"], None, None, sa["x"], sb["x"]) if keep_pre else (None,) * 6
-                    results.append((score, day, *held, None, None))
-                    continue
-                pa_, pb_, ra, rb, xa, xb = step(
-                    FloatMath, spec, sa, sb, {"day": day, "score": score, "k0": k0, "u": u, "v": v}
-                )
-                results.append((score, day, pa_, pb_, ra, rb, sa["x"], sb["x"], xa, xb))
-                won = score == 1
-                states[(league, a)] = {"r": ra, "x": xa, "n": sa["n"] + 1, "streak": sa["streak"] + 1 if won else 0.0, "day": day}
-                states[(league, b)] = {"r": rb, "x": xb, "n": sb["n"] + 1, "streak": 0.0 if won else sb["streak"] + 1, "day": day}
-            made = list(zip(*results)) if results else [[] for _ in range(10)]
+            group = list(zip(*[table[i] for i in keyed]))
+            sides = [list(zip(group, table[n_extra + 3 + k])) for k in (0, 1)]
+            game = table[n_extra + 5 : n_extra + 10]
+            stored = [list(zip(*table[n_extra + 10 + 5 * k : n_extra + 15 + 5 * k])) for k in (0, 1)]
+            for keys, known in zip(sides, stored):
+                for key, held in zip(keys, known):
+                    if key not in states:
+                        states[key] = tuple(held if held[0] is not None else blank)
+            levels = _levels(*sides)
+            together = len(levels) >= WIDE * (max(levels) + 1)
+            made = (_by_level if together else _one_by_one)(spec, states, sides, game, levels)
+            states = {k: v for k, v in states.items() if k[0] == group[-1]}  # earlier groups are done
             arrays = [batch.column(n_extra + i) for i in range(5)]
-            arrays += [pa.array(made[i], pa.float64()) for i in range(10)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*ids, "score", "day", *OUT])
+            yield pa.RecordBatch.from_arrays([*arrays, *made], names=[*ids, "score", "day", *OUT])
 
     ordered = seeded.select(*columns).repartition(*groups).sortWithinPartitions(*groups, "ts", "match_id")
     return ordered.mapInArrow(run, out_schema)
 
 
-def _start(stored, blank):
-    r, x, n, streak, day = stored if stored[0] is not None else blank
-    return {"r": r, "x": x, "n": n, "streak": streak, "day": day}
-
-
-def entity_numbers(inputs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Matches with each side's running match number (``na``, ``nb``)."""
-    sides = inputs.where(F.col("score").isNotNull()).select(
-        "league", "match_id", "ts",
-        F.explode(F.array(
-            F.struct(F.lit("a").alias("side"), F.col("a").alias("entity")),
-            F.struct(F.lit("b").alias("side"), F.col("b").alias("entity")),
-        )).alias("_s"),
-    ).select("league", "match_id", "ts", "_s.side", "_s.entity")
-    seq = numbered(sides, ["league", "entity"], ["ts", "match_id"], "_n", limit=limit)
-    wide = seq.groupBy("league", "match_id").agg(
-        F.max(F.when(F.col("side") == "a", F.col("_n"))).alias("na"),
-        F.max(F.when(F.col("side") == "b", F.col("_n"))).alias("nb"),
-    )
-    return inputs.join(wide, ["league", "match_id"], "left")
-
-
-def waves(inputs: DataFrame, spec: RatingSpec, state: DataFrame | None, limit: int) -> DataFrame:
-    """Distributed rounds of independent matches; once at most ``limit`` are left, one task folds them."""
-    ids = ["league", "match_id", "ts", "a", "b"]
-    numbered_rows = cut(entity_numbers(inputs))
-    skipped = numbered_rows.where(F.col("score").isNull())
-    todo = numbered_rows.where(F.col("score").isNotNull())
-    left = todo.count()
-    states = cut(_initial_states(todo, spec, state))
-    done, wave = None, 0
-    while left > limit:
-        rated = cut(_one_wave(todo, states, spec, ids))
-        width = rated.count()
-        done, left, wave = (rated if done is None else done.unionByName(rated)), left - width, wave + 1
-        if wave % 16 == 0:
-            done = cut(done)  # one table instead of a growing union
-        moved = cut(_advance(states, rated))
-        # a match is rated exactly when its side a has moved past it
-        ahead = moved.select("league", F.col("entity").alias("a"), F.col("next").alias("_next"))
-        todo = cut(todo.join(ahead, ["league", "a"]).where(F.col("na") >= F.col("_next")).drop("_next"))
-        playing = todo.select("league", F.explode(F.array("a", "b")).alias("entity")).distinct()
-        states = cut(moved.join(playing, ["league", "entity"], "left_semi"))
-    rest = fold(_with_state(todo.drop("na", "nb"), states.select("league", "entity", *STATE)), spec, ["league"])
-    result = rest if done is None else done.select(*ids, "score", "day", *OUT).unionByName(rest)
-    if skipped.limit(1).count():
-        if spec.pre_when_skipped:
-            result = result.unionByName(_unrated(skipped, result, spec, state))
-        else:
-            nothing = {c: F.lit(None).cast("double") for c in OUT}
-            result = result.unionByName(skipped.select(*ids, "score", "day").withColumns(nothing))
-    return result
-
-
-def _initial_states(todo: DataFrame, spec: RatingSpec, state: DataFrame | None) -> DataFrame:
-    entities = todo.select("league", F.col("a").alias("entity")).unionByName(
-        todo.select("league", F.col("b").alias("entity"))
-    ).distinct().withColumn("next", F.lit(1).cast("bigint"))
-    blank = {"r": spec.base, "x": spec.base_x, "n": 0.0, "streak": 0.0, "day": None}
-    if state is None:
-        return entities.withColumns({c: F.lit(v).cast("double") for c, v in blank.items()})
-    joined = entities.join(state.select("league", "entity", *STATE), ["league", "entity"], "left")
-    known = F.col("r").isNotNull()
-    return joined.withColumns({
-        c: F.when(known, F.col(c).cast("double")).otherwise(F.lit(v).cast("double")) for c, v in blank.items()
-    })
-
-
-def _one_wave(todo: DataFrame, states: DataFrame, spec: RatingSpec, ids) -> DataFrame:
-    def side(s):
-        return states.select(
-            "league", F.col("entity").alias(s), F.col("next").alias(f"n{s}"), *[F.col(c).alias(f"_{s}_{c}") for c in STATE]
-        )
-
-    ready = todo.join(side("a"), ["league", "a", "na"]).join(side("b"), ["league", "b", "nb"])
-    a, b = ({c: F.col(f"_{s}_{c}") for c in STATE} for s in "ab")
-    game = {c: F.col(c) for c in INPUTS}
-    pre_a, pre_b, ra, rb, xa, xb = RULES[spec.rule](ColumnMath, spec, a, b, game)
-    won = F.col("score") == 1
-    return ready.select(
-        *ids, "score", "day",
-        pre_a.alias("pre"), pre_b.alias("opp_pre"), ra.alias("post"), rb.alias("opp_post"),
-        a["x"].alias("pre_x"), b["x"].alias("opp_pre_x"), xa.alias("post_x"), xb.alias("opp_post_x"),
-        (a["n"] + 1).alias("a_n"), (b["n"] + 1).alias("b_n"),
-        F.when(won, a["streak"] + 1).otherwise(0.0).alias("a_streak"),
-        F.when(won, 0.0).otherwise(b["streak"] + 1).alias("b_streak"),
-    )
-
+WIDE = 8  # matches a level from which array updates pay
 
-def _advance(states: DataFrame, rated: DataFrame) -> DataFrame:
-    def update(s, post, post_x):
-        return F.struct(
-            F.col(s).alias("entity"), F.col(post).alias("_r"), F.col(post_x).alias("_x"),
-            F.col(f"{s}_n").alias("_n"), F.col(f"{s}_streak").alias("_streak"), F.col("day").alias("_day"),
-        )
 
-    news = rated.select("league", F.explode(F.array(update("a", "post", "post_x"), update("b", "opp_post", "opp_post_x"))).alias("_u")).select("league", "_u.*")
-    out = states.join(news, ["league", "entity"], "left")
-    moved = F.col("_r").isNotNull()
-    return out.select(
-        "league", "entity", (F.col("next") + F.when(moved, 1).otherwise(0)).alias("next"),
-        *[F.when(moved, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in STATE],
-    )
+def _levels(a: list, b: list) -> list[int]:
+    """For every match, how many matches of the batch it has to wait for, one after the other."""
+    seen: dict = {}
+    out = []
+    for x, y in zip(a, b):
+        level = max(seen.get(x, 0), seen.get(y, 0))
+        seen[x] = seen[y] = level + 1
+        out.append(level)
+    return out
 
 
-def components(matches: DataFrame) -> DataFrame:
-    """Connected component of every entity inside its league: smallest label spreads until nothing changes."""
-    edges = matches.select("league", "a", "b").distinct()
-    both = cut(edges.unionByName(edges.select("league", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.select("league", F.col("a").alias("entity")).distinct().withColumn("component", F.col("entity")))
+def _one_by_one(spec: RatingSpec, states: dict, sides: list, game: list, levels: list[int]) -> list[pa.Array]:
+    step, keep_pre = RULES[spec.rule], spec.pre_when_skipped
+    results = []
+    for a, b, day, score, k0, u, v in zip(*sides, *game):
+        sa, sb = (dict(zip(STATE, states[k])) for k in (a, b))
+        if score is None:
+            held = (sa["r"], sb["r"], None, None, sa["x"], sb["x"]) if keep_pre else (None,) * 6
+            results.append((score, day, *held, None, None))
+            continue
+        pre_a, pre_b, ra, rb, xa, xb = step(FloatMath, spec, sa, sb, {"day": day, "score": score, "k0": k0, "u": u, "v": v})
+        results.append((score, day, pre_a, pre_b, ra, rb, sa["x"], sb["x"], xa, xb))
+        won = score == 1
+        states[a] = (ra, xa, sa["n"] + 1, sa["streak"] + 1 if won else 0.0, day)
+        states[b] = (rb, xb, sb["n"] + 1, 0.0 if won else sb["streak"] + 1, day)
+    return [pa.array(x, pa.float64()) for x in zip(*results)]
+
+
+def _by_level(spec: RatingSpec, states: dict, sides: list, game: list, levels: list[int]) -> list[pa.Array]:
+    """The same updates with all matches of a level at once; no side plays twice in a level."""
+    number: dict = {}
+    ia, ib = (np.array([number.setdefault(k, len(number)) for k in keys]) for keys in sides)
+    now = {c: x for c, x in zip(STATE, np.array([[np.nan if v is None else v for v in states[k]] for k in number]).T.copy())}
+    day, score, k0, u, v = (np.array([np.nan if x is None else x for x in column], dtype=float) for column in game)
+    rated = np.array([x is not None for x in game[1]])
+    made = np.full((len(OUT), len(ia)), np.nan)
+    level = np.array(levels)
+    order = np.argsort(level, kind="stable")
+    edges = np.searchsorted(level[order], np.arange(level.max() + 2))
+    with np.errstate(all="ignore"):
+        for x, y in zip(edges, edges[1:]):
+            at = order[x:y]
+            a, b = ({c: col[i[at]] for c, col in now.items()} for i in (ia, ib))
+            pre_a, pre_b, ra, rb, xa, xb = RULES[spec.rule](ArrayMath, spec, a, b, {"day": day[at], "score": score[at], "k0": k0[at], "u": u[at], "v": v[at]})
+            go = rated[at]
+            held = (a["r"], b["r"]) if spec.pre_when_skipped else (np.nan, np.nan)
+            for row, value in zip(made, (np.where(go, pre_a, held[0]), np.where(go, pre_b, held[1]), ra, rb, a["x"], b["x"], xa, xb)):
+                row[at] = value
+            won = score[at] == 1
+            for side, i, r, xx, up in ((a, ia, ra, xa, won), (b, ib, rb, xb, ~won)):
+                put = i[at][go]
+                for c, value in zip(STATE, (r, xx, side["n"] + 1, np.where(up, side["streak"] + 1, 0.0), day[at])):
+                    now[c][put] = np.broadcast_to(value, go.shape)[go]
+    columns = list(zip(*(now[c].tolist() for c in STATE)))
+    for key, i in number.items():
+        *rest, last = columns[i]
+        states[key] = (*rest, None if last != last else last)
+    blind = ~rated
+    hide = [blind & (not spec.pre_when_skipped)] * 2 + [blind] * 2 + [blind & (not spec.pre_when_skipped)] * 2 + [blind] * 2
+    return [pa.array(game[1], pa.float64()), pa.array(game[0], pa.float64()), *(pa.array(x, pa.float64(), mask=m) for x, m in zip(made, hide))]
+
+
+def blocks(inputs: DataFrame, spec: RatingSpec, state: DataFrame | None, limit: int) -> DataFrame:
+    """Blocks of at most ``limit`` matches a league in time order, folded cluster by cluster, one block after the other.
+
+    A block's matches, the states that wait for it, and its results are folders of their own, so a block reads and
+    writes in proportion to itself.
+    """
+    spark = inputs.sparkSession
+    store = Folder(spark, "ratings")
+    order = numbered(inputs, ["league"], ["ts", "match_id"], "_n", limit=limit)
+    placed = cut(order.withColumn("block", F.floor((F.col("_n") - 1) / limit).cast("int")).drop("_n"))
+    parts = components(placed, ["league", "block"]).withColumnRenamed("entity", "a")
+    matches = placed.join(parts, ["league", "block", "a"]).repartitionByRange("block", "league", "component")
+    store.write(matches, "matches", "block")
+    seats = placed.select("league", "block", F.explode(F.array("a", "b")).alias("entity")).distinct()
+    ahead = F.lead("block").over(Window.partitionBy("league", "entity").orderBy("block"))  # a row a block, so short
+    store.write(seats.withColumn("next", ahead).repartitionByRange("block", "league", "entity"), "seats", "block")
+    waiting = "league {league}, entity {entity}, ".format(league=inputs.schema["league"].dataType.simpleString(), entity=inputs.schema["a"].dataType.simpleString())
+    waiting += ", ".join(f"{c} double" for c in STATE)
+    if state is not None:
+        first = seats.groupBy("league", "entity").agg(F.min("block").alias("next"))
+        store.write(state.select("league", "entity", *[F.col(c).cast("double").alias(c) for c in STATE]).join(first, ["league", "entity"]), "states", "next")
+    for k in store.values("matches"):
+        states = store.read(f"states/next={k}", waiting)
+        rows = store.read(f"matches/block={k}", matches.drop("block").schema)
+        store.write(fold(_with_state(rows, states), spec, ["league", "component"]), f"rated/block={k}")
+        after = current_state(store.read(f"rated/block={k}", _result_schema(inputs)), states)
+        onward = store.read(f"seats/block={k}", seats.drop("block").withColumn("next", F.lit(0)).schema).where("next IS NOT NULL")
+        store.write(after.join(onward, ["league", "entity"]).repartition("next"), "states", "next")
+    return store.read("rated", _result_schema(inputs) + ", block int").drop("block")
+
+
+def components(matches: DataFrame, keys: Sequence[str] = ("league",)) -> DataFrame:
+    """Connected component of every entity among the matches of each key: smallest label spreads until nothing changes."""
+    keys = list(keys)
+    edges = matches.select(*keys, "a", "b").distinct()
+    both = cut(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.select(*keys, F.col("a").alias("entity")).distinct().withColumn("component", F.col("entity")))
     while True:
-        near = both.join(labels.select("league", F.col("entity").alias("b"), "component"), ["league", "b"])
-        low = near.groupBy("league", F.col("a").alias("entity")).agg(F.min("component").alias("_near"))
-        hop = labels.join(low, ["league", "entity"], "left").select(
-            "league", "entity", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("_mid")
+        near = both.join(labels.select(*keys, F.col("entity").alias("b"), "component"), [*keys, "b"])
+        low = near.groupBy(*keys, F.col("a").alias("entity")).agg(F.min("component").alias("_near"))
+        hop = labels.join(low, [*keys, "entity"], "left").select(
+            *keys, "entity", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("_mid")
         )
-        jump = labels.select("league", F.col("entity").alias("_mid"), F.col("component").alias("_far"))
-        nxt = cut(hop.join(jump, ["league", "_mid"], "left").select(
-            "league", "entity", "_old", F.least("_mid", F.coalesce("_far", "_mid")).alias("component")
+        jump = labels.select(*keys, F.col("entity").alias("_mid"), F.col("component").alias("_far"))
+        nxt = cut(hop.join(jump, [*keys, "_mid"], "left").select(
+            *keys, "entity", "_old", F.least("_mid", F.coalesce("_far", "_mid")).alias("component")
         ))
         changed = nxt.where(F.col("_old") != F.col("component")).limit(1).count()
         labels = nxt.drop("_old")
@@ -329,34 +314,6 @@ def components(matches: DataFrame) -> DataFrame:
             return labels
 
 
-def _unrated(skipped: DataFrame, rated: DataFrame, spec: RatingSpec, state: DataFrame | None) -> DataFrame:
-    """Matches without a score keep the ratings both sides held at that point."""
-    from duelframe.operators.pairs import asof_latest
-
-    held = rated.select("league", "ts", "match_id", F.explode(F.array(
-        F.struct(F.col("a").alias("entity"), F.col("post").alias("r"), F.col("post_x").alias("x")),
-        F.struct(F.col("b").alias("entity"), F.col("opp_post").alias("r"), F.col("opp_post_x").alias("x")),
-    )).alias("_s")).select(
-        "league", "_s.entity", F.struct("ts", "match_id").alias("_at"), F.struct("_s.r", "_s.x").alias("_snap")
-    )
-    out = skipped.select("league", "match_id", "ts", "a", "b", "score", "day")
-    for s, p, px in (("a", "pre", "pre_x"), ("b", "opp_pre", "opp_pre_x")):
-        probe = out.withColumn("entity", F.col(s)).withColumn("_at", F.struct("ts", "match_id"))
-        seen = asof_latest(probe, held, ["league", "entity"], "_at", "_snap", "_held", tie=["match_id"])
-        if state is not None:
-            stored = state.select("league", "entity", F.col("r").alias("_r0"), F.col("x").alias("_x0"))
-            seen = seen.join(stored, ["league", "entity"], "left")
-        else:
-            seen = seen.withColumns({"_r0": F.lit(None).cast("double"), "_x0": F.lit(None).cast("double")})
-        out = seen.withColumns({
-            p: F.coalesce("_held.r", "_r0", F.lit(spec.base)), px: F.coalesce("_held.x", "_x0", F.lit(spec.base_x)),
-        }).drop("entity", "_at", "_held", "_r0", "_x0")
-    nothing = F.lit(None).cast("double")
-    return out.withColumns({c: nothing for c in ("post", "opp_post", "post_x", "opp_post_x")}).select(
-        "league", "match_id", "ts", "a", "b", "score", "day", *OUT
-    )
-
-
 # ---------------------------------------------------------------- reading ratings
 
 def by_entity(rated: DataFrame) -> DataFrame:

@@ -47,10 +47,11 @@ def side_rows(events: DataFrame, results: DataFrame, rounds: DataFrame, attribut
     dated = results.drop("EVENT").join(events.select("jevent", F.col("DATE"), "EVENT"), "jevent")
     outcome = clean.match_sides(dated, keep=["DATE", "EVENT"])
     outcome = with_join_keys(outcome, {"jevent": "EVENT", "jbout": "BOUT", "jfighter": "fighter"}).drop("EVENT", "BOUT", "fighter")
-    facts = results.select("jevent", "jbout", F.col("weightindex").alias("weight_of_fight"), F.col("ROUND").alias("round"), F.col("TIME FORMAT").alias("time_format"))
+    fact = F.struct(F.col("weightindex").alias("weight_of_fight"), F.col("ROUND").alias("round"), F.col("TIME FORMAT").alias("time_format"))
+    facts = results.groupBy("jevent", "jbout").agg(F.min(fact).alias("_f")).select("jevent", "jbout", "_f.*")  # the least where rows of a match differ
     return (
         stats.join(outcome, ["jevent", "jbout", "jfighter"])
-        .join(facts.dropDuplicates(["jevent", "jbout"]), ["jevent", "jbout"])
+        .join(facts, ["jevent", "jbout"])
         .join(attributes.drop("FIGHTER"), "jfighter")
         .where(F.instr(F.col("jbout"), F.col("jfighter")) > 0)
         .withColumn("age", age_years("DATE", "DOB"))

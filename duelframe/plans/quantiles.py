@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duelframe.session import max_group_rows
 
 
+VALUES = 10_000  # the most values of a rank's interval that one task lists
+
+
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], limit: int | None = None) -> list[float | None]:
     """Quantiles of one column, NULL values left out."""
     return exact_quantiles_of(df, {column: probs}, limit)[column]
@@ -43,7 +46,7 @@ def exact_quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]], lim
     one task. Ranks of larger intervals share two passes a round: approximate quantiles give pivots, and
     counts around the pivots tell which interval, thousands of times smaller, the rank lies in.
     """
-    limit = limit or max_group_rows(df.sparkSession)
+    limit = min(limit or VALUES, max_group_rows(df.sparkSession), VALUES)
     df = df.select(*wanted)
     counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
     ranks = {(c, r) for c, probs in wanted.items() if counts[c] for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))}

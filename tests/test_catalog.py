@@ -33,7 +33,7 @@ SPLIT = {
 
 @pytest.mark.parametrize("name", sorted(SPLIT))
 def test_query_matches_sql_when_every_group_is_oversized(spark, con, name):
-    """The same queries with a group limit so low that keys are split, ranks narrowed and ratings run in waves."""
+    """The same queries with a group limit so low that keys are split, ranks narrowed and ratings cut into blocks."""
     from duelframe.session import MAX_GROUP_ROWS
 
     spark.conf.set(MAX_GROUP_ROWS, str(SPLIT[name]))

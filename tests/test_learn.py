@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelframe.operators import evaluate, learn
+from duelframe.operators import evaluate, learn, newton
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,92 @@ def test_strengths_order_entities(spark):
     df = spark.createDataFrame([("a", "b", 1.0)] * 3 + [("b", "c", 1.0)] * 3 + [("a", "c", 1.0)], "a string, b string, score double")
     got = {r.entity: r.strength for r in learn.strengths(df, iterations=6, checkpoint_every=3).collect()}
     assert got["a"] > got["b"] > got["c"]
+
+
+def plain_logistic(x, y, s, l2, steps=200):
+    """Gradient descent with halving, slow and plain: least of sum(s * loss) + l2 / 2 |w|^2 over standardised inputs."""
+    z = np.c_[np.ones(len(x)), (x - x.mean(0)) / x.std(0)]
+    ridge = np.r_[0.0, np.full(x.shape[1], l2)]
+    value = lambda w: float(s @ (np.logaddexp(0, z @ w) - y * (z @ w)) + 0.5 * ridge @ (w * w))
+    w, rate = np.zeros(z.shape[1]), 1.0
+    for _ in range(steps * 100):
+        g = z.T @ (s * (1 / (1 + np.exp(-z @ w)) - y)) + ridge * w
+        while rate > 1e-14 and value(w - rate * g) > value(w):
+            rate /= 2
+        w, rate = w - rate * g, rate * 1.3
+        if np.abs(g).max() < 1e-9:
+            break
+    return w
+
+
+@pytest.mark.parametrize("balanced,l2", [(False, 1.0), (True, 0.1), (True, 25.0)])
+def test_newton_fit_is_the_least_of_its_objective(spark, balanced, l2):
+    r = np.random.default_rng(2)
+    x = np.c_[r.normal(size=300), r.exponential(size=300) * 40, r.integers(0, 3, 300).astype(float)]
+    y = (x[:, 0] - x[:, 1] / 30 + r.normal(size=300) > 0.3).astype(float)
+    rows = [(float(a), float(b), float(c), float(t)) for (a, b, c), t in zip(x, y)]
+    df = spark.createDataFrame(rows + [(1.0, 2.0, 3.0, None)], "a double, b double, c double, win double")
+    s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) if balanced else np.ones(len(y))
+    fit = newton.fit_logistic(df, ["a", "b", "c"], "win", balanced=balanced, l2=l2)
+    assert np.allclose([fit.bias, *fit.weights], plain_logistic(x, y, s, l2), atol=1e-5) and fit.steps < 20
+    p = np.array([q[0] for q in df.where("win IS NOT NULL").select(fit.probability()).collect()])
+    assert np.allclose(p, 1 / (1 + np.exp(-np.c_[np.ones(300), (x - x.mean(0)) / x.std(0)] @ [fit.bias, *fit.weights])))
+
+
+def test_newton_fit_of_separable_missing_and_constant_inputs(spark):
+    df = spark.createDataFrame([(float(i), None if i % 3 else float(i), 7.0, float(i > 20)) for i in range(40)], "a double, b double, c double, win double")
+    fit = newton.fit_logistic(df, ["a", "b", "c"], "win")
+    assert all(np.isfinite(fit.weights)) and abs(fit.weights[2]) < 1e-9 and fit.fills["b"] == 18.0
+    with pytest.raises(ValueError):
+        newton.fit_logistic(df.where("win = 1"), ["a"], "win")
+
+
+def test_score_tests_find_the_missing_features(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 5))
+    y = (x[:, 0] + 2 * x[:, 3] - 0.7 * x[:, 1] + r.normal(size=500) > 0).astype(float)
+    names = list("abcde")
+    df = spark.createDataFrame([(*map(float, row), float(t)) for row, t in zip(x, y)], ", ".join(f"{n} double" for n in names) + ", win double").withColumn("copy", F.col("a"))
+    fit = newton.fit_logistic(df, ["a"], "win")
+    ranked = newton.score_tests(df, fit, [*names, "copy"], "win")
+    assert [n for n, _ in ranked][:2] == ["d", "b"] and dict(ranked)["copy"] < 1.0 and "a" not in dict(ranked)
+    steps = newton.stepwise(df.limit(400), df.subtract(df.limit(400)), ["a"], names, "win", refit=2)
+    assert [s["features"] for s in steps][1:3] == [["a", "d"], ["a", "d", "b"]]
+    assert all(b["log_loss"] < a["log_loss"] for a, b in zip(steps, steps[1:]))
+
+
+def test_walk_forward_knows_only_earlier_folds(spark):
+    r = random.Random(3)
+    rows = [(i, i // 40, r.gauss(0, 1) + (i % 2), None if i % 11 == 0 else r.gauss(0, 2), 5.0, float(i % 2) if i % 13 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, fold int, x double, y double, same double, win double")
+    got = {q.id: q.p for q in newton.walk_forward_bayes(df, ["x", "y", "same"], "win", "fold", least=25).collect()}
+    for i, fold, x, y, _, _ in rows:
+        past = [q for q in rows if q[1] < fold and q[5] is not None]
+        classes = [[q for q in past if q[5] == c] for c in (0, 1)]
+        if min(map(len, classes)) < 25:
+            assert got[i] is None
+            continue
+        odds = np.log(len(classes[1]) / len(classes[0]))
+        for at, v in ((2, x), (3, y)):
+            if v is not None:
+                for sign, rows_of in ((-1, classes[0]), (1, classes[1])):
+                    w = [q[at] for q in rows_of if q[at] is not None]
+                    odds += sign * -0.5 * (np.log(np.var(w)) + (v - np.mean(w)) ** 2 / np.var(w))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
+
+
+def test_grid_over_time_scores_later_folds(rows):
+    full = rows.withColumn("y", F.coalesce("y", F.lit(0.0)))
+    ranked = learn.grid_over_time(full, ["x", "y"], ["day", "id"], splits=2, l2=(1.0, 1e6), balanced=(False, True))
+    assert len(ranked) == 4 and ranked[0]["accuracy"] > 0.85 and [r["accuracy"] for r in ranked] == sorted((r["accuracy"] for r in ranked), reverse=True)
+    folded = learn.time_folds(full, ["day", "id"], 2).toPandas()
+    for r in ranked:
+        got = []
+        for i in (1, 2):
+            past, now = folded[folded.fold < i], folded[folded.fold == i]
+            s = np.where(past.win == 1, len(past) / (2 * past.win.sum()), len(past) / (2 * (1 - past.win).sum())) if r["balanced"] else np.ones(len(past))
+            x = past[["x", "y"]].to_numpy()
+            w = plain_logistic(x, past.win.to_numpy(), s, r["l2"])
+            p = np.c_[np.ones(len(now)), (now[["x", "y"]].to_numpy() - x.mean(0)) / x.std(0)] @ w > 0
+            got.append((p == (now.win.to_numpy() == 1)).mean())
+        assert r["accuracy"] == pytest.approx(np.mean(got))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import clean, learn, market, pairs, quality, sequence
+from duelframe.operators.phrases import phrases_in
 from duelframe.plans.quantiles import exact_quantiles, exact_quantiles_of
 
 
@@ -62,12 +63,24 @@ def test_contains_join_paths_agree(spark):
     texts = spark.createDataFrame([("Women's Flyweight Bout",), ("Light Heavyweight Bout",), ("Catch Weight",), ("Flyweight Title Bout",)], "t string")
     phrases = spark.createDataFrame([("Flyweight",), ("Women's Flyweight",), ("Heavyweight",), ("Light Heavyweight",)], "p string")
     small = pairs.contains_join(texts, "t", phrases, "p")
-    large = pairs.contains_join(texts, "t", phrases, "p", limit=1)
+    large = pairs.contains_join(texts, "t", phrases, "p", part_bytes=12)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     best = {r.t: r.p for r in pairs.longest_phrase(small, ["t"], "p").collect()}
     assert best == {"Women's Flyweight Bout": "Women's Flyweight", "Light Heavyweight Bout": "Light Heavyweight", "Flyweight Title Bout": "Flyweight"}
 
 
+def test_phrases_in_texts_equal_plain_search(spark):
+    """Phrases inside, at the end of and overlapping each other, in texts of any length, with one automaton and with many."""
+    r = random.Random(1)
+    phrases = sorted({"".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(60)})
+    texts = ["".join(r.choice("abéx") for _ in range(r.randint(0, 60))) for _ in range(80)] + ["", None, "ab" * 5000, "日本ab"]
+    want = sorted({(t, p) for t in texts if t is not None for p in phrases if p in t})
+    tables = spark.createDataFrame([(t,) for t in texts * 2], "t string"), spark.createDataFrame([(p,) for p in [*phrases, "", None, phrases[0]]], "p string")
+    for size in (1 << 17, 30):
+        assert sorted(map(tuple, phrases_in(tables[0], "t", tables[1], "p", part_bytes=size).collect())) == want
+    assert phrases_in(tables[0], "t", tables[1].limit(0), "p").count() == 0 and phrases_in(tables[0].limit(0), "t", tables[1], "p").count() == 0
+
+
 def test_nearest_value_ties_go_to_the_larger(spark):
     people = spark.createDataFrame([("x", 1, 130.0), ("y", 1, 100.0), ("z", 2, 300.0)], "n string, sex int, w double")
     table = spark.createDataFrame([(1, 125.0, 2), (1, 135.0, 3), (2, 205.0, 11)], "sex int, limit double, idx int")

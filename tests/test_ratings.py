@@ -61,12 +61,24 @@ WAVES = {"time_finish": 3, "offence_defence": 2, "mean_reverting": 1, "log_loss"
 
 
 @pytest.mark.parametrize("name", sorted(WAVES))
-def test_waves_equal_fold(spark, matches, name):
-    """A few distributed waves until the rest fits one task: the same ratings as one fold."""
+def test_blocks_equal_fold(spark, matches, name):
+    """Blocks of matches with states passed on, and array updates: the same ratings as one fold, match by match."""
     inputs = prepared(matches, name).cache()
-    scored = inputs.where("score IS NOT NULL").count()
-    split = R.rate(inputs, name, mode="waves", limit=max(1, scored - 4 * WAVES[name]))
-    assert as_dict(split) == as_dict(R.rate(inputs, name, mode="fold"))
+    want = as_dict(R.rate(inputs, name, mode="fold"))
+    assert as_dict(R.rate(inputs, name, mode="blocks", limit=inputs.count() // (3 * WAVES[name]) + 1)) == want
+
+
+@pytest.mark.parametrize("name", sorted(WAVES))
+@pytest.mark.parametrize("wide", [0, 10**9])
+def test_array_updates_equal_single_ones(spark, matches, monkeypatch, name, wide):
+    """Both ways through a task with all leagues in it give the same ratings, skipped matches and stored states included."""
+    inputs = prepared(matches, name)
+    early, late = inputs.where("match_id < 40"), inputs.where("match_id >= 40")
+    want = as_dict(R.rate(inputs, name, mode="fold"))
+    monkeypatch.setattr(R, "WIDE", wide)
+    assert as_dict(R.rate(inputs, name, mode="fold")) == want
+    state = R.current_state(R.rate(early, name, mode="fold"))
+    assert as_dict(R.rate(late, name, state=state, mode="blocks", limit=30)) == {k: v for k, v in want.items() if k >= 40}
 
 
 def test_hot_entity_and_components(spark):
@@ -84,7 +96,7 @@ def test_hot_entity_and_components(spark):
 
 def test_nothing_to_rate(spark, matches):
     inputs = prepared(matches, "linear").where("score IS NULL")
-    for mode in ("fold", "waves"):
+    for mode in ("fold", "blocks"):
         assert all(r.post is None for r in R.rate(inputs, "linear", mode=mode, limit=1).collect())
 
 

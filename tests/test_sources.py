@@ -6,7 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from duelframe.operators import ratings as R
-from duelframe.sources import odds_documents as od, pages as pg, tables as src
+from duelframe.sources import odds_documents as od, page_nodes as pn, pages as pg, tables as src
+from duelframe.streaming.buckets import BucketTable
 from duelframe.streaming import ingest, ratings as sr
 
 
@@ -64,23 +65,48 @@ def test_stat_cells_to_rounds(spark):
     assert (one["SIG.STR."], one["CTRL"], one["HEAD"], one["GROUND"]) == ("17 of 37", "1:05", "10 of 20", "1 of 2")
 
 
+def test_nodes_of_nested_and_broken_pages(spark):
+    page = """<!-- <td>no</td> --><TABLE class=t><tr><td class="col a" id=x>A<p>one<p>two<table><tr><td><p>inner</table>tail<td>plain &amp; <b>bold</td><script>var s="</td><p>";</script>
+      <ul><li>x<ul><li>y</ul><li>z</ul></i><a title='t"' href = /u>go</a><br/><a>no target</a>"""
+    nodes = pn.nodes_of(page)
+    short = [(parent, tag, text) for _, parent, _, tag, _, text, _ in nodes[1:]]
+    assert [t for _, t, _ in short] == ["table", "tr", "td", "p", "p", "table", "tr", "td", "p", "td", "b", "script", "ul", "li", "ul", "li", "li", "a", "br", "a"]
+    assert nodes[3][4] == {"class": "col a", "id": "x"} and nodes[18][4] == {"title": 't"', "href": "/u"}
+    assert short[3] == (3, "p", "one") and short[4][:2] == (3, "p") and short[9] == (2, "td", "plain & bold")
+    assert [n[6] for n in nodes if n[3] == "p"] == [3, 3, 8]
+    assert [short[i][0] for i in (13, 15, 16)] == [13, 15, 13]  # the first and third item are in the outer list
+    df = spark.createDataFrame([(1, page), (2, "no cells"), (3, None), (4, "")], "page_id int, html string")
+    table = pn.page_nodes(df, ["page_id"])
+    cells = sorted(((r.page_id, r.cell, r.side, r.pair, r.value) for r in pn.node_cells(table, ["page_id"]).collect()), key=str)
+    assert cells == sorted([(1, 0, 0, 0, "one"), (1, 0, 1, 0, "two"), (1, 1, 0, 0, "inner"), (1, 2, 0, 0, "plain & bold"), (2, None, None, None, None), (3, None, None, None, None), (4, None, None, None, None)], key=str)
+    assert [tuple(r) for r in pn.node_links(table, ["page_id"]).collect()] == [(1, 0, "/u", "go")]
+    assert pn.node_cells(table, ["page_id"], cell_class="col").where("cell IS NOT NULL").count() == 2
+    assert pn.page_nodes(df.limit(0), ["page_id"]).count() == 0
+
+
 def test_irregular_pages_go_through_batches(spark):
     page = spark.createDataFrame([(1, "a|b"), (2, "c")], "page_id int, html string")
     got = pg.irregular_items(page, "page_id int, item string", lambda key, html: [(key, x) for x in html.split("|")], ["page_id"])
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "c")]
 
 
-def test_late_matches_do_not_rewrite_history(spark, tmp_path):
+def test_late_matches_change_only_what_follows_from_them(spark, tmp_path):
     cols = "match_id int, league string, ts date, a string, b string, score double"
-    early = spark.createDataFrame([(1, "l", dt.date(2020, 1, 1), "a", "b", 1.0), (2, "l", dt.date(2020, 2, 1), "a", "c", 1.0)], cols)
-    late = spark.createDataFrame([(3, "l", dt.date(2020, 1, 15), "a", "d", 0.0), (4, "l", dt.date(2020, 3, 1), "b", "c", 1.0)], cols)
+    early = [(1, "l", dt.date(2020, 1, 1), "a", "b", 1.0), (2, "l", dt.date(2020, 2, 1), "a", "c", 1.0), (5, "l", dt.date(2020, 2, 2), "x", "y", 1.0), (6, "m", dt.date(2020, 2, 2), "a", "y", 1.0)]
+    late = [(3, "l", dt.date(2020, 1, 15), "a", "d", 0.0), (4, "l", dt.date(2020, 3, 1), "b", "c", 1.0), (7, "l", dt.date(2020, 3, 1), "x", "a", None)]
+    last = [(0, "l", dt.date(2020, 1, 1), "b", "e", 0.0), (8, "l", None, "c", "d", 1.0)]
     base, landing = str(tmp_path), str(tmp_path / "landing")
-    for part in (early, late):
-        inputs = R.rating_inputs(part, "linear")
+    for n, part in enumerate((early, late, last)):
+        inputs = R.rating_inputs(spark.createDataFrame(part, cols), "linear")
         inputs.write.mode("append").parquet(landing)
         sr.rate_stream(ingest.file_stream(spark, landing, inputs.schema), "linear", base).awaitTermination()
-    assert {r.match_id: r.late for r in sr.rated_so_far(spark, base).collect()} == {1: False, 2: False, 3: True, 4: False}
-    assert [r.match_id for r in spark.read.parquet(f"{base}/late").collect()] == [3]
+        whole = R.rate(R.rating_inputs(spark.createDataFrame(sum((early, late, last)[: n + 1], []), cols), "linear"), "linear")
+        plain = lambda df: {r.match_id: tuple(None if r[c] is None else round(r[c], 9) for c in R.OUT) for r in df.collect()}
+        assert plain(sr.rated_so_far(spark, base)) == plain(whole)
+        if n == 1:
+            assert {r.match_id: r.late for r in sr.rated_so_far(spark, base).collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
+    stored = spark.createDataFrame(early, cols)
+    assert {r.match_id for r in sr.affected(stored, spark.createDataFrame(late[:1], cols)).collect()} == {2}
 
 
 def test_late_rows_and_repeats_over_batches(spark, tmp_path):
@@ -95,10 +121,35 @@ def test_late_rows_and_repeats_over_batches(spark, tmp_path):
     assert got == [(1, "a"), (2, "b"), (3, "late"), (4, "e"), (5, "d"), (None, "n")]
 
 
-def test_newest_version_is_listed(spark, tmp_path):
-    for n in (0, 2, 10):
-        spark.range(n + 1).write.parquet(str(tmp_path / f"version={n}"))
-    assert ingest.latest_version(spark, str(tmp_path)).count() == 11
+def test_a_batch_asks_for_its_own_keys_only(spark, tmp_path):
+    """Nothing but the landed files is read, and the state changes by the keys of the batch."""
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(3):
+        spark.range(n * 100, n * 100 + 120).selectExpr("id", "id % 7 AS v").coalesce(1).write.mode("append").parquet(landing)
+        query = ingest.append_new(ingest.file_stream(spark, landing, spark.read.parquet(landing).schema), out, str(tmp_path / "ck"), ["id"])
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        assert (query.lastProgress["numInputRows"], state["numRowsUpdated"], state["numRowsTotal"]) == (120, 120, n * 100 + 120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(320))
+
+
+def test_merging_rewrites_only_touched_buckets(spark, tmp_path):
+    path, landing = str(tmp_path / "t"), str(tmp_path / "in")
+    table = BucketTable(spark, path, ["id"], 8)
+    whole, held = {}, []
+    for n, ids in enumerate([range(100), [3, 4], [3, 200], [4]]):
+        rows = [(i, n, f"{n}-{i}") for i in ids]
+        whole |= {i: v for i, _, v in rows}
+        spark.createDataFrame(rows, "id long, seen int, v string").coalesce(1).write.mode("append").parquet(landing)
+        stream = ingest.file_stream(spark, landing, spark.read.parquet(landing).schema)
+        ingest.merge_snapshots(stream, path, str(tmp_path / "ck"), ["id"], ["seen"], buckets=8).awaitTermination()
+        assert {r.id: r.v for r in ingest.latest_version(spark, path).collect()} == whole
+        touched = table.touched(spark.createDataFrame(rows, "id long, seen int, v string"))
+        held.append(table.manifest(n))
+        assert {b for b, v in held[n].items() if v == n} == set(touched)
+        assert n == 0 or all(held[n][b] == v for b, v in held[n - 1].items() if b not in touched)
+    left = {(int(p.parent.name.split("=")[1]), int(p.name.split("=")[1])) for p in (tmp_path / "t" / "data").glob("version=*/bucket=*")}
+    assert left == {(v, b) for n in (2, 3) for b, v in held[n].items()}  # the last two versions, nothing older
 
 
 def test_ingest_after_an_instant(spark, tmp_path):
