@@ -105,6 +105,8 @@ def score_tests(df: DataFrame, fit: LogisticFit, candidates: Sequence[str], labe
     that the fit's features already determine scores 0.
     """
     candidates = [c for c in candidates if c not in fit.features]
+    if not candidates:
+        return []
     fills = {c: q[0] or 0.0 for c, q in exact_quantiles_of(df, {c: [0.5] for c in candidates}).items()}
     rows = df.where(F.col(label).isNotNull())
     x = [_plain(c, fills[c]) for c in candidates]
