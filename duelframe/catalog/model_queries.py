@@ -340,6 +340,20 @@ def standardised_features(t):
     return out.select("o_orderkey", r(v[0]).alias("x"), r(v[1]).alias("y"))
 
 
+@query("principal_components", """
+WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS tight, abs(corr(l_quantity, l_tax)) AS loose FROM lineitem)
+SELECT CASE WHEN (1 + tight) / 2 >= 0.95 THEN 1 ELSE 2 END AS tight, CASE WHEN (1 + loose) / 2 >= 0.95 THEN 1 ELSE 2 END AS loose, CASE WHEN (1 + loose) / 2 >= 0.5 THEN 1 ELSE 2 END AS half FROM c""")
+def principal_components(t):
+    """How many components explain a share of variance; of two standardised columns the first explains (1 + |r|) / 2."""
+    from pyspark.ml import Pipeline
+
+    counts = []
+    for other, share in (("l_extendedprice", 0.95), ("l_tax", 0.95), ("l_tax", 0.5)):
+        rows = t.lineitem.select(F.col("l_quantity").alias("x"), F.col(other).alias("y"))
+        counts.append(learn.components_for(Pipeline(stages=learn.preprocessing(["x", "y"], impute=None)).fit(rows).transform(rows), "features", share))
+    return t.spark.createDataFrame([tuple(counts)], "tight int, loose int, half int")
+
+
 @query("bayes_scores", """
 WITH f AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS win, o_totalprice / 1000 AS x, (o_orderkey % 17)::DOUBLE AS y FROM orders),
 cut AS (SELECT CAST(max(o_orderdate) AS DATE) - 365 AS edge FROM f),

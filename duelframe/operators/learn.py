@@ -177,9 +177,12 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
 
 
 def train(df: DataFrame, features: Sequence[str], kind: str = "logistic", label: str = "win", pre: dict | None = None, **params) -> PipelineModel:
+    """Fit preprocessing and classifier; a ``pca`` below 1 is a share of variance, from which the number of components follows."""
     pre = dict(pre or {})
     if pre.get("impute", "median") == "median":
         pre.setdefault("fills", medians(df, model_features(features)))
+    if isinstance(pre.get("pca"), float):
+        pre["pca"] = components_for(Pipeline(stages=preprocessing(features, **pre | {"pca": None})).fit(df).transform(df), "features", pre["pca"])
     return Pipeline(stages=[*preprocessing(features, **pre), classifier(kind, label, **params)]).fit(df)
 
 

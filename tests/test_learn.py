@@ -183,3 +183,10 @@ def test_grid_over_time_scores_later_folds(rows):
             p = np.c_[np.ones(len(now)), (now[["x", "y"]].to_numpy() - x.mean(0)) / x.std(0)] @ w > 0
             got.append((p == (now.win.to_numpy() == 1)).mean())
         assert r["accuracy"] == pytest.approx(np.mean(got))
+
+
+def test_training_on_a_share_of_variance(rows):
+    full = rows.withColumns({"y": F.coalesce("y", F.lit(0.0)), "twin": F.col("x") * 2 + 1})
+    model = learn.train(full, ["x", "twin", "y", "z"], "logistic", pre={"pca": 0.95})
+    assert [s.getK() for s in model.stages if hasattr(s, "getK")] == [3]
+    assert learn.score(model, full).where("(p > 0.5) = (win = 1)").count() > 200
