@@ -20,15 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     its smallest neighbour. The number of rounds grows with the logarithm of the largest component. Each round is a
     written table, so neither lineage nor driver memory grows.
     """
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", give_back=False)
     seen = _checksum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        after = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "links", give_back=False)
         now = _checksum(after)
         discard(edges)
         edges = after

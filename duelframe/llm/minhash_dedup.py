@@ -17,6 +17,8 @@ from duelframe.llm.staging import TEXT_KEY, discard, is_empty, row_key, same_at_
 KEYS = ["doc_id", TEXT_KEY]
 FIRST, SECOND = U(0x51AFD7ED558CCD25), U(0xC4CEB9FE1A85EC53)
 PIECE = 1 << 18
+SLOTS = 1 << 20
+SALTS = [U(0x9E6C63D0676A9A99 * (2 * k + 1) & (2**64 - 1)) for k in range(6)]
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def _live(members: DataFrame, label: DataFrame | None, percent: int) -> DataFram
     if label is None:
         members = members.withColumn("component", F.col("class"))
     else:
-        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", F.coalesce("component", "class").alias("component"))
+        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", "earlier", F.coalesce("component", "class").alias("component"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
     members = members.join(least, "bucket").where(_possible(percent, F.col("n"), F.col("c"), F.col("least"), F.col("c"))).drop("least")
     parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -146,21 +148,24 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     A leader is tested against all members of other components and then leaves its bucket. All members outside the
     largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do, chosen by a hash of
     the turn, and with them a few members of the largest component, which tie many others to it at once.
+
+    A pair whose two members are known to meet in an earlier bucket as well is left to that one (``earlier`` of both
+    overlap), so near copies that share very many buckets are proposed once and not once a bucket.
     """
     dice = F.xxhash64("class", F.lit(turn))
     share = F.lit(float(budget)) / (F.col("size") * F.col("outside"))
     minor = F.col("component") != F.col("top")
     drawn = minor & ((F.pmod(dice, F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
-    who = F.struct("class", "component", "n", "c")
+    who = F.struct("class", "component", "n", "c", "earlier")
     ranked = F.struct(dice.alias("r"), who.alias("who"))
     first = [F.min(F.when(minor, ranked)).alias("m")] + [
         F.min(F.when(~minor, F.struct(F.xxhash64("class", F.lit(turn * 1000 + i)).alias("r"), who.alias("who")))).alias(f"t{i}") for i in range(3)]
     heads = live.groupBy("bucket").agg(F.collect_list(F.when(drawn, who)).alias("drawn"), *first)
     heads = heads.select("bucket", F.array_distinct(F.filter(F.concat("drawn", F.array("m.who", *[F.col(f"t{i}.who") for i in range(3)])), lambda h: h.isNotNull())).alias("heads"))
     both = live.join(heads, "bucket")
-    fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]))
+    fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]) & ~F.arrays_overlap(h["earlier"], "earlier"))
     pairs = both.select("class", F.explode(fits).alias("h")).select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "size")
+    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "earlier", "size")
 
 
 def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +175,45 @@ def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     both = members.join(heads, "bucket").where(F.col("class") != F.col("h.class"))
     pairs = both.where(_possible(percent, F.col("n"), F.col("c"), F.col("h.n"), F.col("h.c")))
     pairs = pairs.select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.select("bucket", "class", "n", "c", "size")
+    return pairs, both.select("bucket", "class", "n", "c", "earlier", "size")
+
+
+def _slots(batches):
+    """How often the items of a chunk fall into each slot."""
+    for batch in batches:
+        items = batch.column("items").flatten().to_numpy().view(U)
+        slot, times = np.unique((mix64(items) & U(SLOTS - 1)).astype(np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(times.astype(np.int64))], ["slot", "times"])
+
+
+def _prefixes(often: np.ndarray, percent: int, small: int):
+    """The rarest items of every set as buckets, with what both kinds of buckets need to know.
+
+    ``earlier`` of a bucket holds, for several permutations, the least of the items that stand before it in the set's
+    order: where two members agree in one, they share that item and meet in its bucket too.
+    """
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, column in zip(batch.column("class").to_pylist(), batch.column("items")):
+                items = column.values.to_numpy().view(U)
+                times = often[(mix64(items) & U(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((items, times))
+                length = len(items) - -(-len(items) * percent // 100) + 1
+                first, n = order[:length], np.full(length, len(items))
+                c = np.where(times[first] > small, np.count_nonzero(times > small), np.count_nonzero(times > 1))
+                before = [np.minimum.accumulate(mix64(items[first] ^ salt)) for salt in SALTS]
+                keep = times[first] > 1
+                place = np.arange(length)[keep]
+                earlier = np.array([np.append(U(0), x[:-1])[keep] for x in before]).T.reshape(-1)
+                counts = np.where(place > 0, len(SALTS), 0)
+                out.append((np.full(len(place), name), items[first][keep], n[keep], c[keep], earlier.reshape(-1, len(SALTS))[place > 0].reshape(-1), counts))
+            names, bucket, n, c, earlier, counts = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket.view(np.int64)), pa.array(names.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64)), list_column(pa.array(earlier.view(np.int64)), counts)],
+                ["bucket", "class", "n", "c", "earlier"])
+
+    return run
 
 
 def _prefix_members(heavy: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
@@ -179,16 +222,16 @@ def _prefix_members(heavy: DataFrame, sets: DataFrame, percent: int, small: int)
     A set of n items needs n - ceil(percent/100 * n) + 1 of them, counted from the rarest. What makes a bucket crowded is
     a common passage, and its items are not among the rarest. No pair at the threshold is lost.
 
-    Items that at most ``small`` sets have are the first of every set's list. Whoever shares one meets in its bucket, so a
-    bucket of a more frequent item need only find pairs that share frequent items alone: ``c`` counts those.
+    The order of items is that of counts in ``SLOTS`` slots, a table of fixed size that goes to all tasks: any order that
+    all sets share will do, and a slot's count is never less than an item's. Items of slots with at most ``small``
+    are the first of every set's list. Whoever shares one meets in its bucket, so a bucket of a more frequent item need only find pairs
+    that share frequent items alone: ``c`` counts those.
     """
-    items = sets.join(heavy.select("class").distinct(), "class", "left_semi").select("class", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("times"))
-    shared = items.join(often, "item").select("class", "n", F.struct("times", "item").alias("i")).groupBy("class", "n").agg(
-        F.array_sort(F.collect_list("i")).alias("i"), F.count_if(F.col("i.times") > 1).alias("c1"), F.count_if(F.col("i.times") > small).alias("c2"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    first = shared.select("class", "n", "c1", "c2", F.explode(F.slice("i", F.lit(1), length.cast("int"))).alias("i")).where("i.times > 1")
-    return first.select(F.col("i.item").alias("bucket"), "class", "n", F.when(F.col("i.times") > small, F.col("c2")).otherwise(F.col("c1")).alias("c"))
+    chosen = sets.join(heavy.select("class").distinct(), "class", "left_semi")
+    counted = chosen.mapInArrow(_slots, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    often = np.zeros(SLOTS, dtype=np.int32)
+    often[counted.column("slot").to_numpy()] = np.minimum(counted.column("times").to_numpy(), np.iinfo(np.int32).max)
+    return chosen.mapInArrow(_prefixes(often, percent, small), "bucket long, class long, n long, c long, earlier array<long>")
 
 
 def near_duplicates(
@@ -215,8 +258,9 @@ def near_duplicates(
     filled = sketch.where("n > 0")
     first = F.min(F.struct("doc_id", TEXT_KEY)).alias("first")
     classes = stage(filled.groupBy("n", "d1", "d2").agg(first).select("n", "d1", "d2", "first.*"), "set-classes")
-    heads = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), "n", F.posexplode("bands").alias("band", "hash")).distinct()
-    buckets = heads.select(F.xxhash64("band", "hash").alias("bucket"), "class", "n", F.col("n").alias("c"))
+    heads = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), "n", F.transform("bands", lambda h, i: F.xxhash64(i, h)).alias("bands")).distinct()
+    heads = heads.select("class", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
+    buckets = heads.select("bucket", "class", "n", F.col("n").alias("c"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stage(buckets.join(shared, "bucket", "left_semi"), "band-members")
     involved = classes.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*KEYS)
@@ -227,7 +271,10 @@ def near_duplicates(
             pairs, rest = _first_tests(members, percent)
             live = None
         else:
-            live = stage(_live(members, label, percent), "live-members")
+            live = stage(_live(members, label, percent), "live-members", give_back=False)
+            if is_empty(live):
+                discard(live, members)
+                break
             pairs, rest = _tests(live if turn > 1 else live.where(size <= small), percent, budget, turn)
             if turn == 1:
                 crowded = live.where(size > small).select(*rest.columns)
@@ -235,13 +282,13 @@ def near_duplicates(
                 rest = crowded if small * small <= budget else rest.unionByName(crowded)
         loaded = pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
-        linked = stage(loaded.mapInArrow(_verified(percent), "a long, b long"), "verified-links")
+        linked = stage(loaded.mapInArrow(_verified(percent), "a long, b long"), "verified-links", give_back=turn < 2)
         before, ended = members, label
         if label is None:
-            label = stage(components(linked), "components")
+            label = stage(components(linked), "components", give_back=False)
         elif not is_empty(linked):
-            label = stage(components(linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-        members = stage(_prefix_members(rest, sets, percent, small) if turn == 1 else rest.drop("size"), "untested-members")
+            label = stage(components(linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components", give_back=False)
+        members = stage(_prefix_members(rest, sets, percent, small) if turn == 1 else rest.drop("size"), "untested-members", give_back=turn < 2)
         discard(linked, before, *([live] if live is not None else []))
         if ended is not None and label is not ended:
             discard(ended)

@@ -17,19 +17,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
-def stage(df: DataFrame, what: str) -> DataFrame:
+def stage(df: DataFrame, what: str, give_back: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
     Lineage ends here, so a lost executor costs a re-read and not a recomputation. The shuffle files of the
-    finished job are given back at once.
+    finished job are given back at once, unless they are too small for that to matter.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/llm-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     schema = df.schema
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if give_back:
+        gc.collect()
+        spark._jvm.System.gc()
     table = spark.read.schema(schema).parquet(folder)
     table._stage_folder = folder
     return table
