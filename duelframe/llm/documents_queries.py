@@ -42,7 +42,8 @@ def op5(spark, folder):
 
 @register("op7_suffix_array_dedup")
 def op7(spark, folder):
-    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"), window=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    left = suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"), window=400)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 @register("op8_minhash_dedup")

@@ -214,8 +214,18 @@ def _places(raw: bytes, part: bytes) -> np.ndarray:
     return np.array([m.start() for m in re.finditer(re.escape(part), raw)], dtype=np.int64)
 
 
-def hit_counts(batch: pa.RecordBatch, matcher: Matcher, reach: int = 6) -> np.ndarray:
-    """Counts per document and feature. A hit is quoted after an odd number of quotation marks in its line or ``reach`` words after a reporting word."""
+def quoted_words(data: np.ndarray, raw: bytes, offsets: np.ndarray, starts: np.ndarray, row: np.ndarray, reporting: np.ndarray, at: np.ndarray, reach: int = 6) -> np.ndarray:
+    """Whether the words ``at`` are quoted: after an odd number of quotation marks in their line, or at most ``reach`` words after a reporting word of their text."""
+    marks = np.sort(np.concatenate([_places(raw, q.encode()) for q in QUOTES]))
+    breaks = np.append(-1, np.flatnonzero(data == 10))
+    line = np.maximum(offsets[row[at]], breaks[np.searchsorted(breaks, starts[at]) - 1] + 1)
+    inside = (np.searchsorted(marks, starts[at]) - np.searchsorted(marks, line)) % 2 == 1
+    said = np.append(0, np.cumsum(reporting))
+    return inside | (said[at] > said[np.maximum(np.searchsorted(row, row[at]), at - reach)])
+
+
+def hit_counts(batch: pa.RecordBatch, matcher: Matcher) -> np.ndarray:
+    """Counts of hits per document and feature."""
     data, offsets = text_bytes(batch)
     data = lower_ascii(data)
     starts, ends, row = spans(_WORD[data], offsets)
@@ -224,19 +234,9 @@ def hit_counts(batch: pa.RecordBatch, matcher: Matcher, reach: int = 6) -> np.nd
         return out
     kinds = matcher.kinds(data, starts, ends, span_hashes(data, starts, ends))
     hits = np.flatnonzero((kinds > 0) & (kinds < 5))
-    if not len(hits):
-        return out
-    raw = data.tobytes()
-    # quotation marks from the start of the hit's line to the hit
-    marks = np.sort(np.concatenate([_places(raw, q.encode()) for q in QUOTES]))
-    breaks = np.append(-1, np.flatnonzero(data == 10))
-    line = np.maximum(offsets[row[hits]], breaks[np.searchsorted(breaks, starts[hits]) - 1] + 1)
-    inside = (np.searchsorted(marks, starts[hits]) - np.searchsorted(marks, line)) % 2 == 1
-    for i, open_mark in zip(hits.tolist(), inside.tolist()):
-        r = row[i]
-        near = kinds[max(0, i - reach) : i][row[max(0, i - reach) : i] == r]
-        quoted = open_mark or bool((near == 5).any())
-        out[r, 2 * (kinds[i] - 1) + quoted] += 1
+    if len(hits):
+        quoted = quoted_words(data, data.tobytes(), offsets, starts, row, kinds == 5, hits)
+        np.add.at(out, (row[hits], 2 * (kinds[hits] - 1) + quoted), 1)
     return out
 
 
@@ -246,17 +246,23 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 
 def _terms():
-    """(term, stem, toxic) with document counts of words and stems in labelled texts, combined per chunk."""
+    """(term, stem, toxic) with document counts of words and stems in labelled texts, combined per chunk.
+
+    Quoted words are left out: who quotes a term is no evidence of what its own use means.
+    """
     def run(batches):
+        reports = {fold(w) for w in REPORTING}
         for batch in chunks(batches):
             data, offsets = text_bytes(batch)
             data = lower_ascii(data)
             starts, ends, row = spans(_WORD[data], offsets)
             toxic = batch.column("toxic").to_pylist()
             raw, count = data.tobytes(), {}
+            words = [fold(raw[s:e].decode("utf-8", "ignore")) for s, e in zip(starts.tolist(), ends.tolist())]
+            quoted = quoted_words(data, raw, offsets, starts, row, np.array([w in reports for w in words], dtype=bool), np.arange(len(words))).tolist() if words else []
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for r in range(batch.num_rows):
-                seen = {fold(raw[s:e].decode("utf-8", "ignore")) for s, e in zip(starts[edges[r] : edges[r + 1]].tolist(), ends[edges[r] : edges[r + 1]].tolist())}
+                seen = {words[i] for i in range(edges[r], edges[r + 1]) if not quoted[i]}
                 terms = {(w, False) for w in seen if 3 <= len(w) <= 40} | {(w[:n], True) for w in seen for n in STEM_LENGTHS if len(w) >= n}
                 for t in terms:
                     c = count.setdefault(t, [0, 0])
@@ -399,6 +405,10 @@ def learn(
 ) -> Model:
     """Fit lexicon and weights on at most ``sample`` labelled rows, taken by a hash of the id.
 
+    Bounds of the lexicon: at most ``entries`` terms; a term is a word of 3 to 40 letters or a stem of 4 to 8, used (not
+    quoted) in at least max(3, 0.4 %) of the toxic texts and with a share of toxic texts of at least ``precision`` among its
+    users, both classes weighed alike. Misspellings are looked for in words of any length.
+
     Equal texts count once. Labels other than 0 and 1 are ignored. Without both classes the lexicon stays empty and every
     score is the share of toxic labels.
     """

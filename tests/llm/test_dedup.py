@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import brute
-from duelframe.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from duelframe.llm import arrays, exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from duelframe.llm.deep_shallow import blind_trie, common_prefix, deep_shallow_sort
 
 SF = "/root/testdata/sf0.001"
@@ -147,6 +148,39 @@ def test_repeated_lines(spark, docs, length):
     assert found(got, ["n_lines", "n_removed", "kept_sha256"]) == plain_runs(rows, length)
 
 
+def test_repeated_rows_get_the_result_of_one(spark, docs):
+    """Rows that repeat id and text change nothing for the others and all get the same result."""
+    rows = [r for r in docs if r[0] in (1, 3, 4, 5, 6, 8, 13, 16, 18, 19)]
+    calls = [
+        (substring_dedup.remove_repeated_windows, ["n_words", "n_removed", "kept_sha256"]),
+        (minhash_dedup.near_duplicates, ["n_shingles", "component_id"]), (lambda d: line_dedup.remove_repeated_runs(d, min_lines=2), ["n_lines", "n_removed", "kept_sha256"]),
+    ]
+    for call, columns in calls:
+        once = call(frame(spark, rows))
+        twice = call(frame(spark, rows + rows[::2]))
+        assert found(once, columns) == found(twice, columns) and twice.count() == len(rows) + len(rows[::2])
+    # for bytes every row is an occurrence, so a repeated text of 400 bytes or more goes whole
+    left = suffix_dedup.remove_repeated_bytes(frame(spark, rows + rows[::2])).collect()
+    again = {i for i, t in rows[::2] if t and len(t.encode()) >= 400}
+    assert again and all(r.n_removed == r.n_bytes for r in left if r.doc_id in again)
+
+
+def test_texts_beyond_a_section(monkeypatch):
+    """Long texts are worked off in sections; where these end changes nothing."""
+    r = np.random.default_rng(3)
+    data = r.integers(97, 101, 6000).astype(np.uint8)
+    starts = np.sort(r.choice(5900, 800, replace=False))
+    ends = np.minimum(starts + r.integers(1, 60, 800), np.append(starts[1:], 6000))
+    value, edges = np.sort(r.integers(0, 1 << 60, 900).astype(np.uint64)), np.array([0, 3, 3, 500, 900])
+    g = arrays.mix64(r.integers(0, 1 << 60, 3000).astype(np.uint64))
+    whole = arrays.span_hashes(data, starts, ends), arrays.window_minimum(g, 9), minhash_dedup.signatures(value, edges, 12)
+    monkeypatch.setattr(arrays, "SECTION", 70)
+    monkeypatch.setattr(arrays, "PLACE_BITS", 7)
+    monkeypatch.setattr(minhash_dedup, "PIECE", 11)
+    parts = arrays.span_hashes(data, starts, ends), arrays.window_minimum(g, 9), minhash_dedup.signatures(value, edges, 12)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
 def test_null_ids_take_no_part(spark):
     text = prose(40, 120)
     df = frame(spark, [(None, text), (None, text), (3, text)])

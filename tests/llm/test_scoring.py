@@ -1,10 +1,12 @@
 """Tokens, decontamination, toxicity, quality and revisits."""
 
+import bisect
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -340,13 +342,76 @@ def test_lazy_cover_agrees_with_the_plain_one():
             assert toxicity.choose_entries(ordered, 2, most) == plain(sets, 2, most)
 
 
+def ranked_above(rows):
+    """Share of (toxic, clean) pairs in which the toxic text scores higher; ties count half."""
+    bad, good = [r.score for r in rows if r.toxic], sorted(r.score for r in rows if not r.toxic)
+    return sum(bisect.bisect_left(good, s) + 0.5 * (bisect.bisect_right(good, s) - bisect.bisect_left(good, s)) for s in bad) / (len(bad) * len(good))
+
+
 def test_toxicity_query_on_held_out_rows(spark):
-    rows = entry.queries()["op10_toxicity"](spark, MID).join(spark.read.parquet(f"{MID}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
+    """A constant answer fails every one of these: toxic texts found, found texts toxic, and toxic above clean."""
+    folder = "/root/testdata/sf0.1"
+    rows = entry.queries()["op10_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+    found = [r for r in rows if r.predicted]
+    assert sum(r.toxic for r in found) >= 0.85 * len(found) and sum(r.toxic for r in found) >= 0.85 * sum(r.toxic for r in rows)
+    assert ranked_above(rows) >= 0.9
+
+
+def test_misspelled_and_quoted_terms_move_the_score(spark):
+    """Some toxic texts hold misspellings only, and clean ones quote the same terms: both kinds of hits get weights of their own."""
+    r = random.Random(12)
+    plain = lambda n: " ".join("".join(r.choice(["ka", "lo", "mi", "nu", "re", "so"]) for _ in range(r.randint(2, 4))) for _ in range(n))
+    terms = ["worthless", "disgusting", "pathetic", "miserable"]
+
+    def misspelled(w):
+        i = r.randrange(1, len(w) - 2)
+        return w[:i] + r.choice([w[i + 1] + w[i] + w[i + 2 :], w[i + 1 :], "x" + w[i:]])
+
+    docs = []
+    for i in range(600):
+        term = r.choice(terms)
+        kind = i % 6
+        body = [plain(30), term, plain(20)] if kind == 0 else [plain(30), misspelled(term), plain(20)] if kind == 1 else [plain(20), f'the word "{term}" is old', plain(20)] if kind == 2 else [plain(60)]
+        docs.append((i, " ".join(body), int(kind < 2)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table.select("doc_id", "text"), table.where("doc_id % 5 <> 0").select("doc_id", "toxic"))
+    weight = dict(zip(toxicity.FEATURES, model.weights))
+    assert set(terms) <= set(model.words) | {w for w in terms for s in model.stems if w.startswith(s)}
+    assert min(weight["exact_own"] + weight["stem_own"], weight["near_own"] + weight["far_own"]) > 1.0
+    assert weight["exact_quoted"] + weight["stem_quoted"] < 0.2 * (weight["exact_own"] + weight["stem_own"])
+    scored = {x.doc_id: x.score for x in toxicity.score(table, model).collect()}
+    wrong = [i for i, _, toxic in docs if i % 5 == 0 and (scored[i] >= 0.5) != bool(toxic)]
+    assert len(wrong) <= 12  # of 120; without the misspelled hits it would be 20, and always answering clean 40
 
 
 # ---------------------------------------------------------------- quality
 
+def test_two_views_together_are_no_worse_than_either_alone(spark):
+    """Few labels, junk that only the words show, and junk that only its source shows."""
+    r = random.Random(21)
+    rows, labels = [], []
+    for i in range(1500):
+        good = r.random() < 0.5
+        words = ["".join(r.choice(["ka", "lo", "mi", "nu", "re", "so"]) for _ in range(r.randint(2, 4))) for _ in range(r.randint(30, 60))]
+        if not good and r.random() < 0.6:
+            words = [w + "***" if r.random() < 0.4 else w for w in words]
+        source = f"s{r.randrange(4) if (r.random() < 0.85) == good else 4 + r.randrange(4)}"
+        rows.append((i, " ".join(words), "en", source, sum(map(len, words)), float(good)))
+        if i % 6 == 0:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, good double")
+    got = cotrain.quality_scores(docs.drop("good"), spark.createDataFrame(labels, "doc_id long, quality int")).join(docs.select("doc_id", "good"), "doc_id").toPandas()
+    free = got[got.doc_id % 6 != 0]
+
+    def auc(column):
+        bad, fine = free[free.good == 0][column].to_numpy(), np.sort(free[free.good == 1][column].to_numpy())
+        low, high = np.searchsorted(fine, bad, "left"), np.searchsorted(fine, bad, "right")
+        return 1 - (low + (high - low) / 2).mean() / len(fine)
+
+    assert auc("text_score") > 0.7 and auc("meta_score") > 0.6
+    assert auc("score") > max(auc("text_score"), auc("meta_score"))
+
+
 def test_quality_query(spark):
     rows = entry.queries()["op6_quality_cotraining"](spark, MID)
     assert rows.count() == spark.read.parquet(f"{MID}/documents.parquet").count()
