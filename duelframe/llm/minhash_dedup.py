@@ -6,6 +6,8 @@ shingles, the other one, shifted circularly by k, ranks them. Two permutations g
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +20,7 @@ KEYS = ["doc_id", TEXT_KEY]
 FIRST, SECOND = U(0x51AFD7ED558CCD25), U(0xC4CEB9FE1A85EC53)
 PIECE = 1 << 18
 SLOTS = 1 << 20
+PARITY = 512
 SALTS = [U(0x9E6C63D0676A9A99 * (2 * k + 1) & (2**64 - 1)) for k in range(6)]
 
 
@@ -66,6 +69,22 @@ def signatures(value: np.ndarray, edges: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def parity_bits(value: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For every set 512 bits, each the parity of the items that fall on it, as eight numbers.
+
+    Two sets differ in at least as many items as their bits differ in places.
+    """
+    rows = len(edges) - 1
+    out = np.zeros((rows, PARITY // 64), dtype=np.int64)
+    for a in range(0, rows, 1024):  # blocks bound the counts that are held at once
+        b = min(rows, a + 1024)
+        part = value[edges[a] : edges[b]]
+        at = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])) * PARITY + (mix64(part ^ SALTS[0]) & U(PARITY - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=(b - a) * PARITY) & 1).astype(np.uint8).reshape(b - a, PARITY)
+        out[a:b] = np.packbits(odd, axis=1).view(np.int64)
+    return out
+
+
 def _sketches(width: int, bands: int, rows: int):
     """Set size, a 128-bit digest of the set and the band hashes of each document."""
     def run(batches):
@@ -82,8 +101,8 @@ def _sketches(width: int, bands: int, rows: int):
                 band = mix64(band + sig[:, r::rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column(TEXT_KEY), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
-                 list_column(pa.array(band.view(np.int64).ravel()), np.full(len(n), bands))],
-                [*KEYS, "n", "d1", "d2", "bands"],
+                 list_column(pa.array(band.view(np.int64).ravel()), np.full(len(n), bands)), list_column(pa.array(parity_bits(value, edges).ravel()), np.full(len(n), PARITY // 64))],
+                [*KEYS, "n", "d1", "d2", "bands", "bits"],
             )
 
     return run
@@ -125,6 +144,13 @@ def _possible(percent: int, n1, c1, n2, c2) -> Column:
     return most * 100 >= (n1 + n2 - most) * percent
 
 
+def _alike(percent: int, n1, bits1, n2, bits2) -> Column:
+    """Whether two sets can reach the threshold, given in how many parity bits they differ: that many items at least are in one set only."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range(PARITY // 64)])
+    twice = n1 + n2 - apart  # twice the largest intersection
+    return twice * 100 >= (2 * (n1 + n2) - twice) * percent
+
+
 def _live(members: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
     """Members of buckets that are not one component yet and that may have a partner there.
 
@@ -134,7 +160,7 @@ def _live(members: DataFrame, label: DataFrame | None, percent: int) -> DataFram
     if label is None:
         members = members.withColumn("component", F.col("class"))
     else:
-        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", "earlier", F.coalesce("component", "class").alias("component"))
+        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", "bits", "earlier", F.coalesce("component", "class").alias("component"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
     members = members.join(least, "bucket").where(_possible(percent, F.col("n"), F.col("c"), F.col("least"), F.col("c"))).drop("least")
     parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -156,26 +182,26 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     share = F.lit(float(budget)) / (F.col("size") * F.col("outside"))
     minor = F.col("component") != F.col("top")
     drawn = minor & ((F.pmod(dice, F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
-    who = F.struct("class", "component", "n", "c", "earlier")
+    who = F.struct("class", "component", "n", "c", "bits", "earlier")
     ranked = F.struct(dice.alias("r"), who.alias("who"))
     first = [F.min(F.when(minor, ranked)).alias("m")] + [
         F.min(F.when(~minor, F.struct(F.xxhash64("class", F.lit(turn * 1000 + i)).alias("r"), who.alias("who")))).alias(f"t{i}") for i in range(3)]
     heads = live.groupBy("bucket").agg(F.collect_list(F.when(drawn, who)).alias("drawn"), *first)
     heads = heads.select("bucket", F.array_distinct(F.filter(F.concat("drawn", F.array("m.who", *[F.col(f"t{i}.who") for i in range(3)])), lambda h: h.isNotNull())).alias("heads"))
     both = live.join(heads, "bucket")
-    fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]) & ~F.arrays_overlap(h["earlier"], "earlier"))
+    fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]) & _alike(percent, F.col("n"), F.col("bits"), h["n"], h["bits"]) & ~F.arrays_overlap(h["earlier"], "earlier"))
     pairs = both.select("class", F.explode(fits).alias("h")).select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "earlier", "size")
+    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "bits", "earlier", "size")
 
 
 def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every member against one leader of its bucket, the same in all buckets that hold it."""
-    ranked = F.struct(F.xxhash64("class").alias("r"), "class", "n", "c")
+    ranked = F.struct(F.xxhash64("class").alias("r"), "class", "n", "c", "bits")
     heads = members.groupBy("bucket").agg(F.min(ranked).alias("h"), F.count(F.lit(1)).alias("size"))
     both = members.join(heads, "bucket").where(F.col("class") != F.col("h.class"))
-    pairs = both.where(_possible(percent, F.col("n"), F.col("c"), F.col("h.n"), F.col("h.c")))
+    pairs = both.where(_possible(percent, F.col("n"), F.col("c"), F.col("h.n"), F.col("h.c")) & _alike(percent, F.col("n"), F.col("bits"), F.col("h.n"), F.col("h.bits")))
     pairs = pairs.select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.select("bucket", "class", "n", "c", "earlier", "size")
+    return pairs, both.select("bucket", "class", "n", "c", "bits", "earlier", "size")
 
 
 def _slots(batches):
@@ -205,13 +231,15 @@ def _prefixes(often: np.ndarray, percent: int, small: int):
                 before = [np.minimum.accumulate(mix64(items[first] ^ salt)) for salt in SALTS]
                 keep = times[first] > 1
                 place = np.arange(length)[keep]
+                bits = parity_bits(items, np.array([0, len(items)]))
                 earlier = np.array([np.append(U(0), x[:-1])[keep] for x in before]).T.reshape(-1)
                 counts = np.where(place > 0, len(SALTS), 0)
-                out.append((np.full(len(place), name), items[first][keep], n[keep], c[keep], earlier.reshape(-1, len(SALTS))[place > 0].reshape(-1), counts))
-            names, bucket, n, c, earlier, counts = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 6
+                out.append((np.full(len(place), name), items[first][keep], n[keep], c[keep], np.tile(bits[0], len(place)), earlier.reshape(-1, len(SALTS))[place > 0].reshape(-1), counts))
+            names, bucket, n, c, bits, earlier, counts = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64)), pa.array(names.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64)), list_column(pa.array(earlier.view(np.int64)), counts)],
-                ["bucket", "class", "n", "c", "earlier"])
+                [pa.array(bucket.view(np.int64)), pa.array(names.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64)), list_column(pa.array(bits), np.full(len(bucket), PARITY // 64)),
+                 list_column(pa.array(earlier.view(np.int64)), counts)],
+                ["bucket", "class", "n", "c", "bits", "earlier"])
 
     return run
 
@@ -231,7 +259,7 @@ def _prefix_members(heavy: DataFrame, sets: DataFrame, percent: int, small: int)
     counted = chosen.mapInArrow(_slots, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
     often = np.zeros(SLOTS, dtype=np.int32)
     often[counted.column("slot").to_numpy()] = np.minimum(counted.column("times").to_numpy(), np.iinfo(np.int32).max)
-    return chosen.mapInArrow(_prefixes(often, percent, small), "bucket long, class long, n long, c long, earlier array<long>")
+    return chosen.mapInArrow(_prefixes(often, percent, small), "bucket long, class long, n long, c long, bits array<long>, earlier array<long>")
 
 
 def near_duplicates(
@@ -254,15 +282,17 @@ def near_duplicates(
     """
     base = text_rows(docs, id_col, text_col)
     key_type = f"doc_id long, {TEXT_KEY} long"
-    sketch = stage(base.mapInArrow(_sketches(width, bands, rows), f"{key_type}, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    sketch = stage(base.mapInArrow(_sketches(width, bands, rows), f"{key_type}, n long, d1 long, d2 long, bands array<long>, bits array<long>"), "sketches")
     filled = sketch.where("n > 0")
     first = F.min(F.struct("doc_id", TEXT_KEY)).alias("first")
     classes = stage(filled.groupBy("n", "d1", "d2").agg(first).select("n", "d1", "d2", "first.*"), "set-classes")
-    heads = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), "n", F.transform("bands", lambda h, i: F.xxhash64(i, h)).alias("bands")).distinct()
-    heads = heads.select("class", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
-    buckets = heads.select("bucket", "class", "n", F.col("n").alias("c"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
+    first_of = filled.join(classes.select(*KEYS), KEYS, "left_semi").select(F.col("doc_id").alias("class"), "n", F.transform("bands", lambda h, i: F.xxhash64(i, h)).alias("bands"), "bits").distinct()
+    heads = stage(first_of.withColumn("set", F.xxhash64("n", "bands")), "band-heads")  # an id may name several sets
+    buckets = heads.select("class", "set", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    members = stage(buckets.join(shared, "bucket", "left_semi"), "band-members")
+    met = buckets.join(shared, "bucket", "left_semi").join(heads, ["class", "set"])
+    members = stage(met.select("bucket", "class", "n", F.col("n").alias("c"), "bits", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")), "band-members")
+    discard(heads)
     involved = classes.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*KEYS)
     sets = stage(base.join(same_at_every_size(involved), KEYS).select(F.col("doc_id").alias("class"), "text").mapInArrow(_sets(width), "class long, items array<long>"), "shingle-sets")
     label, turn, size = None, 0, F.col("size")
