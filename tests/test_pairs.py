@@ -59,6 +59,19 @@ def test_market_match_prefers_the_exact_pair(spark):
         assert got == {1: 10, 2: 12}
 
 
+def test_exploded_names_are_never_broadcast(spark, capsys):
+    """Days, pieces and places multiply rows behind the planner's back, so small tables must not plan a broadcast either."""
+    d = dt.date(2024, 1, 5)
+    m = spark.createDataFrame([(1, d, "jonsmith", "bobjones")], "m int, day date, fa string, fb string")
+    e = spark.createDataFrame([(10, d, "bobjones", "jonsmith")], "e int, eday date, home string, away string")
+    names = dict(day="day", a="fa", b="fb", event_day="eday", home="home", away="away", event_id="e")
+    for found in (pairs.match_market_events(m, e, match_id="m", **names), pairs.market_event_candidates(m, e, **names)):
+        assert [r.e for r in found.collect()] == [10]
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_contains_join_paths_agree(spark):
     texts = spark.createDataFrame([("Women's Flyweight Bout",), ("Light Heavyweight Bout",), ("Catch Weight",), ("Flyweight Title Bout",)], "t string")
     phrases = spark.createDataFrame([("Flyweight",), ("Women's Flyweight",), ("Heavyweight",), ("Light Heavyweight",)], "p string")
