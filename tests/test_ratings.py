@@ -159,3 +159,18 @@ def test_continuing_from_state_equals_one_run(spark, matches):
     assert {**as_dict(first), **as_dict(second)} == whole
     key = lambda df: {(r.league, r.entity): (round(r.r, 6), r.n, r.streak, r.day) for r in df.collect()}
     assert key(new_state) == key(R.current_state(R.rate(inputs, "time_finish")))
+
+
+def test_stored_states_travel_with_the_matches(spark, matches):
+    """States come as rows of their group, so that continuing joins nothing; any number of Arrow batches gives the same ratings."""
+    inputs = prepared(matches, "time_finish")
+    early, late = inputs.where("match_id < 90"), inputs.where("match_id >= 90")
+    whole = as_dict(R.rate(inputs, "time_finish", mode="fold"))
+    state = R.current_state(R.rate(early, "time_finish", mode="fold")).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rated = R.fold(late, RATINGS["time_finish"], ["league"], state)
+        assert as_dict(rated) == {k: v for k, v in whole.items() if k >= 90}
+        assert as_dict(R.rate(inputs, "time_finish", mode="fold")) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
