@@ -24,6 +24,7 @@ BREAKS = BLOCKS | ENDS.keys() | {"br", "table"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
+AT_ONCE = 4 << 20  # characters of text, and 64 for every element, that a task turns into one Arrow batch
 NODES = "node int, parent int, depth int, tag string, attributes map<string,string>, text string, cell int"
 
 
@@ -75,21 +76,38 @@ def nodes_of(page: str) -> list[tuple]:
     return [(n, parent, depth, tag, attributes, " ".join(html.unescape("".join(parts)).split()), cell) for n, parent, depth, tag, attributes, parts, cell in out]
 
 
+def node_batches(key: Sequence[str]):
+    """Arrow batches of the key and the source to Arrow batches of elements, each of some pages only."""
+    names = [*key, *[c.split()[0] for c in NODES.split(", ")]]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+
+    def batch_of(keys: list[pa.Array], of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        values = [pa.array([list(v.items()) for v in c] if t == types[4] else c, t) for c, t in zip(zip(*rows), types)]
+        return pa.RecordBatch.from_arrays([*[k.take(pa.array(of, pa.int64())) for k in keys], *values], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sources = [batch.column(i) for i in range(len(key))], batch.column(len(key))
+            of, rows, size = [], [], 0
+            for i in range(batch.num_rows):
+                found = nodes_of(sources[i].as_py() or "")
+                of += [i] * len(found)
+                rows += found
+                size += sum(64 + len(n[5]) for n in found)
+                if size >= AT_ONCE:
+                    yield batch_of(keys, of, rows)
+                    of, rows, size = [], [], 0
+            if rows:
+                yield batch_of(keys, of, rows)
+
+    return run
+
+
 def page_nodes(pages: DataFrame, key: Sequence[str], source: str = "html") -> DataFrame:
     """One row per element of every page, node 0 for the page itself; a null page has node 0 only."""
     key = list(key)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [nodes_of(page or "") for page in batch.column(len(key)).to_pylist()]
-            of = pa.array([i for i, nodes in enumerate(found) for _ in nodes], pa.int64())
-            columns = list(zip(*(row for nodes in found for row in nodes))) or [[]] * 7
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
-            values = [pa.array([list(v.items()) for v in c] if t == types[4] else list(c), t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(of) for i in range(len(key))], *values], [*key, *[c.split()[0] for c in NODES.split(", ")]])
-
-    return pages.select(*key, source).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", " + NODES)
+    return pages.select(*key, source).mapInArrow(node_batches(key), ", ".join(f"{k} {kinds[k]}" for k in key) + ", " + NODES)
 
 
 def node_links(nodes: DataFrame, key: Sequence[str]) -> DataFrame:

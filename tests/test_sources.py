@@ -84,6 +84,20 @@ def test_nodes_of_nested_and_broken_pages(spark):
     assert pn.page_nodes(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_nodes_leave_a_task_in_small_batches(spark, monkeypatch):
+    """What a task holds follows the size of some pages and not their number in an Arrow batch."""
+    pages = [(i, f"<ul>{'<li><a href=x>y</a></li>' * (i % 5)}</ul>" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(pages, "id int, html string").coalesce(1)
+    want = sorted((i, n[0], n[3], n[5]) for i, page in pages for n in pn.nodes_of(page or ""))
+    monkeypatch.setattr(pn, "AT_ONCE", 300)
+    run = pn.node_batches(["id"])
+    table = pn.pa.table({"id": [p[0] for p in pages], "html": [p[1] for p in pages]})
+    got = list(run(iter(table.to_batches())))
+    assert len(got) > 10 and max(b.num_rows for b in got) < 20
+    assert sorted((r["id"], r["node"], r["tag"], r["text"]) for b in got for r in b.to_pylist()) == want
+    assert sorted(map(tuple, pn.page_nodes(df, ["id"]).select("id", "node", "tag", "text").collect())) == want
+
+
 def test_irregular_pages_go_through_batches(spark):
     page = spark.createDataFrame([(1, "a|b"), (2, "c")], "page_id int, html string")
     got = pg.irregular_items(page, "page_id int, item string", lambda key, html: [(key, x) for x in html.split("|")], ["page_id"])
@@ -109,6 +123,20 @@ def test_late_matches_change_only_what_follows_from_them(spark, tmp_path):
     assert {r.match_id for r in sr.affected(stored, spark.createDataFrame(late[:1], cols)).collect()} == {2}
 
 
+def test_long_chains_of_late_matches_take_one_pass(spark):
+    """What follows from a match is found in as many jobs for a chain of fifty as for a single meeting; unknown sides pass nothing on."""
+    cols = "match_id int, league string, ts date, a string, b string"
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    chain = [(n, "l", day(n), f"p{n}", f"p{n + 1}") for n in range(1, 51)]
+    stored = spark.createDataFrame([*chain, (90, "l", day(90), "p50", None), (91, "l", day(91), "q", None), (92, "m", day(92), "p9", "p8"), (93, None, day(93), "p9", "p8"), (94, "l", day(94), None, None)], cols)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.match_id for r in sr.affected(stored, spark.createDataFrame([(0, "l", day(0), "p0", "p1")], cols)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {*range(1, 51), 90}
+    assert jobs < 20
+
+
 def test_late_rows_and_repeats_over_batches(spark, tmp_path):
     day = lambda n: dt.datetime(2024, 1, n)
     schema = "id int, ts timestamp, v string"
