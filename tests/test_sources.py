@@ -180,6 +180,24 @@ def test_merging_rewrites_only_touched_buckets(spark, tmp_path):
     assert left == {(v, b) for n in (2, 3) for b, v in held[n].items()}  # the last two versions, nothing older
 
 
+def test_new_keys_are_added_beside_the_held_ones(spark, tmp_path, monkeypatch):
+    """Matches in time order are written once; a bucket of many versions is written as one."""
+    cols = "match_id int, league string, ts date, a string, b string, score double"
+    base, landing = str(tmp_path), str(tmp_path / "landing")
+    monkeypatch.setattr("duelframe.streaming.buckets.MOST", 3)
+    for n in range(5):
+        rows = [(10 * n + i, "l", dt.date(2020, 1 + n, 1 + i), f"p{i % 3}", "q", 1.0) for i in range(4)]
+        R.rating_inputs(spark.createDataFrame(rows, cols), "linear").write.mode("append").parquet(landing)
+        sr.rate_stream(ingest.file_stream(spark, landing, spark.read.parquet(landing).schema), "linear", base, buckets=1).awaitTermination()
+        written = spark.read.parquet(f"{base}/matches/data/version={n}").count()
+        assert written == (4 if n < 3 else 16 if n == 3 else 4)
+        got = sr.rated_so_far(spark, base)
+        assert sorted(r.match_id for r in got.collect()) == sorted(10 * m + i for m in range(n + 1) for i in range(4))
+    whole = R.rate(spark.read.parquet(landing), "linear")
+    plain = lambda df: {r.match_id: tuple(round(r[c], 9) for c in R.OUT) for r in df.collect()}
+    assert plain(got) == plain(whole)
+
+
 def test_ingest_after_an_instant(spark, tmp_path):
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2023, 1, 1))], "id int, ts timestamp")
     rows.write.parquet(str(tmp_path / "in"))
