@@ -72,13 +72,14 @@ def roi_picks(model: DataFrame, market: DataFrame, *, keys: Sequence[str] = ("DA
               side: str = "FIGHTER", stake: float = 100.0, threshold: float = 2.0) -> DataFrame:
     """Join model and market, drop outliers, back the model's favourite of every match and price the bet.
 
-    The joined table is checkpointed: the bounds and the picks both read it.
+    The joined table is checkpointed: the bounds and the picks both read it. So are the picks, which every running total
+    counts, cuts and reads.
     """
     joined = model.select(*keys, odds).join(market.select(*keys, win, *books), list(keys))
     priced = cut(joined.withColumn("avg_market_odds", row_mean(list(books))))
     kept = filter_market(priced, "avg_market_odds", books, "iqr", threshold)
     picks = favourites(kept, match, odds, [side]).withColumn("avg_market_odds", clamp_odds("avg_market_odds"))
-    return picks.withColumns({"stake": F.lit(float(stake)), "profit": flat_profit(win, "avg_market_odds", stake)})
+    return cut(picks.withColumns({"stake": F.lit(float(stake)), "profit": flat_profit(win, "avg_market_odds", stake)}))
 
 
 def cumulative_roi(picks: DataFrame, order: Sequence[str], **kw) -> DataFrame:
@@ -89,7 +90,7 @@ def cumulative_roi(picks: DataFrame, order: Sequence[str], **kw) -> DataFrame:
 
 def roi_volatility(cumulative: DataFrame, order: Sequence[str], roi: str = "cum_roi", **kw) -> DataFrame:
     """Final return and mean absolute change of the running return."""
-    steps = first_difference(cumulative, [], list(order), roi, "_step", **kw)
+    steps = first_difference(cut(cumulative.select(*order, roi)), [], list(order), roi, "_step", **kw)
     n = F.count(F.lit(1))
     return steps.agg(
         F.max_by(roi, F.struct(*order)).alias("final_roi"),
