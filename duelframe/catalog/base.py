@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from duelframe.plans.sizing import Folder
+
 
 class Tables:
     """Lazy access to the parquet tables of one folder."""
@@ -135,10 +137,24 @@ matches AS (
 """
 
 
+FLAGS = ["ko", "kod", "subw", "subwd", "udec", "udecd", "sdec", "sdecd", "mdec", "mdecd"]
+
+
 def sides(t: Tables) -> DataFrame:
     """One row per match and side with integer counting stats, the input of the feature families."""
-    m = matches(t)
-    flags = ["ko", "kod", "subw", "subwd", "udec", "udecd", "sdec", "sdecd", "mdec", "mdecd"]
+    return _both_sides(matches(t))
+
+
+def written_sides(t: Tables) -> DataFrame:
+    """``sides`` of matches that are written once, for features that count the entities' rows before they use them."""
+    m, store = matches(t).select(
+        "match_id", "ts", "a", "b", "score", "round", "fought_class", "landed", "opp_landed", "tdavg", "opp_tdavg", "subavg", "opp_subavg",
+        "natural_class", "opp_natural_class", *FLAGS), Folder(t.spark, "matches")
+    store.write(m, "rows")
+    return _both_sides(store.read("rows", m.schema))
+
+
+def _both_sides(m: DataFrame) -> DataFrame:
     opposite = {"ko": "kod", "subw": "subwd", "udec": "udecd", "sdec": "sdecd", "mdec": "mdecd"}
     opposite.update({v: k for k, v in opposite.items()})
 
@@ -151,7 +167,7 @@ def sides(t: Tables) -> DataFrame:
             F.col(f"{other}tdavg").cast("int").alias("tdabs"), F.lit(8).alias("tdattfromopp"),
             F.col(f"{own}subavg").cast("int").alias("subatt"),
             F.col(f"{own}natural_class").alias("kd"), F.col(f"{other}natural_class").alias("kdd"),
-            *[F.col(fl(f)).alias(f) for f in flags],
+            *[F.col(fl(f)).alias(f) for f in FLAGS],
         )
 
     rows = m.select("match_id", "ts", (F.col("round") * 5 - 5).cast("int").alias("fight_time_minutes"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, sides
+from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, written_sides
 from duelframe.operators import clean, pairs, profile, sequence
 from duelframe.plans.sizing import oversized_groups
 from duelframe.operators.history import FRAMES, MATCH_METRICS, Metric, feature_names, history_features
@@ -134,7 +134,7 @@ SIDE_METRICS = tuple(m for m in MATCH_METRICS if {m.num, m.den} <= SIDE_COLUMNS)
 @query("match_history_features", "WITH " + SIDES_SQL + _features_sql(SIDE_METRICS, "sides", "entity, match_id, ts", "entity", "ts, match_id"))
 def match_history_features(t):
     """The full feature families over both sides of every match."""
-    feats = history_features(sides(t), "entity", ["ts", "match_id"], SIDE_METRICS)
+    feats = history_features(written_sides(t), "entity", ["ts", "match_id"], SIDE_METRICS)
     return _rounded_features(feats, SIDE_METRICS, ["entity", "match_id", "ts"])
 
 

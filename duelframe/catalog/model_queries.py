@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, sides
+from duelframe.catalog.base import MATCHES_SQL, SIDES_SQL, matches, query, r, rounded, sides, written_sides
 from duelframe.catalog.history_queries import _features_sql
 from duelframe.functions.odds import flat_profit
 from duelframe.operators import evaluate, learn, newton, pairs, quality
@@ -130,7 +130,7 @@ UNION ALL SELECT 'precomp_sigstr_pm', count(*), count(*) FILTER (WHERE abs(preco
 UNION ALL SELECT 'precomp_boutcount', count(*), count(*) FILTER (WHERE abs(precomp_boutcount - q.n) > 0.01), avg(CASE WHEN abs(precomp_boutcount - q.n) <= 0.01 THEN 1.0::DOUBLE ELSE 0 END) FROM l WHERE q IS NOT NULL""")
 def feature_continuity(t):
     """pre(n+1) = post(n) holds for every feature by construction."""
-    f = history_features(sides(t), "entity", ["ts", "match_id"], CONT_METRICS)
+    f = history_features(written_sides(t), "entity", ["ts", "match_id"], CONT_METRICS)
     names = {f"precomp_{n}": f"postcomp_{n}" for n in ("win", "sigstr_pm", "boutcount")}
     return quality.continuity_report(quality.continuity_rows(f, "entity", ["ts", "match_id"], names))
 
@@ -155,7 +155,7 @@ MODEL_METRICS = (Metric("winavg", "avg", "win"), Metric("sigstr_pm", "rate", "si
 
 
 def model_rows(t):
-    f = history_features(sides(t), "entity", ["ts", "match_id"], MODEL_METRICS)
+    f = history_features(written_sides(t), "entity", ["ts", "match_id"], MODEL_METRICS)
     pre = [c for c in f.columns if c.startswith("precomp_")]
     f = rounded(f.select("match_id", "ts", "entity", "opp_entity", "win", *pre), *[c for c in pre if "boutcount" not in c])
     left = f.where(F.col("entity") < F.col("opp_entity")).drop("opp_entity")
@@ -304,7 +304,7 @@ SELECT a, b, r4((p + 1 - q) / 2) AS p FROM two_way""")
 def matchup_scores(t):
     """Bulk scoring of one pairing per supplier in both orientations; the two probabilities add up to 1."""
     model = newton.fit_logistic(model_rows(t), MODEL_FEATURES, "win")
-    f = history_features(sides(t), "entity", ["ts", "match_id"], MATCHUP_METRICS)
+    f = history_features(written_sides(t), "entity", ["ts", "match_id"], MATCHUP_METRICS)
     named = rounded(f.select("entity", "ts", "match_id", *[F.col(f"postcomp_{n}").alias(f"precomp_{n}") for n in BARE]), *[f"precomp_{n}" for n in BARE])
     latest = latest_row(named, "entity", ["ts", "match_id"]).drop("ts", "match_id")
     here = t.supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
@@ -319,7 +319,7 @@ SELECT m.match_id, x.postcomp_winavg AS postcomp_winavg, x.postcomp_boutcount AS
 FROM matches m ASOF LEFT JOIN d x ON x.entity = m.a AND m.ts > x.ts ASOF LEFT JOIN d y ON y.entity = m.b AND m.ts > y.ts""")
 def asof_training_rows(t):
     """What was known of both sides before the day of each match: the training rows of an as-of model."""
-    f = history_features(sides(t), "entity", ["ts", "match_id"], (Metric("winavg", "avg", "win"), Metric("boutcount", "count", frames=("",))))
+    f = history_features(written_sides(t), "entity", ["ts", "match_id"], (Metric("winavg", "avg", "win"), Metric("boutcount", "count", frames=("",))))
     f = rounded(f.select("entity", "ts", "match_id", "postcomp_winavg", "postcomp_boutcount"), "postcomp_winavg")
     daily = latest_row(f, ["entity", "ts"], ["match_id"])
     out = pairs.asof_sides(matches(t).select("match_id", "ts", "a", "b"), daily, match_id="match_id", ts="ts", a="a", b="b", entity="entity",

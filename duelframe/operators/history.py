@@ -111,43 +111,47 @@ def history_features(
     are differences of one running sum at a few distances back, so the cost does
     not grow with the number of frames; other columns are summed frame by frame,
     which keeps floating-point results free of cancellation. ``order`` must be
-    unique within the entity (time, then match id).
+    unique within the entity (time, then match id). ``df`` is counted by entity
+    and then scanned: write it first where it is costly to build.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     bases = list(dict.fromkeys(c for m in metrics for c in (m.num, m.den) if c))
     averaged = dict.fromkeys(m.num for m in metrics if m.kind == "avg")
     present = {f"_has_{c}": F.col(c).isNotNull().cast("bigint") for c in averaged}
-    source = df.withColumns(present) if present else df
     whole = [c for c in bases if isinstance(df.schema[c].dataType, T.IntegralType)]
     running = ["_one", *present, *whole]
     needed = _needed_sums(metrics)
 
     def build(d: DataFrame, w) -> DataFrame:
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
+
+        def run(c: str):
+            return F.count(c.removeprefix("_has_")) if c in present and c not in d.columns else F.sum(c)
+
         cum = d.select(
             "*",
-            F.struct(*[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in running]).alias("_at0"),
+            F.struct(*[F.coalesce(run(c).over(upto), F.lit(0)).alias(c) for c in running]).alias("_at0"),
             *[
                 F.sum(c).over(f.over(w)).alias(f"_s{i}_{c}")
                 for i, f in enumerate(FRAMES) for c in needed[i] if c not in running
             ],
         )
         back = sorted({k for f in FRAMES for k in _distances(f) if k})
-        far = cum.select("*", *[F.lag("_at0", k).over(w).alias(f"_at{k}") for k in back])
+        none = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in running])
+        far = cum.select("*", *[F.call_function("lag", F.col("_at0"), F.lit(k), none).over(w).alias(f"_at{k}") for k in back])
+        totals = {}  # each windowed sum is a column of its own, computed once for all features
 
         def windowed(i: int, c: str) -> str:
-            if c not in running:
-                return f"coalesce(`_s{i}_{c}`, 0)"
-            ends = [f"coalesce(_at{k}.`{c}`, 0)" for k in _distances(FRAMES[i])]
-            return f"({' - '.join(ends)})"
-
-        return far.selectExpr(
-            *[f"`{c}`" for c in d.columns],
-            *[_feature(m, f, lambda c, i=i: windowed(i, c)) for m in metrics for i, f in enumerate(FRAMES) if m.wanted(f)],
-        )
+            name = f"`_w{i}_{c}`"
+            ends = [f"_at{k}.`{c}`" for k in _distances(FRAMES[i])] if c in running else [f"coalesce(`_s{i}_{c}`, 0)"]
+            totals[name] = f"{' - '.join(ends)} AS {name}"
+            return name
+
+        features = [_feature(m, f, lambda c, i=i: windowed(i, c)) for m in metrics for i, f in enumerate(FRAMES) if m.wanted(f)]
+        own = [f"`{c}`" for c in d.columns]
+        return far.selectExpr(*own, *totals.values()).selectExpr(*own, *features)
 
-    out = ordered_scan(source, keys, order, build, reach=5, sums=[*bases, *present], limit=limit)
-    return out.drop(*present)
+    return ordered_scan(df, keys, order, build, reach=5, sums=[*bases, *present], limit=limit, seeded=present)
 
 
 def _distances(f: Frame) -> list[int]:

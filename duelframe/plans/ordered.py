@@ -22,9 +22,10 @@ and any frame or ``lag`` reaching at most ``reach`` rows back. Row counts are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from types import MappingProxyType
 
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from duelframe.plans.sizing import cut, oversized_groups, same_key, small_side
 from duelframe.session import max_group_rows
@@ -46,11 +47,14 @@ def ordered_scan(
     lasts: Sequence[str] = (),
     limit: int | None = None,
     hot: tuple[DataFrame | None, int] | None = None,
+    seeded: Mapping[str, Column] = MappingProxyType({}),
 ) -> DataFrame:
     """Run ``build`` over every group of ``keys`` in ``order``.
 
     ``hot`` is the answer of ``oversized_groups(df, keys)``; pass it when several
-    scans run over the same keys, so that the groups are counted once.
+    scans run over the same keys, so that the groups are counted once. ``seeded``
+    holds columns that only chunks get, to carry on what ``build`` derives itself
+    where a group is whole.
     """
     keys, order = list(keys), list(order)
     carried = [*sums, *maxes, *lasts]
@@ -70,6 +74,7 @@ def ordered_scan(
     short, long = df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
     sums = list(dict.fromkeys([*sums, "_one"]))
     plain = build(short, window)
+    long = long.withColumns(dict(seeded)) if seeded else long
     chunked = _chunked(_widened(long, sums), keys, order, build, reach, sums, list(maxes), list(lasts), hot_rows, limit)
     same_types = chunked.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in plain.schema.fields])
     return plain.unionByName(same_types).drop(*helpers)

@@ -1,9 +1,13 @@
 """Raw tables to features, on a tiny hand-made season."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
-from duelframe.operators.history import MATCH_METRICS, feature_names, history_features, model_features
+from duelframe.catalog.base import sides, written_sides
+from duelframe.catalog.history_queries import match_history_features
+from duelframe.operators.history import MATCH_METRICS, Metric, feature_names, history_features, model_features
 from duelframe.plans.match_features import match_features, two_views
 from duelframe.sources import tables as src
 
@@ -67,6 +71,33 @@ def test_hot_entity_features_equal_plain(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, split.select(*plain.columns).collect()))
 
 
+def test_missing_values_count_for_neither_way(spark):
+    rows = [("hot" if i % 4 else "rare", i, None if i % 3 == 0 else i % 5, None if i % 7 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "e string, ts int, v int, x double")
+    metrics = (Metric("v", "sum", "v"), Metric("vavg", "avg", "v", post_default=1.0), Metric("xavg", "avg", "x"), Metric("n", "count"))
+    for limit in (1_000, 9):
+        for r in history_features(df, "e", ["ts"], metrics, limit=limit).collect():
+            past = [x for x in rows if x[0] == r.e and x[1] <= r.ts]
+            for name, seen, none in (("postcomp_{}", past, 1.0), ("postcomp_{}3", past[-3:], 1.0), ("precomp_{}5", past[:-1][-5:], 0.0)):
+                v, x = [y[2] for y in seen if y[2] is not None], [y[3] for y in seen if y[3] is not None]
+                want = (sum(v), sum(v) / len(v) if v else none, sum(x) / len(x) if x else 0.0, len(seen))
+                assert tuple(r[name.format(m)] for m in ("v", "vavg", "xavg", "n")) == pytest.approx(want)
+
+
+def test_matches_are_built_once_for_features(spark):
+    lines = [(o, o * 10 + n, (o + n) % 4, n, float(o % 7 + n), 10.0 * n + o, 0.01 * n, 0.02, "ANR"[o % 3]) for o in range(30) for n in (1, 2, 3)]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                  "l_extendedprice double, l_discount double, l_tax double, l_returnflag string")
+    orders = [(o, f"2020-01-{o % 28 + 1:02d}", "1-URGENT", "FOP"[o % 3], 1000.0 * o) for o in range(30)]
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_orderdate string, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    t = SimpleNamespace(spark=spark, lineitem=lines, orders=orders)
+    assert written_sides(t).schema.simpleString() == sides(t).schema.simpleString()
+    assert sorted(map(str, written_sides(t).collect())) == sorted(map(str, sides(t).collect()))
+    out = match_history_features(t)
+    assert "l_linenumber" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == sides(t).count() > 0
+
+
 def test_post_match_features_are_refused():
     with pytest.raises(ValueError):
         model_features(["precomp_elo", "opp_postcomp_elo"])
