@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.llm.arrays import U, chunks, list_column, lower_ascii, mix64, shingle_hashes, span_hashes, text_bytes, words
-from duelframe.llm.graph import components
+from duelframe.llm.graph import stars
 from duelframe.llm.staging import TEXT_KEY, discard, is_empty, row_key, same_at_every_size, stage, text_rows
 
 KEYS = ["doc_id", TEXT_KEY]
@@ -151,16 +151,13 @@ def _alike(percent: int, n1, bits1, n2, bits2) -> Column:
     return twice * 100 >= (2 * (n1 + n2) - twice) * percent
 
 
-def _live(members: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+def _live(members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that are not one component yet and that may have a partner there.
 
     Adds the member's component, the bucket's size, its largest component and the number of members outside it. A member
     whose shared items cannot make a link even with the smallest set of the bucket is done.
     """
-    if label is None:
-        members = members.withColumn("component", F.col("class"))
-    else:
-        members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", "bits", "earlier", F.coalesce("component", "class").alias("component"))
+    members = members.join(label, members["class"] == label["node"], "left").select("bucket", "class", "n", "c", "bits", "earlier", F.coalesce("component", "class").alias("component"))
     least = members.groupBy("bucket").agg(F.min("n").alias("least"))
     members = members.join(least, "bucket").where(_possible(percent, F.col("n"), F.col("c"), F.col("least"), F.col("c"))).drop("least")
     parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -172,14 +169,16 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     """Pairs to verify in this turn, and the members that still have untested partners.
 
     A leader is tested against all members of other components and then leaves its bucket. All members outside the
-    largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do, chosen by a hash of
-    the turn, and with them a few members of the largest component, which tie many others to it at once.
+    largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do or the square root
+    of ``budget``, whichever is more, chosen by a hash of the turn, and with them a few members of the largest component,
+    which tie many others to it at once. So a turn's pairs grow with the members of a bucket and not with their square,
+    and a bucket of k members is done after k / sqrt(budget) turns at most.
 
     A pair whose two members are known to meet in an earlier bucket as well is left to that one (``earlier`` of both
     overlap), so near copies that share very many buckets are proposed once and not once a bucket.
     """
     dice = F.xxhash64("class", F.lit(turn))
-    share = F.lit(float(budget)) / (F.col("size") * F.col("outside"))
+    share = F.greatest(F.lit(float(budget)) / F.col("size"), F.lit(float(budget) ** 0.5)) / F.col("outside")
     minor = F.col("component") != F.col("top")
     drawn = minor & ((F.pmod(dice, F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
     who = F.struct("class", "component", "n", "c", "bits", "earlier")
@@ -191,7 +190,7 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     both = live.join(heads, "bucket")
     fits = F.filter("heads", lambda h: (h["component"] != F.col("component")) & _possible(percent, F.col("n"), F.col("c"), h["n"], h["c"]) & _alike(percent, F.col("n"), F.col("bits"), h["n"], h["bits"]) & ~F.arrays_overlap(h["earlier"], "earlier"))
     pairs = both.select("class", F.explode(fits).alias("h")).select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "bits", "earlier", "size")
+    return pairs, both.where(~F.exists("heads", lambda h: h["class"] == F.col("class"))).select("bucket", "class", "n", "c", "bits", "earlier")
 
 
 def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +200,7 @@ def _first_tests(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     both = members.join(heads, "bucket").where(F.col("class") != F.col("h.class"))
     pairs = both.where(_possible(percent, F.col("n"), F.col("c"), F.col("h.n"), F.col("h.c")) & _alike(percent, F.col("n"), F.col("bits"), F.col("h.n"), F.col("h.bits")))
     pairs = pairs.select(F.least("class", "h.class").alias("a"), F.greatest("class", "h.class").alias("b")).distinct()
-    return pairs, both.select("bucket", "class", "n", "c", "bits", "earlier", "size")
+    return pairs, both.select("bucket", "class", "n", "c", "bits", "earlier")
 
 
 def _slots(batches):
@@ -275,7 +274,7 @@ def near_duplicates(
     3e-5 for the defaults), full sets confirm them. The first turn ties every member to one member of its bucket. Later
     turns test only what is still in different components: buckets of at most ``small`` members as they are, while the
     members of larger ones are bucketed anew by their rarest shingles, which loses no pair, and worked off with about
-    ``budget`` pairs a bucket and turn. No crowded bucket ever emits all its pairs.
+    ``budget`` pairs a bucket and turn, or the square root of ``budget`` pairs a member. No crowded bucket ever emits all its pairs.
 
     Null or empty texts have no shingles and are linked with nothing. Rows with a null id are kept, with a null
     component. Rows that repeat an id but not its text share its name.
@@ -295,36 +294,36 @@ def near_duplicates(
     discard(heads)
     involved = classes.join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*KEYS)
     sets = stage(base.join(same_at_every_size(involved), KEYS).select(F.col("doc_id").alias("class"), "text").mapInArrow(_sets(width), "class long, items array<long>"), "shingle-sets")
-    label, turn, size = None, 0, F.col("size")
+    wide, label, turn = ["bucket", "class", "n", "c", "bits", "earlier"], None, 0
     while True:
         if turn == 0:
             pairs, rest = _first_tests(members, percent)
-            live = None
+            read = [members]
         else:
             live = stage(_live(members, label, percent), "live-members", give_back=False)
+            discard(members)
+            if turn == 1:  # band buckets become small ones and buckets of the rarest shingles, which are tested together
+                anew = stage(_prefix_members(live.where(F.col("size") > small), sets, percent, small), "prefix-members", give_back=False)
+                held = live.where(F.col("size") <= small).unionByName(_live(anew, label, percent))
+                before, live = [live, anew], stage(held, "live-members", give_back=False)
+                discard(*before)
             if is_empty(live):
-                discard(live, members)
+                discard(live)
                 break
-            pairs, rest = _tests(live if turn > 1 else live.where(size <= small), percent, budget, turn)
-            if turn == 1:
-                crowded = live.where(size > small).select(*rest.columns)
-                # the budget covers every pair of a small bucket, so nothing of it is left
-                rest = crowded if small * small <= budget else rest.unionByName(crowded)
+            pairs, rest = _tests(live, percent, budget, turn)
+            read = [live]
         loaded = pairs.join(sets.select(F.col("class").alias("a"), F.col("items").alias("left")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
         linked = stage(loaded.mapInArrow(_verified(percent), "a long, b long"), "verified-links", give_back=turn < 2)
-        before, ended = members, label
         if label is None:
-            label = stage(components(linked), "components", give_back=False)
+            label = stars(linked)
         elif not is_empty(linked):
-            label = stage(components(linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components", give_back=False)
-        members = stage(_prefix_members(rest, sets, percent, small) if turn == 1 else rest.drop("size"), "untested-members", give_back=turn < 2)
-        discard(linked, before, *([live] if live is not None else []))
-        if ended is not None and label is not ended:
+            ended = label
+            label = stars(linked.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
             discard(ended)
+        members = stage(rest.select(*wide), "untested-members", give_back=turn < 2)
+        discard(linked, *read)
         turn += 1
-        if is_empty(members):
-            break
     discard(sets)
     named = classes.join(label, classes["doc_id"] == label["node"], "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     result = filled.join(named, ["n", "d1", "d2"]).select("doc_id", TEXT_KEY, F.col("n").alias("n_shingles"), "component_id")

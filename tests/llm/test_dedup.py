@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import brute
-from duelframe.llm import arrays, exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from duelframe.llm import arrays, exact_dedup, graph, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from duelframe.llm.deep_shallow import blind_trie, common_prefix, deep_shallow_sort
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,45 @@ def test_near_duplicates_in_large_buckets(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+def written(monkeypatch, *modules):
+    """Names of the tables that ``modules`` write from now on."""
+    names = []
+    for module in modules:
+        def named(df, what, *a, write=module.stage, **options):
+            names.append(what)
+            return write(df, what, *a, **options)
+
+        monkeypatch.setattr(module, "stage", named)
+    return names
+
+
+def test_crowded_bucket_without_links_ends_in_few_turns(spark, monkeypatch):
+    """Every member is a component of its own, so all must lead once; their number a turn grows with the root of the budget."""
+    r, rows, words = random.Random(6), [], prose(22, 220).split()
+    for i in range(120):
+        w = list(words)
+        for p in r.sample(range(len(w)), 5):
+            w[p] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    names = written(monkeypatch, minhash_dedup)
+    got = minhash_dedup.near_duplicates(frame(spark, rows), width=3, percent=85, small=3, budget=400)
+    assert found(got, ["n_shingles", "component_id"]) == brute.near_components(rows, 3, 85)
+    assert 2 < names.count("untested-members") <= 9
+
+
+def test_stars(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(100, 160)]
+    pairs = [*chain, *chain[:9], (7, 7), (3, 99), (99, 4), (4, 3), *((500, i) for i in range(501, 520))]
+    names = written(monkeypatch, graph)
+    got = {r.node: r.component for r in graph.stars(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(101, 161)} | {4: 3, 99: 3} | {i: 500 for i in range(501, 520)}
+    assert len(names) <= 9
+    names.clear()
+    again = graph.stars(spark.createDataFrame([*got.items()], "a long, b long"))
+    assert {r.node: r.component for r in again.collect()} == got and len(names) == 1  # stars are known as such without a second round
+    assert graph.stars(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_exact_groups_and_collisions(spark, docs):
     df = frame(spark, docs)
     plain = exact_dedup.exact_duplicates(df)
