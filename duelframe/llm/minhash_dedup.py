@@ -172,7 +172,7 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do or the square root
     of ``budget``, whichever is more, chosen by a hash of the turn, and with them a few members of the largest component,
     which tie many others to it at once. So a turn's pairs grow with the members of a bucket and not with their square,
-    and a bucket of k members is done after k / sqrt(budget) turns at most.
+    and a bucket of k members is done after about k / sqrt(budget) turns.
 
     A pair whose two members are known to meet in an earlier bucket as well is left to that one (``earlier`` of both
     overlap), so near copies that share very many buckets are proposed once and not once a bucket.
