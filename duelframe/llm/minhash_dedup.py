@@ -21,6 +21,7 @@ FIRST, SECOND = U(0x51AFD7ED558CCD25), U(0xC4CEB9FE1A85EC53)
 PIECE = 1 << 18
 SLOTS = 1 << 20
 PARITY = 512
+FEW = 16
 SALTS = [U(0x9E6C63D0676A9A99 * (2 * k + 1) & (2**64 - 1)) for k in range(6)]
 
 
@@ -171,14 +172,16 @@ def _tests(live: DataFrame, percent: int, budget: int, turn: int) -> tuple[DataF
     A leader is tested against all members of other components and then leaves its bucket. All members outside the
     largest component lead if that makes at most ``budget`` pairs in the bucket, otherwise as many as do or the square root
     of ``budget``, whichever is more, chosen by a hash of the turn, and with them a few members of the largest component,
-    which tie many others to it at once. So a turn's pairs grow with the members of a bucket and not with their square,
-    and a bucket of k members is done after about k / sqrt(budget) turns.
+    which tie many others to it at once. But ``FEW`` lead in the first turn and its square in the second at most: the same few
+    in all buckets that hold them tie most of a group of near copies, so that the many who lead later meet little that is
+    still apart. So a turn's pairs grow with the members of a bucket and not with their square, and a bucket of k members
+    is done after about k / sqrt(budget) turns.
 
     A pair whose two members are known to meet in an earlier bucket as well is left to that one (``earlier`` of both
     overlap), so near copies that share very many buckets are proposed once and not once a bucket.
     """
     dice = F.xxhash64("class", F.lit(turn))
-    share = F.greatest(F.lit(float(budget)) / F.col("size"), F.lit(float(budget) ** 0.5)) / F.col("outside")
+    share = F.least(F.greatest(F.lit(float(budget)) / F.col("size"), F.lit(float(budget) ** 0.5)), F.lit(float(FEW) ** min(turn, 9))) / F.col("outside")
     minor = F.col("component") != F.col("top")
     drawn = minor & ((F.pmod(dice, F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
     who = F.struct("class", "component", "n", "c", "bits", "earlier")

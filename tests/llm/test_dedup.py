@@ -137,6 +137,16 @@ def test_crowded_bucket_without_links_ends_in_few_turns(spark, monkeypatch):
     assert 2 < names.count("untested-members") <= 9
 
 
+def test_few_lead_a_crowded_bucket_at_first(spark):
+    """The first turn's pairs grow with the members; later turns test what is still apart with many leaders."""
+    rows = [(1, i, 100, 100, [0] * 8, [], i, 240, 0, 239) for i in range(240)]
+    live = spark.createDataFrame(rows, "bucket long, class long, n long, c long, bits array<long>, earlier array<long>, component long, size long, top long, outside long")
+    first, left = minhash_dedup._tests(live, 85, 50_000, 1)
+    assert 0 < first.count() <= 30 * 240
+    assert 210 <= left.count() < 240
+    assert minhash_dedup._tests(live, 85, 50_000, 2)[0].count() > 20_000
+
+
 def test_stars(spark, monkeypatch):
     chain = [(i, i + 1) for i in range(100, 160)]
     pairs = [*chain, *chain[:9], (7, 7), (3, 99), (99, 4), (4, 3), *((500, i) for i in range(501, 520))]
