@@ -103,6 +103,7 @@ def history_features(
     metrics: Sequence[Metric] = MATCH_METRICS,
     *,
     limit: int | None = None,
+    hot: tuple[DataFrame | None, int] | None = None,
 ) -> DataFrame:
     """Add every feature column of ``metrics`` for every frame.
 
@@ -112,7 +113,7 @@ def history_features(
     not grow with the number of frames; other columns are summed frame by frame,
     which keeps floating-point results free of cancellation. ``order`` must be
     unique within the entity (time, then match id). ``df`` is counted by entity
-    and then scanned: write it first where it is costly to build.
+    and then scanned: write it first where it is costly to build. ``hot`` as in ``ordered_scan``.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
     bases = list(dict.fromkeys(c for m in metrics for c in (m.num, m.den) if c))
@@ -151,7 +152,7 @@ def history_features(
         own = [f"`{c}`" for c in d.columns]
         return far.selectExpr(*own, *totals.values()).selectExpr(*own, *features)
 
-    return ordered_scan(df, keys, order, build, reach=5, sums=[*bases, *present], limit=limit, seeded=present)
+    return ordered_scan(df, keys, order, build, reach=5, sums=[*bases, *present], limit=limit, hot=hot, seeded=present)
 
 
 def _distances(f: Frame) -> list[int]:

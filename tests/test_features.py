@@ -5,10 +5,11 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from duelframe.catalog.base import sides, written_sides
+from duelframe.catalog.base import matches, sides, written_sides
 from duelframe.catalog.history_queries import match_history_features
+from duelframe.catalog.raw_queries import raw_to_features
 from duelframe.operators.history import MATCH_METRICS, Metric, feature_names, history_features, model_features
-from duelframe.plans.match_features import match_features, two_views
+from duelframe.plans.match_features import match_features, match_views, two_views
 from duelframe.sources import tables as src
 
 
@@ -54,6 +55,33 @@ def test_end_to_end(spark, raw):
     assert (turned.win, turned.result, turned.opp_ko, turned.opp_FIGHTER) == (0, 0, 1, "Al One")
 
 
+def test_views_with_few_opponent_columns_equal_mirrored_matches(spark, raw):
+    of_match = ["EVENT", "result", "fight_time_minutes"]
+    twice = {"results": raw["results"].unionByName(raw["results"].where("EVENT = 'E 1'").withColumn("TIME", F.lit("2:30")))}
+    # two outcomes of one match pair up every side with every side; which of the two is the earlier is open
+    for tables, of_opponent in ((raw, ["sigstracc", "precomp_winsum"]), (raw | twice, ["sigstracc"])):
+        got = match_views(tables, src.category_lookup(spark), of_match, of_opponent)
+        wide = two_views(match_features(tables, src.category_lookup(spark)))
+        columns = [*of_match, *[f"opp_{c}" for c in of_opponent], "FIGHTER", "ctrl", "totalatt", "postcomp_kosum", "precomp_winsum"]
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, wide.select(*columns).collect()))
+        assert set(feature_names()) <= set(got.columns)
+
+
+def test_wide_features_do_not_travel_by_match(spark):
+    lines = [(o, o + n, (o + n) % 4, n, float(o % 7 + n), 10.0 * n + o, 0.01 * n, 0.02, "ANR"[o % 3]) for o in range(30) for n in (1, 2, 3)]
+    orders = [(o, f"2020-01-{o % 28 + 1:02d}", "1-URGENT", "FOP"[o % 3], 1000.0 * o) for o in range(30)]
+    t = SimpleNamespace(
+        spark=spark, supplier=spark.createDataFrame([(k,) for k in range(4)], "s_suppkey long"),
+        lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                       "l_extendedprice double, l_discount double, l_tax double, l_returnflag string"),
+        orders=spark.createDataFrame(orders, "o_orderkey long, o_orderdate string, o_orderpriority string, o_orderstatus string, o_totalprice double"))
+    out = raw_to_features(t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join")  # the sides have met before their features are computed
+    counted = sum(o % 23 != 0 and (o % 29 != 0 or r == 1) for o, r in matches(t).select("match_id", "round").collect())
+    assert out.count() == 2 * counted > 0
+
+
 def test_feature_family_size():
     names = feature_names()
     assert len(names) == len(set(names)) == 271
