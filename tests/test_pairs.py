@@ -47,6 +47,39 @@ def test_similar_texts_finds_every_pair(spark):
         assert got == want
 
 
+def test_pieces_travel_as_hashes_and_events_once_a_span(spark):
+    m = spark.createDataFrame([(1, dt.date(2024, 1, 5), "abcdabcdabcd", "xyxyxyxyxy")], "m int, day date, fa string, fb string")
+    e = spark.createDataFrame([(7, dt.date(2024, 1, 6), "abcdabcdabcx", "xyxyxyxyxyx")], "e int, eday date, home string, away string")
+    out = pairs.match_market_events(m, e, match_id="m", day="day", a="fa", b="fb", event_day="eday", home="home", away="away", event_id="e")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x and "_key" in x]
+    assert len(joins) == 2 and all("levenshtein" in x and "_piece" not in x for x in joins)
+    assert not [x for x in plan.splitlines() if "Generate explode(array(date_add" in x]
+    assert [tuple(r) for r in out.select("m", "e").collect()] == [(1, 7)]
+
+
+def test_market_match_equals_all_pairs_within_the_days(spark):
+    rng = random.Random(8)
+    day = lambda n: dt.date(1969, 12, 20) + dt.timedelta(n)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(5, 14))) for _ in range(6)]
+    m = [(i, day(rng.randint(0, 40)), rng.choice(base), rng.choice(base)) for i in range(60)] + [(60, None, base[0], base[1])]
+    e = [(i, day(rng.randint(0, 40)), noisy(rng, rng.choice(base)), noisy(rng, rng.choice(base))) for i in range(90)] + [(90, None, base[0], base[1])]
+    ms, es = spark.createDataFrame(m, "m int, day date, fa string, fb string"), spark.createDataFrame(e, "e int, eday date, home string, away string")
+    names = dict(match_id="m", day="day", a="fa", b="fb", event_day="eday", home="home", away="away", event_id="e")
+    ratio = lambda a, b: 1 - lev(a, b) / max(len(a), len(b))
+    for slack in (0, 1, 3):
+        want = {}
+        for i, d, a, b in m:
+            for k, ed, h, w in e:
+                if d and ed and abs((d - ed).days) <= slack:
+                    same = sorted((a, b)) == sorted((h, w))
+                    sim = 1.0 if same else max((ratio(a, h) + ratio(b, w)) / 2, (ratio(a, w) + ratio(b, h)) / 2)
+                    if sim >= 0.8:
+                        want[i] = max(want.get(i, (0, 0, 0)), (int(same), round(sim, 9), k))
+        got = {r.m: (round(r.similarity, 9), r.e) for r in pairs.match_market_events(ms, es, slack=slack, **names).collect()}
+        assert got == {i: x[1:] for i, x in want.items()} and got
+
+
 def test_market_match_prefers_the_exact_pair(spark):
     d = dt.date(2024, 1, 5)
     m = spark.createDataFrame([(1, d, "jonsmith", "bobjones"), (2, d, "alphaone", "betatwo"), (3, d, "nobody", "nowhere")], "m int, day date, fa string, fb string")
