@@ -94,6 +94,19 @@ def test_hot_entity_and_components(spark):
     assert as_dict(R.rate(two, "linear", limit=5)) == {k: v for k, v in whole.items() if k >= 100}
 
 
+def test_components_are_named_by_their_smallest_entity(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["x", "y", None]), r.randrange(60), r.randrange(60)) for _ in range(70)]
+    rows += [("chain", n, n + 1) for n in r.sample(range(100), 40)] + [("star", 50, n) for n in range(100)] + [("x", None, 3), ("x", 70, None), ("y", 71, 71)]
+    best = {(k, v): v for k, *ab in rows for v in ab if v is not None}
+    for _ in range(100):
+        for k, a, b in rows:
+            if None not in (k, a, b):
+                best[k, a] = best[k, b] = min(best[k, a], best[k, b])
+    got = R.components(spark.createDataFrame(rows, "league string, a int, b int")).where("entity IS NOT NULL").collect()
+    assert {(x.league, x.entity): x.component for x in got} == best and len(got) == len(best)
+
+
 def test_nothing_to_rate(spark, matches):
     inputs = prepared(matches, "linear").where("score IS NULL")
     for mode in ("fold", "blocks"):

@@ -123,6 +123,25 @@ def test_late_matches_change_only_what_follows_from_them(spark, tmp_path):
     assert {r.match_id for r in sr.affected(stored, spark.createDataFrame(late[:1], cols)).collect()} == {2}
 
 
+def test_late_batches_find_components_once(spark, tmp_path, monkeypatch):
+    cols = "match_id int, league string, ts date, a string, b string, score double"
+    rows = [(n, "l", dt.date(2020, 1, 1) + dt.timedelta(n % 40), f"p{n % 5}{n % 2}", f"p{n % 7 % 5}{n % 2}x", float(n % 2)) for n in range(80)]
+    base, landing, calls, real = str(tmp_path), str(tmp_path / "landing"), [], R.components
+    monkeypatch.setattr(R, "components", lambda *x: calls.append(1) or real(*x))
+    spark.conf.set("spark.duelframe.maxGroupRows", "45")
+    try:
+        for n in (0, 1):
+            inputs = R.rating_inputs(spark.createDataFrame([r for r in rows if (r[0] % 4 == 0) == (n == 1)], cols), "linear")
+            inputs.write.mode("append").parquet(landing)
+            del calls[:]
+            sr.rate_stream(ingest.file_stream(spark, landing, inputs.schema), "linear", base).awaitTermination()
+    finally:
+        spark.conf.unset("spark.duelframe.maxGroupRows")
+    assert len(calls) == 1
+    plain = lambda df: {r.match_id: tuple(round(r[c], 9) for c in R.OUT) for r in df.collect()}
+    assert plain(sr.rated_so_far(spark, base)) == plain(R.rate(R.rating_inputs(spark.createDataFrame(rows, cols), "linear"), "linear"))
+
+
 def test_long_chains_of_late_matches_take_one_pass(spark):
     """What follows from a match is found in as many jobs for a chain of fifty as for a single meeting; unknown sides pass nothing on."""
     cols = "match_id int, league string, ts date, a string, b string"
