@@ -131,7 +131,7 @@ def test_late_batches_find_components_once(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.duelframe.maxGroupRows", "45")
     try:
         for n in (0, 1):
-            inputs = R.rating_inputs(spark.createDataFrame([r for r in rows if (r[0] % 4 == 0) == (n == 1)], cols), "linear")
+            inputs = R.rating_inputs(spark.createDataFrame([r for r in rows if (r[0] % 5 == 0) == (n == 1)], cols), "linear")
             inputs.write.mode("append").parquet(landing)
             del calls[:]
             sr.rate_stream(ingest.file_stream(spark, landing, inputs.schema), "linear", base).awaitTermination()
